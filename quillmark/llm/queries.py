@@ -12,6 +12,20 @@ def _hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quillmark.llm.bpe import bpe_digest
+
+    return bpe_digest(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
+def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.ogg import media_digest
+
+    return media_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm.decontamination import decontaminate
 
@@ -31,7 +45,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_benchmark_decontamination, op9_secret_scan)}
+    return {f.__name__: f for f in (op2_byte_level_bpe, op3_ogg_media, op7_benchmark_decontamination, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
