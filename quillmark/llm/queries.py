@@ -12,6 +12,13 @@ def _hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.substring_dedup import substring_dedup
+
+    found = substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", _hex(F.col("kept_text")).alias("kept_sha256"))
+
+
 def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -45,11 +52,11 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_byte_level_bpe, op3_ogg_media, op7_benchmark_decontamination, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_byte_level_bpe, op3_ogg_media, op7_benchmark_decontamination, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_benchmark_decontamination": OP7_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op7_benchmark_decontamination": OP7_SQL}
 
 
 OP7_SQL = r"""
@@ -71,3 +78,14 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS p FROM d, unnest(range(1, len(w) - 11)) AS u(i) WHERE len(w) >= 13),
+least_id AS (SELECT p, min(doc_id) AS m FROM win GROUP BY p),
+gone AS (SELECT DISTINCT doc_id, i + j AS k FROM win JOIN least_id USING (p), range(0, 13) AS r(j) WHERE m < doc_id),
+words AS (SELECT doc_id, k, w[k] AS word FROM d, unnest(range(1, len(w) + 1)) AS u(k)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS text FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
