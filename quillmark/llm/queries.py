@@ -40,6 +40,12 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), _hex(F.array_join("items", ",")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.suffix_tree_lm import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm.secrets import joined, scan_secrets
 
@@ -52,7 +58,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_byte_level_bpe, op3_ogg_media, op7_benchmark_decontamination, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_byte_level_bpe, op3_ogg_media, op7_benchmark_decontamination, op8_suffix_tree_lm, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
