@@ -33,6 +33,12 @@ def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm.decontamination import decontaminate
 
@@ -58,7 +64,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_byte_level_bpe, op3_ogg_media, op7_benchmark_decontamination, op8_suffix_tree_lm, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_byte_level_bpe, op3_ogg_media, op6_toxicity, op7_benchmark_decontamination, op8_suffix_tree_lm, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
