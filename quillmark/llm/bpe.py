@@ -5,7 +5,7 @@ the two back. So the encoding of a prefix has one possible last token, and readi
 past than the bytes after the last token that every continuation keeps. A state is (last emitted token, pending
 bytes, last token of each cut). Reading a byte extends the pending bytes and finds the last token of the new prefix; when
 the lookahead is full, the cuts that no token can still cross are dropped and the tokens that all others share are emitted.
-States and transitions are made when first needed and kept, as are whole pre-tokens; both stores are emptied when full.
+States and transitions are made when first needed and kept while there is room, as are the ids of whole pre-tokens.
 
 The merges are the vocabulary's ranks: a pair may merge if its bytes are a token, the lowest rank first.
 """
@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,9 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 MAX_STATES = 150_000
-MAX_PIECES = 400_000
+MAX_PIECES = 500_000
+#: Deeper states are made for long pre-tokens only.
+SHARED_PREFIX = 6
 LOOKAHEAD = 24
 #: Longer pre-tokens aren't kept, only run.
 KEEP_BYTES = 64
@@ -148,12 +151,36 @@ class Transducer:
         self.states += 1
         return new
 
+    def _walk(self, state: dict, rest: bytes) -> list[int]:
+        """The ids of a text that goes on from a state with bytes not seen there before: as ``step``, but the states on the
+        way aren't kept, as so long a prefix seldom comes again in another pre-token."""
+        lasts, before, alive, trie, pairs = list(state[-2]), state[-3], state[-1], self.trie, self.pairs
+        n = len(lasts)
+        for byte in rest:
+            last, found = -1, []
+            if lasts[-1] >= 0:
+                alive = alive + [(n, trie)]
+            for i, node in alive:
+                node = node.get(byte)
+                if node is not None:
+                    found.append((i, node))
+                    if last < 0 and -1 in node:
+                        t = node[-1]
+                        a = lasts[i - 1] if i else before
+                        fits = pairs.get(a << 20 | t) if a >= 0 else True
+                        if fits or (fits is None and self.fits(a, t)):
+                            last = t
+            lasts.append(last)
+            alive = found
+            n += 1
+        return self._chain(lasts, n)
+
     def emit(self, state: dict) -> tuple[dict, list[int]]:
         """The tokens that all live cuts share, and the state without them."""
         lasts = state[self.LASTS]
         n = len(lasts)
         live = [n] + [i for i, node in state[self.ALIVE] if len(node) > (-1 in node)]
-        chains = [self._chain(state, i) for i in live]
+        chains = [self._chain(lasts, i) for i in live]
         shared = 0
         while shared < min(map(len, chains)) and all(c[shared] == chains[0][shared] for c in chains):
             shared += 1
@@ -176,28 +203,32 @@ class Transducer:
             self.states += 1
         return after, out
 
-    def _chain(self, state: dict, at: int) -> list[int]:
-        lasts, out = state[self.LASTS], []
+    def _chain(self, lasts, at: int) -> list[int]:
+        out = []
         while at:
             t = lasts[at - 1]
             out.append(t)
             at -= self.size[t]
         return out[::-1]
 
-    def encode(self, data: bytes) -> str:
-        """Decimal ids, each followed by one space."""
+    def encode(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
         if whole is not None:  # a vocabulary may hold pre-tokens that merging alone doesn't reach
-            return f"{whole} "
+            return [whole]
         if self.states > self.max_states:
             self.clear()
         state, step = self.root, self.step
         if len(data) <= self.lookahead:
-            for byte in data:
-                state = state.get(byte) or step(state, byte)
+            for k, byte in enumerate(data):
+                after = state.get(byte)
+                if after is None:
+                    if k >= SHARED_PREFIX:
+                        return self._walk(state, data[k:])
+                    after = step(state, byte)
+                state = after
             tail = state.get(self.TAIL)
             if tail is None:
-                tail = state[self.TAIL] = "".join([f"{t} " for t in self._chain(state, len(state[self.LASTS]))])
+                tail = state[self.TAIL] = self._chain(state[self.LASTS], len(data))
             return tail
         out: list[int] = []
         for byte in data:
@@ -209,7 +240,7 @@ class Transducer:
                     copy = {k: state[k] for k in (self.ALIVE, self.LASTS, self.BEFORE)}
                     self.clear()
                     state = copy
-        return "".join([f"{t} " for t in out + self._chain(state, len(state[self.LASTS]))])
+        return out + self._chain(state[self.LASTS], len(state[self.LASTS]))
 
 
 class Encoder:
@@ -220,27 +251,27 @@ class Encoder:
 
         self.find = regex.compile(pattern).findall
         self.machine = Transducer(ranks)
-        self.kept: dict[str, str] = {}
+        self.kept: dict[str, tuple[str, bytes]] = {}  # full, it becomes ``older``; what is met again moves back
+        self.older: dict[str, tuple[str, bytes]] = {}
 
-    def ids(self, text: str) -> str:
-        """Decimal ids, each followed by one space."""
+    def ids(self, text: str) -> tuple[str, bytes]:
+        """Decimal ids, each followed by one space; and the same ids as 32-bit numbers."""
         pieces, kept = self.find(text), self.kept
         if len(kept) > MAX_PIECES:
-            kept.clear()
-        try:
-            return "".join([kept[p] for p in pieces])
-        except KeyError:
-            pass
-        out = []
-        for p in pieces:
-            s = kept.get(p)
-            if s is None:
-                data = p.encode()
-                s = self.machine.encode(data)
-                if len(data) <= KEEP_BYTES and len(kept) <= 2 * MAX_PIECES:
-                    kept[p] = s
-            out.append(s)
-        return "".join(out)
+            self.older, kept = kept, {}
+            self.kept = kept
+        got = [kept.get(p) or self._new(p) for p in pieces]
+        return "".join([g[0] for g in got]), b"".join([g[1] for g in got])
+
+    def _new(self, piece: str) -> tuple[str, bytes]:
+        data = piece.encode()
+        out = self.older.get(piece)
+        if out is None:
+            ids = self.machine.encode(data)
+            out = "".join([f"{i} " for i in ids]), struct.pack(f"<{len(ids)}i", *ids)
+        if len(data) <= KEEP_BYTES and len(self.kept) <= 2 * MAX_PIECES:
+            self.kept[piece] = out
+        return out
 
 
 class Utf8Stream:
@@ -364,7 +395,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                lists = [np.array(coder.ids(t).split(), np.int32) if t else np.zeros(0, np.int32) for t in part.column(1).to_pylist()]
+                lists = [np.frombuffer(coder.ids(t)[1], np.int32) if t else np.zeros(0, np.int32) for t in part.column(1).to_pylist()]
                 off = np.cumsum([0] + [len(x) for x in lists])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(lists)))], names=["doc_id", "ids"])
 
@@ -398,8 +429,8 @@ def bpe_digest(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_i
                 part = b.slice(at, 256)
                 n, sha, back, chars = [], [], [], []
                 for t in part.column(1).to_pylist():
-                    joined = coder.ids(t) if t else ""
-                    ids = np.array(joined.split(), np.int64) if joined else np.zeros(0, np.int64)
+                    joined, packed = coder.ids(t) if t else ("", b"")
+                    ids = np.frombuffer(packed, np.int32)
                     digest, machine, count = hashlib.sha256(), Utf8Stream(), 0
                     for x in decoder.chunks(ids):
                         digest.update(x)
