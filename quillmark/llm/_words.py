@@ -167,7 +167,7 @@ def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether the ranges of ``size`` (> 0) at a and at b hold equal bytes."""
     ok = np.ones(len(a), bool)
-    step = 200_000
+    step = 20_000
     for i in range(0, len(a), step):
         s = slice(i, i + step)
         eq = gather(data, a[s], size[s]) == gather(data, b[s], size[s])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from quillmark.llm._words import SPACED, U64, Words, binary_array, gather, mix, ragged, runs, same_bytes, slices, utf8, window_starts
 
 M = 4
-FLUSH_BYTES = 24_000_000
+FLUSH_BYTES = 10_000_000
 CHUNK_BYTES = 3_000_000
 _STEP = U64(0x2545F4914F6CDD1D)
 NULLS_LAST = (1 << 63) - 1
