@@ -109,19 +109,19 @@ def _settled(x: dict) -> np.ndarray:
 
 def _pack(x: dict, keep: np.ndarray, partitions: int, done: np.ndarray, window: int):
     """(target, blob) rows, four targets for each partition to even them out; what is settled travels as bare ranges."""
-    press = zstandard.ZstdCompressor(level=1)
+    press = zstandard.ZstdCompressor(level=3)
     target = (mix(x["bucket"].astype(U64)) % U64(4 * partitions)).astype(np.int64)
     at = np.cumsum(x["size"]) - x["size"]
     order = keep[np.argsort(target[keep], kind="stable")]
     edges = np.flatnonzero(np.diff(target[order], prepend=-1, append=-1))
     for a, b in zip(edges[:-1], edges[1:]):
         i = order[a:b]
-        fields = [x["id"][i], x["key"][i].astype(np.int32), x["start"][i], x["count"][i].astype(np.uint8), x["size"][i].astype(np.int32), x["bucket"][i].astype(np.uint32)]
+        fields = [np.diff(x["id"][i], prepend=0), x["key"][i].astype(np.int32), x["start"][i], x["count"][i].astype(np.uint8), x["size"][i].astype(np.int32)]
         body = b"".join(f.tobytes() for f in fields) + gather(x["data"], at[i], x["size"][i]).tobytes()
         yield int(target[i[0]]), press.compress(len(i).to_bytes(8, "little") + body)
     if len(done):  # to one partition by turns; only ranges, nothing to compare
         i = done
-        rows = [x["id"][i], x["key"][i].astype(np.int32), x["start"][i], (x["start"][i] + x["count"][i] + window - 1).astype(np.int32)]
+        rows = [np.diff(x["id"][i], prepend=0), x["key"][i].astype(np.int32), x["start"][i], (x["start"][i] + x["count"][i] + window - 1).astype(np.int32)]
         yield int(target[i[0]]), press.compress((len(i) | 1 << 62).to_bytes(8, "little") + b"".join(f.tobytes() for f in rows))
 
 
@@ -129,15 +129,29 @@ def _unpack(blob: bytes) -> tuple[bool, list[np.ndarray]]:
     body = zstandard.ZstdDecompressor().decompress(blob)
     n, at, out = int.from_bytes(body[:8], "little"), 8, []
     settled, n = bool(n >> 62), n & ((1 << 62) - 1)
-    kinds = (np.int64, np.int32, np.int32, np.int32) if settled else (np.int64, np.int32, np.int32, np.uint8, np.int32, np.uint32)
+    kinds = (np.int64, np.int32, np.int32, np.int32) if settled else (np.int64, np.int32, np.int32, np.uint8, np.int32)
     for kind in kinds:
         out.append(np.frombuffer(body, kind, n, at))
         at += n * np.dtype(kind).itemsize
+    out[0] = np.cumsum(out[0])  # ids travel as differences
     if not settled:
         out.append(np.frombuffer(body, np.uint8, -1, at) if at < len(body) else np.zeros(0, np.uint8))
     return settled, out
 
 
+def _buckets(data: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """The bucket of each packed string: the minimiser of its first window (all its windows share it), computed afresh."""
+    out = np.zeros(len(at) - 1, np.int64)
+    for lo, hi in slices(at):
+        words = Words(data, at[lo : hi + 1], SPACED)
+        short, first = runs(words.hashes(), M), words.first[:-1]
+        least = short[first]
+        for j in range(1, window - M + 1):
+            np.minimum(least, short[first + j], out=least)
+        out[lo:hi] = least >> U64(32)
+    return out
+
+
 def _repeats(ids, keys, starts, data, at, window: int):
     """Word ranges (id, key, s, e) of windows that an equal window with a smaller id has, among whole buckets."""
     words = Words(data, at, SPACED)
@@ -217,7 +231,7 @@ def repeated_ranges(docs: DataFrame, *, window: int, partitions: int) -> DataFra
                 else:
                     at = np.zeros(len(f[4]) + 1, np.int64)
                     np.cumsum(f[4], out=at[1:])
-                    arrays = [pa.array(f[5].astype(np.int64)), pa.array(f[0]), pa.array(f[1]), pa.array(f[2]), pa.array(np.zeros(len(f[0]), np.int32)), binary_array(f[6], at).cast(pa.binary())]
+                    arrays = [pa.array(_buckets(f[5], at, window)), pa.array(f[0]), pa.array(f[1]), pa.array(f[2]), pa.array(np.zeros(len(f[0]), np.int32)), binary_array(f[5], at).cast(pa.binary())]
                 whole = pa.RecordBatch.from_arrays(arrays, names=["bucket", "id", "key", "s", "e", "words"])
                 for i in range(0, whole.num_rows, 8192):
                     yield whole.slice(i, 8192)
