@@ -33,6 +33,12 @@ def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.line_dedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", _hex(F.col("text")).alias("kept_sha256"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm.toxicity import toxicity
 
@@ -70,11 +76,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_byte_level_bpe, op3_ogg_media, op6_toxicity, op7_benchmark_decontamination, op8_suffix_tree_lm, op9_secret_scan, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_byte_level_bpe, op3_ogg_media, op5_line_dedup, op6_toxicity, op7_benchmark_decontamination, op8_suffix_tree_lm, op9_secret_scan, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op7_benchmark_decontamination": OP7_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op5_line_dedup": OP5_SQL, "op7_benchmark_decontamination": OP7_SQL}
 
 
 OP7_SQL = r"""
@@ -107,3 +113,29 @@ kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS text
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+#: Lines that go, shared by the query and the pipeline: (doc_id, line) of ``source``.
+GONE_SQL = r"""
+line AS (
+  SELECT doc_id, k, len(w) AS n, w, array_to_string(w, ' ') AS t
+  FROM (SELECT doc_id, k, coalesce(regexp_extract_all(p[k], '[^\x20\x09-\x0D]+'), []) AS w
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM {source}) AS s, unnest(range(1, len(p) + 1)) AS u(k))
+  WHERE len(w) >= 3
+), place AS (SELECT *, row_number() OVER (ORDER BY doc_id, k) AS o FROM line),
+first AS (SELECT t, any_value(n) AS n, any_value(w) AS w, min(o) AS o FROM place GROUP BY t),
+variant AS (SELECT o, n, i, array_to_string(list_concat(w[1 : i - 1], w[i + 1 : n]), ' ') AS v FROM first, unnest(range(1, n + 1)) AS u(i) WHERE n >= 5),
+replaced AS (SELECT o FROM (SELECT o, min(o) OVER (PARTITION BY n, i, v) AS m FROM variant) WHERE m < o),
+longer AS (SELECT b.o AS b, a.o AS a FROM variant b JOIN first a ON a.t = b.v AND a.n = b.n - 1 WHERE a.n >= 5),
+gone AS (
+  SELECT p.doc_id, p.k FROM place p JOIN first f USING (t) WHERE p.o > f.o
+  UNION SELECT doc_id, k FROM place WHERE o IN (SELECT o FROM replaced UNION SELECT b FROM longer WHERE a < b UNION SELECT a FROM longer WHERE b < a)
+)
+"""
+
+OP5_SQL = "WITH " + GONE_SQL.format(source="documents") + """,
+kept AS (
+  SELECT doc_id, len(p) AS n, list_filter(range(1, len(p) + 1), lambda k: NOT list_contains(coalesce(g, []), k)) AS keep, p
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents) LEFT JOIN (SELECT doc_id, list(k) AS g FROM gone GROUP BY doc_id) USING (doc_id)
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_lines, CAST(n - len(keep) AS BIGINT) AS n_removed, sha256(array_to_string(list_transform(keep, lambda k: p[k]), chr(10))) AS kept_sha256 FROM kept
+"""
