@@ -1,8 +1,9 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are lower-cased runs of letters and digits. The vocabulary is the ``VOCABULARY`` terms whose presence tells most about the label among
-training rows (largest signed G statistic towards label 1 or 0); their document frequencies are counted over all documents. The
-index holds at most ``INDEX_ROWS`` training rows with label 1 and as many with label 0, the smallest hashes of their ids,
+The model is fitted on a bounded sample of the training rows: for each label those with the smallest hashes of their ids, at most
+2 * ``INDEX_ROWS`` + ``CALIBRATION_ROWS`` in all, whose ids are broadcast. Terms are lower-cased runs of letters and digits. The
+vocabulary is the ``VOCABULARY`` terms whose presence tells most about the label in the sample (largest G statistic);
+their document frequencies are counted over all documents. The index holds at most ``INDEX_ROWS`` training rows with label 1 and as many with label 0, the smallest hashes of their ids,
 as postings in blocks with the largest weight of each block. A query visits its terms' postings; blocks whose
 bound can't reach the current k-th similarity are skipped, so the neighbours are exact.
 
@@ -219,19 +220,21 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", vocabulary: int = VOCABULARY, index_rows: int = INDEX_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
     """Learns from labelled rows whose crc32(id as text) mod 3 is not 1; rows without a label of 0 or 1 teach nothing."""
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & (crc_mod(F.col("doc_id"), 3) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    totals = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
+    order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
+    index_ids, other = None, None
+    for label, most in ((1, index_rows), (0, index_rows)):
+        best = marks.where(F.col("toxic") == label).orderBy(*order)
+        some = best.limit(most).withColumn("role", F.lit("index"))
+        rest = best.offset(most).limit(calibration_rows // 5 if label else calibration_rows - calibration_rows // 5).withColumn("role", F.lit("calibration"))
+        index_ids = some if index_ids is None else index_ids.unionByName(some)
+        other = rest if other is None else other.unionByName(rest)
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    labelled = text.join(marks, "doc_id")
-    terms = choose_terms(labelled, vocabulary)
+    picked = text.join(F.broadcast(index_ids.unionByName(other)), "doc_id")  # 2 * index_rows + calibration_rows ids at most
+    terms = choose_terms(picked.select("toxic", "text"), vocabulary)
     seen, rows = document_frequencies(docs, text_col, terms)
     idf = np.log((rows + 1) / (seen + 1)) + 1.0
 
-    order = F.xxhash64(F.col("doc_id").cast("string"))
-    totals = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
-    ids = marks.select("doc_id", "toxic").orderBy(order, "doc_id")
-    index_ids = ids.where("toxic = 1").limit(index_rows).unionByName(ids.where("toxic = 0").limit(index_rows)).withColumn("role", F.lit("index"))
-    other = marks.join(F.broadcast(index_ids.select("doc_id")), "doc_id", "left_anti").orderBy(F.xxhash64(F.concat(F.col("doc_id").cast("string"), F.lit("c"))), "doc_id").limit(calibration_rows).withColumn("role", F.lit("calibration"))
-    picked = text.join(F.broadcast(index_ids.unionByName(other)), "doc_id")  # index_rows * 2 + calibration_rows at most
-
     def vectors(batches):
         for b in batches:
             raw, off = utf8(b.column(3))
