@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 1_000_000
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _BASE2 = U64(0xD6E8FEB86659FD93)
 

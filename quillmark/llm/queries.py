@@ -33,6 +33,12 @@ def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm.line_dedup import line_dedup
 
@@ -76,7 +82,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_byte_level_bpe, op3_ogg_media, op5_line_dedup, op6_toxicity, op7_benchmark_decontamination, op8_suffix_tree_lm, op9_secret_scan, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_byte_level_bpe, op3_ogg_media, op4_near_dedup, op5_line_dedup, op6_toxicity, op7_benchmark_decontamination, op8_suffix_tree_lm, op9_secret_scan, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from quillmark.llm._words import SPACED, U64, Words, binary_array, gather, mix, ragged, runs, same_bytes, slices, utf8, window_starts
 
 M = 4
-FLUSH_BYTES = 10_000_000
-CHUNK_BYTES = 3_000_000
+FLUSH_BYTES = 14_000_000
+CHUNK_BYTES = 1_500_000
 _STEP = U64(0x2545F4914F6CDD1D)
 NULLS_LAST = (1 << 63) - 1
 
@@ -108,9 +108,9 @@ def _settled(x: dict) -> np.ndarray:
 
 
 def _pack(x: dict, keep: np.ndarray, partitions: int, done: np.ndarray, window: int):
-    """(target, blob) rows, four targets for each partition to even them out; what is settled travels as bare ranges."""
+    """(target, blob) rows, two targets for each partition to even them out; what is settled travels as bare ranges."""
     press = zstandard.ZstdCompressor(level=3)
-    target = (mix(x["bucket"].astype(U64)) % U64(4 * partitions)).astype(np.int64)
+    target = (mix(x["bucket"].astype(U64)) % U64(2 * partitions)).astype(np.int64)
     at = np.cumsum(x["size"]) - x["size"]
     order = keep[np.argsort(target[keep], kind="stable")]
     edges = np.flatnonzero(np.diff(target[order], prepend=-1, append=-1))
