@@ -220,3 +220,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
         lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(a["e"], x["s"]))).alias("n"), F.greatest(a["e"], x["e"]).alias("e")),
     )["n"]
     return out.select("doc_id", "n_words", merged.cast("bigint").alias("n_hit"), F.array_sort("items").alias("items"), "spans", (F.size("items") > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The rows of ``docs`` without any occurrence of a benchmark window, with all their columns; cases as for ``decontaminate``."""
+    windows = benchmark_windows(benchmark, item_col, item_text_col, window)
+    blocks = max(1, -(-windows.count() // block_windows))
+    at = docs.columns.index(text_col)
+    out = docs
+    for k in range(blocks):
+        part = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == k)
+        tables = docs.sparkSession.sparkContext.broadcast(build(part.collect()))
+
+        def keep(batches, tables=tables):
+            for b in batches:
+                raw, off = utf8(b.column(at))
+                for lo, hi in slices(off):
+                    words = Words(raw, off[lo : hi + 1], ALNUM, lower=True)
+                    h = words.hashes()
+                    clean = np.ones(hi - lo, bool)
+                    for g in tables.value[1]:
+                        start, _ = g.find(words, h)
+                        clean[np.searchsorted(words.first, start, "right") - 1] = False
+                    yield b.slice(lo, hi - lo).filter(pa.array(clean))
+
+        out = out.mapInArrow(keep, docs.schema)
+    return out

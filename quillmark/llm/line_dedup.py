@@ -190,3 +190,30 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     kind = docs.schema[id_col].dataType.simpleString()
     return joined.select("doc_id", "text", "gone").mapInArrow(keep, f"doc_id {kind}, n_lines bigint, n_removed bigint, text string")
+
+
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = None, min_words: int = MIN_WORDS, min_edit_words: int = MIN_EDIT_WORDS) -> DataFrame:
+    """``docs`` with the lines taken out of the text column, every row kept; ``size_col`` becomes the number of characters left.
+
+    Texts without lines that go stay as they are, null ones too; other cases as for ``line_dedup``.
+    """
+    keyed = docs.withColumns({"_line_id": F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULLS_LAST)), "_line_key": F.hash(F.col(text_col))})
+    src = keyed.select(F.col("_line_id").alias("id"), F.col("_line_key").alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    gone = gone_lines(src, min_words=min_words, min_edit_words=min_edit_words)
+    per = gone.groupBy(F.col("id").alias("_line_id"), F.col("key").alias("_line_key")).agg(F.collect_set("line").alias("_line_gone"))
+    joined = keyed.join(per, ["_line_id", "_line_key"], "left").select(*docs.columns, "_line_gone")
+    at, names = docs.columns.index(text_col), docs.columns
+
+    def keep(batches):
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            for i, gone in enumerate(b.column(len(names)).to_pylist()):
+                if gone:
+                    drop = set(gone)
+                    texts[i] = "\n".join([x for k, x in enumerate((texts[i] or "").split("\n")) if k not in drop])
+            columns = list(b.columns[:-1])
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    out = joined.mapInArrow(keep, docs.schema)
+    return out.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType)) if size_col else out

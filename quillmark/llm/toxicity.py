@@ -279,3 +279,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     src = docs.select(F.col(id_col).alias("doc_id"), (crc_mod(F.col(id_col), 3) == 1).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     scored = src.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, evidence string")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with a score below the threshold, with all their columns; cases as for ``toxicity``."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            raw, off = utf8(b.column(at))
+            for lo, hi in slices(off):
+                scores, _ = shared.value.scores(raw, off[lo : hi + 1])
+                yield b.slice(lo, hi - lo).filter(pa.array(np.array(scores) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
