@@ -6,6 +6,7 @@ their memory follows the slice and never the partition.
 
 from __future__ import annotations
 
+import ctypes
 from functools import lru_cache
 from typing import Iterator
 
@@ -50,6 +51,15 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
+def release() -> None:
+    """Gives freed memory back to the system; Spark keeps Python workers, and what they once used, between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes; one longer row makes a range of its own."""
     n, a = len(offsets) - 1, 0

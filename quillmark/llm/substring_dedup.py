@@ -19,11 +19,12 @@ import pyspark.sql.functions as F
 import zstandard
 from pyspark.sql import DataFrame
 
-from quillmark.llm._words import SPACED, U64, Words, binary_array, gather, mix, ragged, runs, same_bytes, slices, utf8, window_starts
+from quillmark.llm._words import SPACED, U64, Words, binary_array, gather, mix, release, runs, same_bytes, slices, utf8, window_starts
 
 M = 4
-FLUSH_BYTES = 14_000_000
+FLUSH_BYTES = 6_000_000
 CHUNK_BYTES = 1_500_000
+BATCH_BYTES = 4_000_000
 _STEP = U64(0x2545F4914F6CDD1D)
 NULLS_LAST = (1 << 63) - 1
 
@@ -218,6 +219,7 @@ def repeated_ranges(docs: DataFrame, *, window: int, partitions: int) -> DataFra
                 buffer.add(raw, off[lo : hi + 1], ids[lo:hi], keys[lo:hi], window)
                 if buffer.bytes >= FLUSH_BYTES:
                     yield from flush()
+                    release()
         yield from flush()
 
     def open_blobs(batches):
@@ -235,6 +237,7 @@ def repeated_ranges(docs: DataFrame, *, window: int, partitions: int) -> DataFra
                 whole = pa.RecordBatch.from_arrays(arrays, names=["bucket", "id", "key", "s", "e", "words"])
                 for i in range(0, whole.num_rows, 8192):
                     yield whole.slice(i, 8192)
+            release()
 
     def settle(batches):
         held, size = [], 0
@@ -278,6 +281,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     comes back null; rows of one id never remove each other's words; other columns are ignored.
     """
     spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)  # blobs and long texts would fill a batch of 10,000 rows
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULLS_LAST)).alias("id"), F.hash(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
     ranges = repeated_ranges(src.select("id", "key", "text"), window=window, partitions=partitions)
