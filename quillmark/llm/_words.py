@@ -60,6 +60,14 @@ def release() -> None:
         pass
 
 
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; memory that the last one took is given back before the next."""
+    for b in batches:
+        yield b
+        del b
+        release()
+
+
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes; one longer row makes a range of its own."""
     n, a = len(offsets) - 1, 0

@@ -22,6 +22,9 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
+from quillmark.llm._spark import bounded_batches
+from quillmark.llm._words import trimmed
+
 MAX_STATES = 150_000
 MAX_PIECES = 500_000
 #: Deeper states are made for long pre-tokens only.
@@ -390,9 +393,10 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
     ``path`` is a file of base64 tokens and ranks that every executor can read. Repeated rows repeat; other columns are ignored.
     """
 
+    bounded_batches(docs)
     def run(batches):
         coder, _ = _codec(path, pattern)
-        for b in batches:
+        for b in trimmed(batches):
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 lists = [np.frombuffer(coder.ids(t)[1], np.int32) if t else np.zeros(0, np.int32) for t in part.column(1).to_pylist()]
@@ -406,9 +410,10 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) from (doc_id, ids); bytes that are no UTF-8 become U+FFFD, null ids give the empty text."""
 
+    bounded_batches(encoded)
     def run(batches):
         _, decoder = _codec(path, "")
-        for b in batches:
+        for b in trimmed(batches):
             texts = []
             for ids in b.column(1):
                 machine, ids = Utf8Stream(), np.array(ids.as_py() or [], np.int64)
@@ -422,9 +427,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def bpe_digest(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, decoded_chars): every text encoded and its ids decoded, digested in the task."""
 
+    bounded_batches(docs)
     def run(batches):
         coder, decoder = _codec(path, pattern)
-        for b in batches:
+        for b in trimmed(batches):
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 n, sha, back, chars = [], [], [], []

@@ -18,7 +18,8 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from quillmark.llm._words import ALNUM, U64, Words, ragged, runs, same_bytes, slices, utf8, window_starts
+from quillmark.llm._spark import bounded_batches
+from quillmark.llm._words import ALNUM, U64, Words, ragged, runs, same_bytes, slices, trimmed, utf8, window_starts
 
 LANE = 512
 TABLE_BITS = 18
@@ -48,7 +49,7 @@ def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, window
     """Distinct (item, n, phrase) rows; items without words have none, a null item id reads as the empty text."""
 
     def cut(batches):
-        for b in batches:
+        for b in trimmed(batches):
             raw, off = utf8(b.column(1))
             for lo, hi in slices(off):
                 words = Words(raw, off[lo : hi + 1], ALNUM, lower=True)
@@ -145,11 +146,12 @@ def build(rows) -> tuple[list[str], list[Patterns]]:
 
 def _scan(docs: DataFrame, tables) -> DataFrame:
     """(doc_id, row_key, n_words, spans, items) for every row of (doc_id, row_key, text)."""
+    bounded_batches(docs)
     span = pa.struct([("s", pa.int32()), ("e", pa.int32())])
 
     def scan(batches):
         names, groups = tables.value
-        for b in batches:
+        for b in trimmed(batches):
             raw, off = utf8(b.column(2))
             for lo, hi in slices(off):
                 words = Words(raw, off[lo : hi + 1], ALNUM, lower=True)
@@ -224,6 +226,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The rows of ``docs`` without any occurrence of a benchmark window, with all their columns; cases as for ``decontaminate``."""
+    bounded_batches(docs)
     windows = benchmark_windows(benchmark, item_col, item_text_col, window)
     blocks = max(1, -(-windows.count() // block_windows))
     at = docs.columns.index(text_col)
@@ -233,7 +236,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
         tables = docs.sparkSession.sparkContext.broadcast(build(part.collect()))
 
         def keep(batches, tables=tables):
-            for b in batches:
+            for b in trimmed(batches):
                 raw, off = utf8(b.column(at))
                 for lo, hi in slices(off):
                     words = Words(raw, off[lo : hi + 1], ALNUM, lower=True)

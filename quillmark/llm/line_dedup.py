@@ -18,8 +18,8 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from quillmark.llm._spark import written
-from quillmark.llm._words import SPACED, U64, Words, mix, ragged, slices, utf8
+from quillmark.llm._spark import bounded_batches, written
+from quillmark.llm._words import SPACED, U64, Words, mix, ragged, slices, trimmed, utf8
 from quillmark.llm.substring_dedup import _range_hashes
 
 MIN_WORDS = 3
@@ -95,8 +95,9 @@ def word_edits(a: list, b: list, most: int = 1) -> int:
 def _lines(src: DataFrame, min_words: int, min_edit: int) -> DataFrame:
     """(h, place, k0..k3) per line that may go; the keys are null where no edit is allowed."""
 
+    bounded_batches(src)
     def scan(batches):
-        for b in batches:
+        for b in trimmed(batches):
             raw, off = utf8(b.column(2))
             for lo, hi in slices(off):
                 words, row, line = line_words(raw, off[lo : hi + 1])
@@ -117,6 +118,7 @@ def _lines(src: DataFrame, min_words: int, min_edit: int) -> DataFrame:
 
 def gone_lines(src: DataFrame, *, min_words: int = MIN_WORDS, min_edit_words: int = MIN_EDIT_WORDS) -> DataFrame:
     """(id, key, line) of every line that goes; ``src`` has (id bigint, key int, text string)."""
+    bounded_batches(src)
     lines = _lines(src, min_words, min_edit_words)
     place = F.struct("id", "key", "line").cast(PLACE)
     first = written(lines.groupBy("h").agg(F.min(place).alias("first"), *(F.first(k).alias(k) for k in ("k0", "k1", "k2", "k3"))), "lines")
@@ -128,7 +130,7 @@ def gone_lines(src: DataFrame, *, min_words: int = MIN_WORDS, min_edit_words: in
     wanted = first.join(flagged, "h", "left_semi").groupBy("first.id", "first.key").agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "h")).alias("want"))
 
     def pick(batches):
-        for b in batches:
+        for b in trimmed(batches):
             for ident, key, text, want in zip(*(b.column(i).to_pylist() for i in range(4))):
                 every = text.split("\n")
                 yield pa.RecordBatch.from_arrays([pa.array([w["h"] for w in want], pa.int64()), pa.array([ident] * len(want), pa.int64()), pa.array([key] * len(want), pa.int32()), pa.array([w["line"] for w in want], pa.int32()), pa.array([every[w["line"]] for w in want], pa.string())], names=["h", "id", "key", "line", "text"])
@@ -137,7 +139,7 @@ def gone_lines(src: DataFrame, *, min_words: int = MIN_WORDS, min_edit_words: in
     texts = written(joined.mapInArrow(pick, "h bigint, id bigint, key int, line int, text string").dropDuplicates(["h"]), "flagged")
 
     def vary(batches):
-        for b in batches:
+        for b in trimmed(batches):
             raw, off = utf8(b.column(4))
             for lo, hi in slices(off, 200_000):
                 words = Words(raw, off[lo : hi + 1], SPACED)
@@ -154,7 +156,7 @@ def gone_lines(src: DataFrame, *, min_words: int = MIN_WORDS, min_edit_words: in
     partner = replaced.unionByName(longer).where("h != least.h").groupBy("h").agg(F.min("least").alias("least")).select("h", F.col("least.h").alias("other"))
 
     def verify(batches):
-        for b in batches:
+        for b in trimmed(batches):
             ok = pa.array([word_edits(x.split(), y.split()) <= 1 for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist())])
             yield pa.RecordBatch.from_arrays([c.filter(ok) for c in b.columns[:3]], names=["id", "key", "line"])
 
@@ -171,13 +173,14 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     others. Equal lines of one document: the first stays. Repeated rows (same id and text) are one document and
     get one result each. Rows of one id but different texts are ordered by a hash. Other columns are ignored.
     """
+    bounded_batches(docs)
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULLS_LAST)).alias("id"), F.hash(F.col(text_col)).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     gone = gone_lines(src.select("id", "key", "text"), min_words=min_words, min_edit_words=min_edit_words)
     per = gone.groupBy("id", "key").agg(F.collect_set("line").alias("gone"))
     joined = src.join(per, ["id", "key"], "left")
 
     def keep(batches):
-        for b in batches:
+        for b in trimmed(batches):
             n, out, texts = [], [], []
             for text, gone in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 n.append(text.count("\n") + 1)
@@ -197,6 +200,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Texts without lines that go stay as they are, null ones too; other cases as for ``line_dedup``.
     """
+    bounded_batches(docs)
     keyed = docs.withColumns({"_line_id": F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULLS_LAST)), "_line_key": F.hash(F.col(text_col))})
     src = keyed.select(F.col("_line_id").alias("id"), F.col("_line_key").alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     gone = gone_lines(src, min_words=min_words, min_edit_words=min_edit_words)
@@ -205,7 +209,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     at, names = docs.columns.index(text_col), docs.columns
 
     def keep(batches):
-        for b in batches:
+        for b in trimmed(batches):
             texts = b.column(at).to_pylist()
             for i, gone in enumerate(b.column(len(names)).to_pylist()):
                 if gone:

@@ -18,6 +18,9 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
+from quillmark.llm._spark import bounded_batches
+from quillmark.llm._words import trimmed
+
 # Fixed values of the container format.
 CAPTURE = b"OggS"
 CONTINUED, FIRST, LAST = 1, 2, 4
@@ -184,8 +187,9 @@ def features(payload: bytes, rate: int, times: list[float]) -> str:
 def store_media(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): each text (null reads as empty) as a stored Ogg value."""
 
+    bounded_batches(docs)
     def store(batches):
-        for b in batches:
+        for b in trimmed(batches):
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 texts = [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()]
@@ -199,7 +203,7 @@ def read_media(stored: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, payload, tail_crc32, media, feature) of stored values; damaged bytes fail with OggError."""
 
     def read(batches):
-        for b in batches:
+        for b in trimmed(batches):
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 got = [read_ogg(x) for x in part.column(2).to_pylist()]
@@ -219,8 +223,9 @@ def media_digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     other columns are ignored. The digests are taken beside the reader, so the media don't travel back to the JVM.
     """
 
+    bounded_batches(docs)
     def digest(batches):
-        for b in batches:
+        for b in trimmed(batches):
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 media = part.column(2).to_pylist()

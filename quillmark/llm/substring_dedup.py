@@ -19,12 +19,12 @@ import pyspark.sql.functions as F
 import zstandard
 from pyspark.sql import DataFrame
 
-from quillmark.llm._words import SPACED, U64, Words, binary_array, gather, mix, release, runs, same_bytes, slices, utf8, window_starts
+from quillmark.llm._spark import bounded_batches
+from quillmark.llm._words import SPACED, U64, Words, binary_array, gather, mix, release, runs, same_bytes, slices, trimmed, utf8, window_starts
 
 M = 4
 FLUSH_BYTES = 6_000_000
 CHUNK_BYTES = 1_500_000
-BATCH_BYTES = 4_000_000
 _STEP = U64(0x2545F4914F6CDD1D)
 NULLS_LAST = (1 << 63) - 1
 
@@ -212,7 +212,7 @@ def repeated_ranges(docs: DataFrame, *, window: int, partitions: int) -> DataFra
             rows = list(_pack(x, np.flatnonzero(~settled), partitions, np.flatnonzero(settled), window))
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["p", "blob"])
 
-        for b in batches:
+        for b in trimmed(batches):
             ids, keys = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             raw, off = utf8(b.column(2))
             for lo, hi in slices(off):
@@ -224,7 +224,7 @@ def repeated_ranges(docs: DataFrame, *, window: int, partitions: int) -> DataFra
 
     def open_blobs(batches):
         empty = np.zeros(0, np.uint8)
-        for b in batches:
+        for b in trimmed(batches):
             for blob in b.column(1):
                 settled, f = _unpack(blob.as_py())
                 if settled:
@@ -248,7 +248,7 @@ def repeated_ranges(docs: DataFrame, *, window: int, partitions: int) -> DataFra
             if got is not None:
                 yield _ranges(*got)
 
-        for b in batches:
+        for b in trimmed(batches):
             bucket = b.column(0).to_numpy()
             ready = int(np.searchsorted(bucket, 0))  # settled ranges sort first
             if ready:
@@ -281,7 +281,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     comes back null; rows of one id never remove each other's words; other columns are ignored.
     """
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)  # blobs and long texts would fill a batch of 10,000 rows
+    bounded_batches(docs)  # blobs and long texts would fill a batch of 10,000 rows
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULLS_LAST)).alias("id"), F.hash(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
     ranges = repeated_ranges(src.select("id", "key", "text"), window=window, partitions=partitions)
@@ -289,7 +289,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     joined = src.join(gone, ["id", "key"], "left").select("doc_id", "text", "gone")
 
     def keep(batches):
-        for b in batches:
+        for b in trimmed(batches):
             raw, off = utf8(b.column(1))
             for lo, hi in slices(off):
                 words = Words(raw, off[lo : hi + 1], SPACED)

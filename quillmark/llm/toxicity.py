@@ -19,8 +19,8 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from quillmark.llm._spark import crc_mod
-from quillmark.llm._words import ALNUM, Words, slices, utf8
+from quillmark.llm._spark import bounded_batches, crc_mod
+from quillmark.llm._words import ALNUM, Words, slices, trimmed, utf8
 
 VOCABULARY = 256
 INDEX_ROWS = 2_000
@@ -60,7 +60,7 @@ def choose_terms(labelled: DataFrame, size: int = VOCABULARY) -> Vocabulary:
     """Terms by how much more often rows of one label have them; ``labelled`` has (toxic int, text string)."""
 
     def presence(batches):
-        for b in batches:
+        for b in trimmed(batches):
             toxic = b.column(0).to_numpy(zero_copy_only=False)
             raw, off = utf8(b.column(1))
             for lo, hi in slices(off):
@@ -98,7 +98,7 @@ def document_frequencies(docs: DataFrame, text_col: str, terms: Vocabulary) -> t
 
     def count(batches):
         seen, rows = np.zeros(len(terms.hash), np.int64), 0
-        for b in batches:
+        for b in trimmed(batches):
             rows += b.num_rows
             raw, off = utf8(b.column(0))
             for lo, hi in slices(off):
@@ -164,7 +164,7 @@ class Index:
                 got = float(sims @ self.labels[rows] / sims.sum()), ",".join(f"{self.ids[r]}:{s:.4f}" for r, s in zip(rows[:3], sims[:3]))
             else:
                 got = -1.0, ""
-            if len(self.cache) > 200_000:
+            if len(self.cache) > 20_000:
                 self.cache.clear()
             self.cache[key] = got
         return got
@@ -219,6 +219,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", vocabulary: int = VOCABULARY, index_rows: int = INDEX_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
     """Learns from labelled rows whose crc32(id as text) mod 3 is not 1; rows without a label of 0 or 1 teach nothing."""
+    bounded_batches(docs)
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & (crc_mod(F.col("doc_id"), 3) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
     order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
@@ -236,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     idf = np.log((rows + 1) / (seen + 1)) + 1.0
 
     def vectors(batches):
-        for b in batches:
+        for b in trimmed(batches):
             raw, off = utf8(b.column(3))
             for lo, hi in slices(off):
                 row, term, times = terms.counts(*_row_words(raw, off[lo : hi + 1]))
@@ -264,11 +265,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     Null and empty texts, and texts without any known term, get the rate of such texts. Without labels all scores are 0.5.
     Repeated rows repeat; labels, languages, sources and ids are no input of a score; other columns are ignored.
     """
+    bounded_batches(docs)
     model = model or fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in trimmed(batches):
             raw, off = utf8(b.column(2))
             for lo, hi in slices(off):
                 scores, evidence = shared.value.scores(raw, off[lo : hi + 1])
@@ -283,11 +285,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with a score below the threshold, with all their columns; cases as for ``toxicity``."""
+    bounded_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col))
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in trimmed(batches):
             raw, off = utf8(b.column(at))
             for lo, hi in slices(off):
                 scores, _ = shared.value.scores(raw, off[lo : hi + 1])
