@@ -5,9 +5,11 @@ functions samples the ``TAKEN`` least labelled k-mers and keeps them in text ord
 well as equal content. Two texts are near duplicates if their edit similarity over words, 1 - distance / longer
 length, is ``SIMILARITY`` or more; the distance is computed bit-parallel in the band that this allows.
 
-Equal texts are one node first (by the hash of their words). Texts with a sketch in common form a bucket; its members are
-compared with the bucket's least text only, members that don't belong to its class with the least of the rest in the
-next round, for ``ROUNDS`` rounds. So a bucket of n texts makes at most n - 1 pairs a round, and common passages no squares. Classes are
+Equal texts are one node first (by the hash of their words). Texts with a sketch in common form a bucket. For ``ROUNDS`` rounds the
+members of a bucket are compared with one leader, the text with most links so far; only the leader leaves then, for
+members of its class may still link others. What remains is compared pair by pair, except pairs of one class: tiles of
+``TILE`` x ``TILE`` members are spread over the tasks, and bags of words in ``BINS`` bins, which never count more edits than there
+are, tell most distant pairs apart without their texts. So no bucket is left with an untried pair of two classes. Classes are
 the connected components of verified pairs; the first document of a class by id stays.
 """
 
@@ -27,6 +29,8 @@ SKETCHES = 32
 TAKEN = 2
 SIMILARITY = 0.8
 ROUNDS = 3
+BINS = 128
+TILE = 2048
 NULLS_LAST = (1 << 63) - 1
 _SEEDS = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
@@ -138,6 +142,43 @@ def similar(a: list, b: list, similarity: float = SIMILARITY) -> bool:
     return banded_distance(a, b, most) <= most
 
 
+def bags(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """rows x ``BINS`` counts of the words by hash, 255 at most, and for each row how many words are beyond that."""
+    rows = len(words.first) - 1
+    full = np.bincount(words.rows() * BINS + (words.hashes() % U64(BINS)).astype(np.int64), minlength=rows * BINS).reshape(rows, BINS)
+    least = np.minimum(full, 255)
+    return least.astype(np.uint8), (full - least).sum(1)
+
+
+def possible_pairs(n: np.ndarray, root: np.ndarray, bag: np.ndarray, over: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY, step: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows ``a`` with rows ``b`` of other classes whose lengths and bags allow the similarity: no similar pair is missing.
+
+    Two texts share at most the sum of their bins' lesser counts, and the longer has at least as many edits as words beyond those.
+    """
+    left, right = [], []
+    b = b[np.argsort(n[b], kind="stable")]
+    a = a[np.argsort(n[a], kind="stable")]
+    for at in range(0, len(a), step):
+        x = a[at : at + step]
+        lo = np.searchsorted(n[b], int(n[x[0]] * similarity) - 1)
+        hi = np.searchsorted(n[b], int(n[x[-1]] / similarity) + 2)
+        y = b[lo:hi]
+        if not len(y):
+            continue
+        one, two = np.ascontiguousarray(bag[x].T.astype(np.uint16)), np.ascontiguousarray(bag[y].T.astype(np.uint16))
+        common = np.zeros((len(x), len(y)), np.uint16)
+        for i in range(BINS):
+            common += np.minimum(one[i][:, None], two[i])
+        longer = np.maximum(n[x][:, None], n[y])
+        most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+        ok = (longer - common - np.minimum(over[x][:, None], over[y]) <= most) & (longer - np.minimum(n[x][:, None], n[y]) <= most) & (root[x][:, None] != root[y])
+        i, j = np.nonzero(ok)
+        left.append(x[i])
+        right.append(y[j])
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(left or none), np.concatenate(right or none)
+
+
 def sketch_documents(src: DataFrame, *, k: int = K, count: int = SKETCHES, taken: int = TAKEN) -> DataFrame:
     """(doc_id, id, key, node, n, sketch) per row of (doc_id, id, key, text); ``node`` is the hash of the words, null without any."""
 
@@ -198,26 +239,38 @@ def near_classes(src: DataFrame, *, k: int = K, count: int = SKETCHES, taken: in
             ok = pa.array([similar(x.split(" "), y.split(" "), similarity) for x, y in zip(*(_spaced(b.column(i)) for i in (2, 3)))], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
+    def compare(pairs):
+        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+        return written(both.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint"), "links")
+
     edges, tried, found = None, None, None
+    active = active.withColumn("root", F.col("node")).withColumn("links", F.lit(0).cast("bigint"))
     for _ in range(rounds):
-        leaders = active.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("last")).where("lead.node != last").select("bucket", "lead")
+        first = F.max_by(F.struct("node", "n", "root"), F.struct("links", -F.col("node")))
+        leaders = active.groupBy("bucket").agg(first.alias("lead"))
         longer, apart = F.greatest("n", "lead.n"), F.abs(F.col("n") - F.col("lead.n"))
-        pairs = active.join(leaders, "bucket").where(F.col("node") != F.col("lead.node")).where(apart <= longer * (1 - similarity) + 1e-9).select("node", F.col("lead.node").alias("lead")).distinct()
+        pairs = active.join(leaders, "bucket").where(F.col("root") != F.col("lead.root")).where(apart <= longer * (1 - similarity) + 1e-9)
+        pairs = pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
         if tried is not None:
-            pairs = pairs.join(tried, ["node", "lead"], "left_anti")
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
+        if not pairs.isEmpty():
+            tried = pairs if tried is None else tried.unionByName(pairs)
+            new = compare(pairs)
+            edges = new if edges is None else edges.unionByName(new)
+            found = components(edges)
+        rest = active.select("node", "n", "bucket").join(leaders.select("bucket", F.col("lead.node").alias("node")), ["bucket", "node"], "left_anti")
+        active = written(_open_buckets(rest, edges, found), "buckets")
+        if active.isEmpty():
             break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        both = pairs.join(texts.select("node", F.col("text").alias("x")), "node").join(texts.select(F.col("node").alias("lead"), F.col("text").alias("y")), "lead")
-        new = written(both.select("node", "lead", "x", "y").mapInArrow(verify, "a bigint, b bigint"), "links")
+
+    if not active.isEmpty():
+        pairs = _remaining_pairs(active, texts, similarity)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        new = compare(written(pairs, "pairs"))
         edges = new if edges is None else edges.unionByName(new)
         found = components(edges)
-        with_root = active.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        lead_root = leaders.select("bucket", F.col("lead.node").alias("node")).join(found, "node", "left").select("bucket", F.coalesce("root", "node").alias("lead_root"))
-        rest = with_root.join(lead_root, "bucket").where("root != lead_root").select("node", "n", "bucket")
-        left = rest.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("bucket")
-        active = written(rest.join(left, "bucket", "left_semi"), "buckets")
 
     rooted = nodes.select("node", "place")
     if found is not None:
@@ -230,6 +283,44 @@ def near_classes(src: DataFrame, *, k: int = K, count: int = SKETCHES, taken: in
     return out.select("doc_id", "id", "key", "n", own.getField("id").alias("class_id"), own.getField("key").alias("class_key")).withColumn("kept", (F.col("id") == F.col("class_id")) & (F.col("key") == F.col("class_key")))
 
 
+def _open_buckets(members: DataFrame, edges: DataFrame | None, found: DataFrame | None) -> DataFrame:
+    """(node, n, bucket, root, links) of the members of buckets that hold two classes."""
+    if found is None:
+        out = members.withColumn("root", F.col("node")).withColumn("links", F.lit(0).cast("bigint"))
+    else:
+        links = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+        out = members.join(found.join(links, "node", "full"), "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("links", F.coalesce("links", F.lit(0)))
+    several = out.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
+    return out.join(several, "bucket", "left_semi").select("node", "n", "bucket", "root", "links")
+
+
+def _remaining_pairs(active: DataFrame, texts: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
+    """(a, b) of all members of one bucket and two classes that lengths and bags don't tell apart, a < b."""
+
+    def bagged(batches):
+        for b in trimmed(batches):
+            raw, off = utf8(b.column(1))
+            for lo, hi in slices(off):
+                bag, over = bags(Words(raw, off[lo : hi + 1], SPACED))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([x.tobytes() for x in bag], pa.binary()), pa.array(over, pa.int64())], names=["node", "bag", "over"])
+
+    def meet(key, group):
+        i, j = key[1].as_py(), key[2].as_py()
+        node, n, root, over, chunk = (group[c].to_numpy().astype(np.int64) for c in ("node", "n", "root", "over", "chunk"))
+        bag = np.frombuffer(b"".join(group["bag"].to_pylist()), np.uint8).reshape(-1, BINS)
+        a, b = possible_pairs(n, root, bag, over, np.flatnonzero(chunk == i), np.flatnonzero(chunk == j), similarity)
+        a, b = node[a], node[b]
+        once = (a < b) | (i != j)
+        a, b = a[once], b[once]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    some = texts.join(active.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(bagged, "node bigint, bag binary, over bigint")
+    sizes = active.groupBy("bucket").agg(F.ceil(F.count("*") / tile).cast("int").alias("chunks"))
+    chunked = active.select("node", "n", "bucket", "root").join(sizes, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int"))
+    dealt = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("node", "n", "root", "bucket", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    return dealt.join(some, "node").groupBy("bucket", "i", "j").applyInArrow(meet, "a bigint, b bigint").distinct()
+
+
 def _spaced(column: pa.Array) -> list[str]:
     raw, off = utf8(column)
     words = Words(raw, off, SPACED)

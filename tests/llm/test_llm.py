@@ -151,6 +151,56 @@ def test_near_dedup(spark, docs):
     assert banded_distance(list("kitten"), list("sitting"), 3) == 3 and banded_distance(list("kitten"), list("sitting"), 2) == 3
 
 
+def test_near_dedup_star(spark):
+    """One original and a thousand copies that are similar to it, and not to one another, are one class."""
+    from quillmark.llm.near_dedup import near_duplicates, similar
+
+    rnd = random.Random(7)
+    base = [f"v{rnd.randrange(5000)}" for _ in range(100)]
+    rows = [base]
+    for c in range(1000):
+        at = set(rnd.sample(range(100), 12))
+        rows.append([f"c{c}x{i}" if i in at else w for i, w in enumerate(base)])
+    pairs = [(rnd.randrange(1, 1001), rnd.randrange(1, 1001)) for _ in range(200)]
+    assert all(similar(base, r) for r in rows) and sum(similar(rows[a], rows[b]) for a, b in pairs if a != b) < 20
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id bigint, text string").repartition(3)
+    apart = [r.doc_id for r in near_duplicates(df).collect() if r.class_id != 0]
+    assert len(apart) <= 10, apart  # copies that share no sketch with the original
+
+
+def test_remaining_pairs_are_exact():
+    import numpy as np
+
+    from quillmark.llm._words import SPACED, Words, utf8
+    from quillmark.llm.near_dedup import bags, possible_pairs, similar
+    import pyarrow as pa
+
+    rnd = random.Random(8)
+    rows = []
+    for g in range(12):
+        base = [f"g{g % 6}v{rnd.randrange(40)}" for _ in range(rnd.choice([6, 20, 60, 900]))] + ["the"] * rnd.choice([0, 400])
+        rows += [[w for w in base if rnd.random() > 0.05] + ["new"] * rnd.randrange(3) for _ in range(5)]
+    bag, over = bags(Words(*utf8(pa.array([" ".join(r) for r in rows])), SPACED))
+    every, n = np.arange(len(rows)), np.array([len(r) for r in rows])
+    a, b = possible_pairs(n, every, bag, over, every, every)
+    want = {(x, y) for x in every for y in every if x < y and similar(rows[x], rows[y])}
+    assert want and want <= set(zip(a.tolist(), b.tolist())) and over.max() > 0
+
+
+def test_common_passage_pairs_are_tried(spark):
+    """Texts in one bucket with no leader in common: without any round of leaders all pairs are still tried."""
+    from quillmark.llm.near_dedup import near_duplicates
+
+    rnd = random.Random(9)
+    rows = []
+    for _ in range(30):
+        own = [f"o{rnd.randrange(10**9)}" for _ in range(60)]
+        rows += [["common"] * 40 + own, ["common"] * 40 + own[:30] + ["x"] + own[30:]]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id bigint, text string").repartition(3)
+    for rounds in (0, 1, 3):
+        assert {r.doc_id: r.class_id for r in near_duplicates(df, rounds=rounds).collect()} == {i: i - i % 2 for i in range(60)}
+
+
 def brute_lines(rows):
     """Rows of (id, text) with int ids: the lines that go."""
     lines = [(i, k, l, WORD.findall(l)) for i, t in rows for k, l in enumerate(t.split("\n"))]
