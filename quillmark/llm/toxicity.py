@@ -2,10 +2,9 @@
 
 The model is fitted on a bounded sample of the training rows: for each label those with the smallest hashes of their ids, at most
 2 * ``INDEX_ROWS`` + ``CALIBRATION_ROWS`` in all, whose ids are broadcast. Terms are lower-cased runs of letters and digits. The
-vocabulary is the ``VOCABULARY`` terms whose presence tells most about the label in the sample (largest G statistic);
-their document frequencies are counted over all documents. The index holds at most ``INDEX_ROWS`` training rows with label 1 and as many with label 0, the smallest hashes of their ids,
+vocabulary is all terms of the sample; their document frequencies are counted over all documents. The index holds at most ``INDEX_ROWS`` training rows with label 1 and as many with label 0, the smallest hashes of their ids,
 as postings in blocks with the largest weight of each block. A query visits its terms' postings; blocks whose
-bound can't reach the current k-th similarity are skipped, so the neighbours are exact.
+bound can't reach the current k-th similarity are skipped, so the neighbours are exact. Memory follows the postings.
 
 The vote of the ``k`` neighbours is weighted by similarity and turned into a probability by isotonic steps over the rows of
 the index, each without itself, and at most ``CALIBRATION_ROWS`` other training rows, weighted to the shares of the labels. Texts without any term of the vocabulary are one group with
@@ -14,19 +13,18 @@ its own rate.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from quillmark.llm._spark import bounded_batches, crc_mod
-from quillmark.llm._words import ALNUM, Words, slices, trimmed, utf8
+from quillmark.llm._words import ALNUM, Words, ragged, slices, trimmed, utf8
 
-VOCABULARY = 256
 INDEX_ROWS = 2_000
 CALIBRATION_ROWS = 20_000
-MIN_DOCS = 3
-MIN_G = 10.83  # the 0.001 point of the chi-square distribution with one degree of freedom
 K = 15
 BLOCK = 64
 THRESHOLD = 0.7
@@ -45,6 +43,13 @@ class Vocabulary:
         order = np.argsort(self.hash)
         self.hash, self.names = self.hash[order], [terms[i][1] for i in order]
 
+    @classmethod
+    def of(cls, hashes: np.ndarray) -> Vocabulary:
+        """From hashes alone, without names."""
+        out = cls([])
+        out.hash = np.sort(hashes.astype(np.int64).view(np.uint64))
+        return out
+
     def counts(self, words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, term, times) of the vocabulary's terms in the rows."""
         if not len(self.hash) or not len(h):
@@ -56,41 +61,20 @@ class Vocabulary:
         return cell // len(self.hash), cell % len(self.hash), times
 
 
-def choose_terms(labelled: DataFrame, size: int = VOCABULARY) -> Vocabulary:
-    """Terms by how much more often rows of one label have them; ``labelled`` has (toxic int, text string)."""
+def sample_terms(labelled: DataFrame) -> Vocabulary:
+    """All terms of the rows of ``labelled``, which has (toxic int, text string); none unless there are both labels."""
 
-    def presence(batches):
+    def distinct(batches):
         for b in trimmed(batches):
-            toxic = b.column(0).to_numpy(zero_copy_only=False)
-            raw, off = utf8(b.column(1))
+            raw, off = utf8(b.column(0))
             for lo, hi in slices(off):
-                words, h = _row_words(raw, off[lo : hi + 1])
-                row = words.rows()
-                order = np.lexsort((h, row))
-                first = np.ones(len(order), bool)
-                first[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
-                i = order[first]
-                distinct, example, inverse = np.unique(h[i], return_index=True, return_inverse=True)
-                is_toxic = (toxic[lo:hi] == 1)[row[i]]
-                one = np.bincount(inverse, weights=is_toxic, minlength=len(distinct)).astype(np.int64)
-                names = [words.data[words.starts[j] : words.ends[j]].tobytes().decode()[:64] for j in i[example]]
-                yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(names, pa.string()), pa.array(one), pa.array(np.bincount(inverse, minlength=len(distinct)) - one)], names=["h", "name", "one", "zero"])
+                _, h = _row_words(raw, off[lo : hi + 1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(h).view(np.int64))], names=["h"])
 
     totals = labelled.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
-    ones, zeros = (totals[0] or 0), (totals[1] or 0)
-    if not ones or not zeros:
+    if not totals[0] or not totals[1]:
         return Vocabulary([])
-    terms = labelled.select("toxic", "text").mapInArrow(presence, "h bigint, name string, one bigint, zero bigint").groupBy("h").agg(F.min("name").alias("name"), F.sum("one").alias("one"), F.sum("zero").alias("zero"))
-
-    def part(seen, expected):
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
-
-    both = F.col("one") + F.col("zero")
-    n = float(ones + zeros)
-    cells = [(F.col("one"), both * ones / n), (F.col("zero"), both * zeros / n), (ones - F.col("one"), (n - both) * ones / n), (zeros - F.col("zero"), (n - both) * zeros / n)]
-    g = sum((part(s, e) for s, e in cells), F.lit(0.0)) * 2
-    best = terms.where(both >= MIN_DOCS).withColumn("g", g).where(F.col("g") >= MIN_G).orderBy(F.desc("g"), "h").limit(size).collect()  # at most ``size`` terms
-    return Vocabulary([(r.h, r.name) for r in best])
+    return Vocabulary.of(labelled.select("text").mapInArrow(distinct, "h bigint").distinct().toArrow()["h"].to_numpy())  # of a bounded number of rows
 
 
 def document_frequencies(docs: DataFrame, text_col: str, terms: Vocabulary) -> tuple[np.ndarray, int]:
@@ -104,15 +88,14 @@ def document_frequencies(docs: DataFrame, text_col: str, terms: Vocabulary) -> t
             for lo, hi in slices(off):
                 _, term, _ = terms.counts(*_row_words(raw, off[lo : hi + 1]))
                 seen += np.bincount(term, minlength=len(seen))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(seen)), -1), pa.int32()), pa.array(np.append(seen, rows))], names=["term", "n"])
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(seen[some], rows))], names=["term", "n"])
 
-    out, rows = np.zeros(len(terms.hash), np.int64), 0
-    for r in docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        if r.term < 0:
-            rows = r.n
-        else:
-            out[r.term] = r.n
-    return out, rows
+    got = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = got["term"].to_numpy(), got["n"].to_numpy()
+    out = np.zeros(len(terms.hash), np.int64)
+    out[term[term >= 0]] = n[term >= 0]
+    return out, int(n[term < 0].sum())
 
 
 class Index:
@@ -120,15 +103,29 @@ class Index:
 
     def __init__(self, terms: Vocabulary, idf: np.ndarray, row: np.ndarray, term: np.ndarray, times: np.ndarray, labels: np.ndarray, ids: list):
         self.terms, self.idf, self.labels, self.ids = terms, idf, labels, ids
-        self.weight = np.zeros((len(terms.hash), max(len(labels), 1)), np.float64)
         weight = (1 + np.log(times)) * idf[term] if len(term) else np.zeros(0)
         norm = np.sqrt(np.bincount(row, weights=weight**2, minlength=len(labels))) if len(labels) else np.ones(1)
-        self.weight[term, row] = weight / np.maximum(norm[row], 1e-12)
-        self.postings = [np.flatnonzero(w) for w in self.weight]
-        edges = np.arange(0, self.weight.shape[1], BLOCK)
-        self.bound = np.maximum.reduceat(self.weight, edges, axis=1)
+        order = np.lexsort((row, term))
+        self.row, term = row[order], term[order]
+        self.value = weight[order] / np.maximum(norm[self.row], 1e-12)
+        block = self.row // BLOCK
+        new = np.ones(len(order), bool)  # a block of a term's postings starts
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        self.start = np.flatnonzero(new)
+        self.size = np.diff(np.append(self.start, len(order)))
+        self.block = block[self.start]
+        self.bound = np.maximum.reduceat(self.value, self.start) if len(self.start) else np.zeros(0)
+        self.first = np.searchsorted(term[self.start], np.arange(len(terms.hash) + 1))
         self.cache: dict = {}
 
+    @property
+    def weight(self) -> np.ndarray:
+        """The weights as a matrix of terms and rows, for looking at small indexes."""
+        out = np.zeros((len(self.terms.hash), max(len(self.labels), 1)))
+        per_term = np.diff(np.append(self.start, len(self.row))[self.first])
+        out[np.repeat(np.arange(len(per_term)), per_term), self.row] = self.value
+        return out
+
     def nearest(self, term: np.ndarray, times: np.ndarray, k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k most similar rows with a similarity above 0 and the similarities; ties go to the earlier row."""
         weight = (1 + np.log(times)) * self.idf[term]
@@ -136,7 +133,10 @@ class Index:
         if not norm or not len(self.labels):
             return np.zeros(0, np.int64), np.zeros(0)
         weight = weight / norm
-        bound = weight @ self.bound[term]
+        parts = self.first[term + 1] - self.first[term]
+        at_part = ragged(self.first[term], parts)
+        block, part_weight = self.block[at_part], np.repeat(weight, parts)
+        bound = np.bincount(block, weights=part_weight * self.bound[at_part], minlength=-(-len(self.labels) // BLOCK))
         order = np.argsort(-bound, kind="stable")
         best_row, best_sim = np.zeros(0, np.int64), np.zeros(0)
         at, take = 0, 4
@@ -144,11 +144,15 @@ class Index:
             if len(best_sim) >= k and bound[order[at]] < best_sim[k - 1] - 1e-12:
                 break  # no later block can hold a nearer row
             blocks = order[at : at + take]
-            rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            rows = rows[(rows < len(self.labels)) & (rows != skip)]
-            sims = np.round(weight @ self.weight[np.ix_(term, rows)], 12)
-            keep = sims > 0
-            best_row, best_sim = np.concatenate([best_row, rows[keep]]), np.concatenate([best_sim, sims[keep]])
+            wanted = np.zeros(len(bound), bool)
+            wanted[blocks] = True
+            some = wanted[block]
+            size = self.size[at_part[some]]
+            posting = ragged(self.start[at_part[some]], size)
+            sims = np.round(np.bincount(self.row[posting], weights=np.repeat(part_weight[some], size) * self.value[posting], minlength=len(self.labels)), 12)
+            rows = np.flatnonzero(sims > 0)
+            rows = rows[rows != skip]
+            best_row, best_sim = np.concatenate([best_row, rows]), np.concatenate([best_sim, sims[rows]])
             top = np.lexsort((best_row, -best_sim))[:k]
             best_row, best_sim = best_row[top], best_sim[top]
             at, take = at + take, take * 2
@@ -164,7 +168,7 @@ class Index:
                 got = float(sims @ self.labels[rows] / sims.sum()), ",".join(f"{self.ids[r]}:{s:.4f}" for r, s in zip(rows[:3], sims[:3]))
             else:
                 got = -1.0, ""
-            if len(self.cache) > 20_000:
+            if len(self.cache) > 1_000:
                 self.cache.clear()
             self.cache[key] = got
         return got
@@ -217,7 +221,7 @@ class Model:
         return scores, evidence
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", vocabulary: int = VOCABULARY, index_rows: int = INDEX_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", index_rows: int = INDEX_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
     """Learns from labelled rows whose crc32(id as text) mod 3 is not 1; rows without a label of 0 or 1 teach nothing."""
     bounded_batches(docs)
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & (crc_mod(F.col("doc_id"), 3) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -232,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         other = rest if other is None else other.unionByName(rest)
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     picked = text.join(F.broadcast(index_ids.unionByName(other)), "doc_id")  # 2 * index_rows + calibration_rows ids at most
-    terms = choose_terms(picked.select("toxic", "text"), vocabulary)
+    terms = sample_terms(picked.select("toxic", "text"))
     seen, rows = document_frequencies(docs, text_col, terms)
     idf = np.log((rows + 1) / (seen + 1)) + 1.0
 
@@ -245,15 +249,21 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 part = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(term, pa.int32())), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(times, pa.int32()))], names=["doc_id", "toxic", "role", "term", "times"])
 
-    got = picked.select(F.col("doc_id").cast("string").alias("doc_id"), "toxic", "role", "text").mapInArrow(vectors, "doc_id string, toxic int, role string, term array<int>, times array<int>").collect()
-    got.sort(key=lambda r: (len(r.doc_id or ""), r.doc_id or "", r.term, r.times))
-    inside = [r for r in got if r.role == "index" and r.term]
-    row = np.repeat(np.arange(len(inside)), [len(r.term) for r in inside])
-    flat = lambda name: np.array([x for r in inside for x in getattr(r, name)], np.int64)
-    index = Index(terms, idf, row, flat("term"), flat("times"), np.array([r.toxic for r in inside], np.float64), [r.doc_id for r in inside])
-    place = {id(r): i for i, r in enumerate(inside)}
-    votes = np.array([index.vote(np.array(r.term, np.int64), np.array(r.times, np.int64), place.get(id(r), -1))[0] if r.term else -1.0 for r in got])
-    label = np.array([r.toxic for r in got], np.int64)
+    table = picked.select(F.col("doc_id").cast("string").alias("doc_id"), "toxic", "role", "text").mapInArrow(vectors, "doc_id string, toxic int, role string, term array<int>, times array<int>").toArrow()
+    ids, toxic, role = (table[c].to_pylist() for c in ("doc_id", "toxic", "role"))
+    lists = [table[c].combine_chunks() for c in ("term", "times")]
+    edge = np.concatenate([[0], np.cumsum(lists[0].value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+    term, times = (x.flatten().to_numpy().astype(np.int64) for x in lists)
+    got = [(ids[i], toxic[i], role[i], term[edge[i] : edge[i + 1]], times[edge[i] : edge[i + 1]]) for i in range(len(ids))]
+    del table, lists
+    got.sort(key=lambda r: (len(r[0] or ""), r[0] or "", zlib.crc32(r[3]), zlib.crc32(r[4])))  # lists of numbers as keys would take 300 MB
+    inside = [i for i, r in enumerate(got) if r[2] == "index" and len(r[3])]
+    row = np.repeat(np.arange(len(inside)), [len(got[i][3]) for i in inside])
+    flat = lambda k: np.concatenate([got[i][k] for i in inside] or [np.zeros(0, np.int64)])
+    index = Index(terms, idf, row, flat(3), flat(4), np.array([got[i][1] for i in inside], np.float64), [got[i][0] for i in inside])
+    place = {i: j for j, i in enumerate(inside)}
+    votes = np.array([index.vote(r[3], r[4], place.get(i, -1))[0] if len(r[3]) else -1.0 for i, r in enumerate(got)])
+    label = np.array([r[1] for r in got], np.int64)
     share = np.array([totals.get(k, 0) / max(int((label == k).sum()), 1) for k in (0, 1)])  # the index holds labels in other shares than the rows
     index.cache.clear()
     return Model(index, Calibration(votes, label.astype(np.float64), share[label] if len(label) else np.zeros(0)))

@@ -270,6 +270,21 @@ def test_toxicity(spark, docs):
     assert steps(0.1) == steps(0.2) <= steps(0.9)
 
 
+def test_toxicity_uses_rare_terms(spark):
+    """Toxic rows that share one word each, in two sample rows only: too rare for a list of the most telling terms."""
+    from quillmark.llm.toxicity import fit
+
+    rows, labels = [], []
+    for i in range(400):
+        rows.append((i, f"plain{i % 7} talk{i % 5} {f'bad{i // 8}' if i % 4 == 0 else f'good{i // 8}'} {' '.join(f'w{(i * 7 + j) % 600}' for j in range(4))}"))
+        labels.append((i, int(i % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = fit(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    sample = {w for i, t in rows if zlib.crc32(str(i).encode()) % 3 != 1 for w in t.split()}
+    assert len(sample) > 256 and len(model.index.terms.hash) == len(sample)
+    assert len(model.index.row) == sum(len(set(t.split())) for i, t in rows if zlib.crc32(str(i).encode()) % 3 != 1)
+
+
 def test_nearest_is_exact():
     import numpy as np
 
