@@ -45,6 +45,11 @@ def bounded_batches(df: DataFrame) -> None:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """A column name for each of ``names`` that the frame doesn't have."""
+    return [f"_{n}_{uuid.uuid4().hex}" for n in names]
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
