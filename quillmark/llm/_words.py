@@ -15,6 +15,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 SLICE_BYTES = 1_000_000
+HASH_BYTES = 1 << 18
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _BASE2 = U64(0xD6E8FEB86659FD93)
 
@@ -121,24 +122,40 @@ class Words:
         return out, at
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=2)
+def _powers(which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse for ``HASH_BYTES`` places."""
     base = (_BASE, _BASE2)[which]
-    inverse = U64(pow(int(base), -1, 1 << 64))
     out = []
-    for b in (base, inverse):
-        p = np.full(n, b, U64)
+    for b in (base, U64(pow(int(base), -1, 1 << 64))):
+        p = np.full(HASH_BYTES, b, U64)
         p[0] = 1
         out.append(np.cumprod(p, dtype=U64))
     return out[0], out[1]
 
 
 def _poly(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
-    n = max(1 << 16, 1 << int(len(data) + 1).bit_length())
-    power, inverse = _powers(n, which)
-    c = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * power[: len(data)], out=c[1:])
-    return (c[ends] - c[starts]) * inverse[starts]
+    """A polynomial of each word's bytes, whatever its place; ``HASH_BYTES`` of the data are looked at at a time."""
+    power, inverse = _powers(which)
+    out = np.zeros(len(starts), U64)
+    a = 0
+    while a < len(starts):
+        at = int(starts[a])
+        b = int(np.searchsorted(ends, at + HASH_BYTES, "right"))
+        if b > a:
+            part = data[at : int(ends[b - 1])]
+            c = np.zeros(len(part) + 1, U64)
+            np.cumsum((part.astype(U64) + U64(1)) * power[: len(part)], out=c[1:])
+            out[a:b] = (c[ends[a:b] - at] - c[starts[a:b] - at]) * inverse[starts[a:b] - at]
+        else:  # one word longer than that
+            b, total, scale = a + 1, 0, 1
+            for i in range(at, int(ends[a]), HASH_BYTES):
+                part = data[i : min(i + HASH_BYTES, int(ends[a]))]
+                total += int(((part.astype(U64) + U64(1)) * power[: len(part)]).sum(dtype=U64)) * scale
+                scale = scale * pow(int((_BASE, _BASE2)[which]), HASH_BYTES, 1 << 64) & (1 << 64) - 1
+            out[a] = U64(total & (1 << 64) - 1)
+        a = b
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:

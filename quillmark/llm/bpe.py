@@ -16,6 +16,7 @@ import base64
 import gc
 import hashlib
 import struct
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,12 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 from quillmark.llm._spark import bounded_batches
-from quillmark.llm._words import trimmed
+from quillmark.llm._words import release, trimmed
 
-MAX_STATES = 150_000
-MAX_PIECES = 500_000
+# What a Python worker holds: 60,000 states of about 700 bytes, 240,000 pairs of 100 and two generations of 200,000 pre-tokens of 180
+# bytes at most, some 140 MB whatever the texts.
+MAX_STATES = 60_000
+MAX_PIECES = 200_000
 #: Deeper states are made for long pre-tokens only.
 SHARED_PREFIX = 6
 LOOKAHEAD = 24
@@ -254,25 +257,24 @@ class Encoder:
 
         self.find = regex.compile(pattern).findall
         self.machine = Transducer(ranks)
-        self.kept: dict[str, tuple[str, bytes]] = {}  # full, it becomes ``older``; what is met again moves back
-        self.older: dict[str, tuple[str, bytes]] = {}
-
-    def ids(self, text: str) -> tuple[str, bytes]:
-        """Decimal ids, each followed by one space; and the same ids as 32-bit numbers."""
-        pieces, kept = self.find(text), self.kept
-        if len(kept) > MAX_PIECES:
-            self.older, kept = kept, {}
-            self.kept = kept
-        got = [kept.get(p) or self._new(p) for p in pieces]
-        return "".join([g[0] for g in got]), b"".join([g[1] for g in got])
-
-    def _new(self, piece: str) -> tuple[str, bytes]:
+        self.kept: dict[str, bytes] = {}  # full, it becomes ``older``; what is met again moves back
+        self.older: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> bytes:
+        """The ids as 32-bit numbers."""
+        get, new = self.kept.get, self._new
+        return b"".join([get(p) or new(p) for p in self.find(text)])
+
+    def _new(self, piece: str) -> bytes:
         data = piece.encode()
         out = self.older.get(piece)
         if out is None:
             ids = self.machine.encode(data)
-            out = "".join([f"{i} " for i in ids]), struct.pack(f"<{len(ids)}i", *ids)
-        if len(data) <= KEEP_BYTES and len(self.kept) <= 2 * MAX_PIECES:
+            out = struct.pack(f"<{len(ids)}i", *ids)
+        if len(data) <= KEEP_BYTES:
+            if len(self.kept) >= MAX_PIECES:
+                self.older = self.kept.copy()
+                self.kept.clear()
             self.kept[piece] = out
         return out
 
@@ -351,11 +353,7 @@ class Utf8Stream:
 class Decoder:
     """Ids to bytes by one gather over the vocabulary, in bounded steps."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        n = max(ranks.values()) + 1
-        by = [b""] * n
-        for t, i in ranks.items():
-            by[i] = t
+    def __init__(self, by: list[bytes]):
         self.size = np.array([len(t) for t in by], np.int64)
         self.at = np.cumsum(self.size) - self.size
         self.data = np.frombuffer(b"".join(by), np.uint8)
@@ -374,17 +372,37 @@ class Decoder:
             a = b
 
 
-_SHARED: dict[tuple[str, str], tuple[Encoder, Decoder]] = {}
+def token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
+    by = [b""] * (max(ranks.values()) + 1)
+    for t, i in ranks.items():
+        by[i] = t
+    return by
+
 
+_SHARED: dict[tuple[str, str], tuple] = {}
 
-def _codec(path: str, pattern: str) -> tuple[Encoder, Decoder]:
-    """Encoder and decoder of this Python worker, made once."""
-    key = (path, pattern)
-    gc.disable()  # states have no cycles; collecting them again and again took a third of the time
-    if key not in _SHARED:
-        ranks = load_ranks(path)
-        _SHARED[key] = Encoder(ranks, pattern), Decoder(ranks)
-    return _SHARED[key]
+
+@contextmanager
+def _codec(path: str, pattern: str):
+    """(encoder, from ids to their bytes, from ids to their decimals with a space after each), made once in this Python worker.
+
+    Spark keeps workers for later tasks, so what is made stays within the bounds above. The states have no cycles, and
+    looking for some again and again took a third of the time: meanwhile the collector rests, and afterwards it no longer sees them.
+    """
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        key = (path, pattern)
+        if key not in _SHARED:
+            ranks = load_ranks(path)
+            by = token_bytes(ranks)
+            _SHARED[key] = Encoder(ranks, pattern), Decoder(by), Decoder([b"%d " % i for i in range(len(by))])
+        yield _SHARED[key]
+    finally:
+        gc.freeze()
+        if on:
+            gc.enable()
+        release()
 
 
 def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -395,13 +413,13 @@ def encode(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id",
 
     bounded_batches(docs)
     def run(batches):
-        coder, _ = _codec(path, pattern)
-        for b in trimmed(batches):
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                lists = [np.frombuffer(coder.ids(t)[1], np.int32) if t else np.zeros(0, np.int32) for t in part.column(1).to_pylist()]
-                off = np.cumsum([0] + [len(x) for x in lists])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(lists)))], names=["doc_id", "ids"])
+        with _codec(path, pattern) as (coder, _, _):
+            for b in trimmed(batches):
+                for at in range(0, b.num_rows, 256):
+                    part = b.slice(at, 256)
+                    lists = [np.frombuffer(coder.ids(t or ""), np.int32) for t in part.column(1).to_pylist()]
+                    off = np.cumsum([0] + [len(x) for x in lists])
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(lists)))], names=["doc_id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
@@ -412,7 +430,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     bounded_batches(encoded)
     def run(batches):
-        _, decoder = _codec(path, "")
+        decoder = Decoder(token_bytes(load_ranks(path)))
         for b in trimmed(batches):
             texts = []
             for ids in b.column(1):
@@ -424,28 +442,34 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
 
 
+def _digest(coder: Encoder, decoder: Decoder, decimals: Decoder, text: str) -> tuple[int, str, str, int]:
+    ids = np.frombuffer(coder.ids(text), np.int32)
+    told, back, machine, chars = hashlib.sha256(), hashlib.sha256(), Utf8Stream(), 0
+    for x in decimals.chunks(ids[:-1]):
+        told.update(x)
+    told.update(b"%d" % ids[-1] if len(ids) else b"")
+    for x in decoder.chunks(ids):
+        back.update(x)
+        chars += len(machine.feed(x))
+    return len(ids), told.hexdigest(), back.hexdigest(), chars + len(machine.close())
+
+
 def bpe_digest(docs: DataFrame, path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, decoded_chars): every text encoded and its ids decoded, digested in the task."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, decoded_chars): every text encoded and its ids decoded, digested in the task.
+
+    Null reads as empty: no tokens, and the digests of nothing. Repeated rows repeat, other columns are ignored, an empty table
+    gives no rows.
+    """
 
     bounded_batches(docs)
     def run(batches):
-        coder, decoder = _codec(path, pattern)
-        for b in trimmed(batches):
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                n, sha, back, chars = [], [], [], []
-                for t in part.column(1).to_pylist():
-                    joined, packed = coder.ids(t) if t else ("", b"")
-                    ids = np.frombuffer(packed, np.int32)
-                    digest, machine, count = hashlib.sha256(), Utf8Stream(), 0
-                    for x in decoder.chunks(ids):
-                        digest.update(x)
-                        count += len(machine.feed(x))
-                    n.append(len(ids))
-                    sha.append(hashlib.sha256(joined[:-1].encode()).hexdigest())
-                    back.append(digest.hexdigest())
-                    chars.append(count + len(machine.close()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string()), pa.array(chars, pa.int64())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_chars"])
+        with _codec(path, pattern) as (coder, decoder, decimals):
+            for b in trimmed(batches):
+                for at in range(0, b.num_rows, 256):
+                    part = b.slice(at, 256)
+                    rows = [_digest(coder, decoder, decimals, t or "") for t in part.column(1).to_pylist()]
+                    columns = [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_chars"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
