@@ -2,31 +2,36 @@
 
 The model is fitted on a bounded sample of the training rows: for each label those with the smallest hashes of their ids, at most
 2 * ``INDEX_ROWS`` + ``CALIBRATION_ROWS`` in all, whose ids are broadcast. Terms are lower-cased runs of letters and digits. The
-vocabulary is all terms of the sample; their document frequencies are counted over all documents. The index holds at most ``INDEX_ROWS`` training rows with label 1 and as many with label 0, the smallest hashes of their ids,
-as postings in blocks with the largest weight of each block. A query visits its terms' postings; blocks whose
-bound can't reach the current k-th similarity are skipped, so the neighbours are exact. Memory follows the postings.
+vocabulary is all terms of the index, which holds at most ``INDEX_ROWS`` rows of each label. A term's weight is (1 + log of its count)
+times its inverse document frequency, counted over all documents, times its evidence: near 1 for a term whose
+frequency in the sample depends on the label (G statistic), down to 1 / ``EVIDENCE`` for one that says nothing. Without the evidence
+the many rare words of a text decide who is near, and the few that matter don't.
+
+The index is inverted: postings by term in blocks of ``BLOCK`` rows, with the largest weight of each block; rows of the same heaviest
+term are neighbours, so that blocks differ. A query bounds all blocks, visits the best one, and then those whose
+bound reaches the k-th similarity: the neighbours are exact, ties go to the earlier row. Memory follows the postings.
 
 The vote of the ``k`` neighbours is weighted by similarity and turned into a probability by isotonic steps over the rows of
-the index, each without itself, and at most ``CALIBRATION_ROWS`` other training rows, weighted to the shares of the labels. Texts without any term of the vocabulary are one group with
+the index, each without itself, and at most ``CALIBRATION_ROWS`` other training rows, weighted to the shares of the labels. The
+votes are taken in the tasks; numbers alone return. Texts without any term of the vocabulary are one group with
 its own rate.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from quillmark.llm._spark import bounded_batches, crc_mod
+from quillmark.llm._spark import bounded_batches, crc_mod, written
 from quillmark.llm._words import ALNUM, Words, ragged, slices, trimmed, utf8
 
 INDEX_ROWS = 2_000
 CALIBRATION_ROWS = 20_000
 K = 15
-BLOCK = 64
+BLOCK = 256
+EVIDENCE = 400.0
 THRESHOLD = 0.7
 
 
@@ -38,17 +43,8 @@ def _row_words(raw, off) -> tuple[Words, np.ndarray]:
 class Vocabulary:
     """Terms by hash, and rows of a text's term counts."""
 
-    def __init__(self, terms: list[tuple[int, str]]):
-        self.hash = np.array([h for h, _ in terms], np.int64).view(np.uint64)
-        order = np.argsort(self.hash)
-        self.hash, self.names = self.hash[order], [terms[i][1] for i in order]
-
-    @classmethod
-    def of(cls, hashes: np.ndarray) -> Vocabulary:
-        """From hashes alone, without names."""
-        out = cls([])
-        out.hash = np.sort(hashes.astype(np.int64).view(np.uint64))
-        return out
+    def __init__(self, hashes: np.ndarray):
+        self.hash = np.sort(hashes.astype(np.int64).view(np.uint64))
 
     def counts(self, words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, term, times) of the vocabulary's terms in the rows."""
@@ -61,8 +57,8 @@ class Vocabulary:
         return cell // len(self.hash), cell % len(self.hash), times
 
 
-def sample_terms(labelled: DataFrame) -> Vocabulary:
-    """All terms of the rows of ``labelled``, which has (toxic int, text string); none unless there are both labels."""
+def distinct_terms(rows: DataFrame) -> Vocabulary:
+    """All terms of the texts of a bounded number of rows."""
 
     def distinct(batches):
         for b in trimmed(batches):
@@ -71,107 +67,119 @@ def sample_terms(labelled: DataFrame) -> Vocabulary:
                 _, h = _row_words(raw, off[lo : hi + 1])
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(h).view(np.int64))], names=["h"])
 
-    totals = labelled.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
-    if not totals[0] or not totals[1]:
-        return Vocabulary([])
-    return Vocabulary.of(labelled.select("text").mapInArrow(distinct, "h bigint").distinct().toArrow()["h"].to_numpy())  # of a bounded number of rows
+    return Vocabulary(rows.select("text").mapInArrow(distinct, "h bigint").distinct().toArrow()["h"].to_numpy())
 
 
-def document_frequencies(docs: DataFrame, text_col: str, terms: Vocabulary) -> tuple[np.ndarray, int]:
-    """In how many of all rows each term occurs, and the number of rows."""
+def term_counts(rows: DataFrame, terms: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """In how many rows of (part 0 or 1, text) each term occurs, by part, and the numbers of rows; summed in the tasks first."""
 
     def count(batches):
-        seen, rows = np.zeros(len(terms.hash), np.int64), 0
+        seen, n = np.zeros((2, len(terms.hash)), np.int64), np.zeros(2, np.int64)
         for b in trimmed(batches):
-            rows += b.num_rows
-            raw, off = utf8(b.column(0))
+            part = b.column(0).to_numpy(zero_copy_only=False)
+            n += np.bincount(part, minlength=2)
+            raw, off = utf8(b.column(1))
             for lo, hi in slices(off):
-                _, term, _ = terms.counts(*_row_words(raw, off[lo : hi + 1]))
-                seen += np.bincount(term, minlength=len(seen))
-        some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(seen[some], rows))], names=["term", "n"])
-
-    got = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    term, n = got["term"].to_numpy(), got["n"].to_numpy()
-    out = np.zeros(len(terms.hash), np.int64)
-    out[term[term >= 0]] = n[term >= 0]
-    return out, int(n[term < 0].sum())
+                row, term, _ = terms.counts(*_row_words(raw, off[lo : hi + 1]))
+                for k in (0, 1):
+                    seen[k] += np.bincount(term[part[lo:hi][row] == k], minlength=len(terms.hash))
+        some = np.flatnonzero(seen.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32())] + [pa.array(np.append(seen[k, some], n[k])) for k in (0, 1)], names=["term", "n0", "n1"])
+
+    got = rows.select(F.col("part").cast("int"), "text").mapInArrow(count, "term int, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    term, n = got["term"].to_numpy(), np.stack([got["n0"].to_numpy(), got["n1"].to_numpy()])
+    out = np.zeros((2, len(terms.hash)), np.int64)
+    out[:, term[term >= 0]] = n[:, term >= 0]
+    return out, n[:, term < 0].sum(1)
+
+
+def evidence_of(seen: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Of each term, from how many rows of either label have it, how much its presence depends on the label: 1 / ``EVIDENCE`` to 1."""
+    n = rows.sum()
+    if not rows.all():
+        return np.full(seen.shape[1], 1.0)
+    g = np.zeros(seen.shape[1])
+    for k in (0, 1):
+        for x, whole in ((seen[k], seen.sum(0)), (rows[k] - seen[k], n - seen.sum(0))):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                g += np.where(x > 0, 2 * x * np.log(x * n / (whole * rows[k])), 0)
+    return (1 + g**2) / (EVIDENCE + g**2)
 
 
 class Index:
-    """Labelled unit vectors as postings by term, in blocks of ``BLOCK`` rows with the largest weight of each block."""
+    """Labelled unit vectors as postings by term, in blocks of ``block`` rows with the largest weight of each block."""
 
-    def __init__(self, terms: Vocabulary, idf: np.ndarray, row: np.ndarray, term: np.ndarray, times: np.ndarray, labels: np.ndarray, ids: list):
-        self.terms, self.idf, self.labels, self.ids = terms, idf, labels, ids
+    def __init__(self, terms: Vocabulary, idf: np.ndarray, row: np.ndarray, term: np.ndarray, times: np.ndarray, labels: np.ndarray, ids: list, block: int = BLOCK):
+        self.terms, self.idf, self.labels, self.ids, self.rows = terms, idf, labels, ids, len(labels)
         weight = (1 + np.log(times)) * idf[term] if len(term) else np.zeros(0)
-        norm = np.sqrt(np.bincount(row, weights=weight**2, minlength=len(labels))) if len(labels) else np.ones(1)
-        order = np.lexsort((row, term))
-        self.row, term = row[order], term[order]
-        self.value = weight[order] / np.maximum(norm[self.row], 1e-12)
-        block = self.row // BLOCK
+        norm = np.sqrt(np.bincount(row, weights=weight**2, minlength=self.rows)) if self.rows else np.ones(1)
+        heaviest = np.zeros(self.rows, np.int64)
+        order = np.lexsort((weight, row))
+        heaviest[row[order]] = term[order]  # the last of a row stays
+        self.place = np.argsort(heaviest, kind="stable")  # position -> row
+        position = np.empty(self.rows, np.int64)
+        position[self.place] = np.arange(self.rows)
+        at = position[row] if self.rows else row
+        order = np.lexsort((at, term))
+        self.at, term = at[order].astype(np.int32), term[order]
+        self.value = weight[order] / np.maximum(norm[row[order]], 1e-12)
+        of = self.at // block
         new = np.ones(len(order), bool)  # a block of a term's postings starts
-        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        new[1:] = (term[1:] != term[:-1]) | (of[1:] != of[:-1])
         self.start = np.flatnonzero(new)
         self.size = np.diff(np.append(self.start, len(order)))
-        self.block = block[self.start]
+        self.block = of[self.start]
+        self.blocks = -(-self.rows // block)
         self.bound = np.maximum.reduceat(self.value, self.start) if len(self.start) else np.zeros(0)
         self.first = np.searchsorted(term[self.start], np.arange(len(terms.hash) + 1))
-        self.cache: dict = {}
-
-    @property
-    def weight(self) -> np.ndarray:
-        """The weights as a matrix of terms and rows, for looking at small indexes."""
-        out = np.zeros((len(self.terms.hash), max(len(self.labels), 1)))
-        per_term = np.diff(np.append(self.start, len(self.row))[self.first])
-        out[np.repeat(np.arange(len(per_term)), per_term), self.row] = self.value
-        return out
 
     def nearest(self, term: np.ndarray, times: np.ndarray, k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k most similar rows with a similarity above 0 and the similarities; ties go to the earlier row."""
         weight = (1 + np.log(times)) * self.idf[term]
         norm = np.sqrt((weight**2).sum())
-        if not norm or not len(self.labels):
+        if not norm or not self.rows:
             return np.zeros(0, np.int64), np.zeros(0)
-        weight = weight / norm
         parts = self.first[term + 1] - self.first[term]
-        at_part = ragged(self.first[term], parts)
-        block, part_weight = self.block[at_part], np.repeat(weight, parts)
-        bound = np.bincount(block, weights=part_weight * self.bound[at_part], minlength=-(-len(self.labels) // BLOCK))
-        order = np.argsort(-bound, kind="stable")
-        best_row, best_sim = np.zeros(0, np.int64), np.zeros(0)
-        at, take = 0, 4
-        while at < len(order) and bound[order[at]] > 0:
-            if len(best_sim) >= k and bound[order[at]] < best_sim[k - 1] - 1e-12:
-                break  # no later block can hold a nearer row
-            blocks = order[at : at + take]
-            wanted = np.zeros(len(bound), bool)
-            wanted[blocks] = True
-            some = wanted[block]
-            size = self.size[at_part[some]]
-            posting = ragged(self.start[at_part[some]], size)
-            sims = np.round(np.bincount(self.row[posting], weights=np.repeat(part_weight[some], size) * self.value[posting], minlength=len(self.labels)), 12)
-            rows = np.flatnonzero(sims > 0)
-            rows = rows[rows != skip]
-            best_row, best_sim = np.concatenate([best_row, rows]), np.concatenate([best_sim, sims[rows]])
-            top = np.lexsort((best_row, -best_sim))[:k]
-            best_row, best_sim = best_row[top], best_sim[top]
-            at, take = at + take, take * 2
-        return best_row, best_sim
+        part = ragged(self.first[term], parts)
+        block, part_weight = self.block[part], np.repeat(weight / norm, parts)
+        bound = np.bincount(block, weights=part_weight * self.bound[part], minlength=self.blocks)
+        best = np.zeros(self.blocks, bool)
+        best[int(bound.argmax())] = True
+        rows, sims = self._visit(best[block], part, part_weight, k, skip)
+        rest = ~best & (bound > 0)
+        if len(sims) >= k:
+            rest &= bound >= sims[k - 1] - 1e-9
+        if rest.any():
+            more = self._visit(rest[block], part, part_weight, k, skip)
+            rows, sims = np.concatenate([rows, more[0]]), np.concatenate([sims, more[1]])
+            top = np.lexsort((rows, -sims))[:k]
+            rows, sims = rows[top], sims[top]
+        return rows, sims
+
+    def _visit(self, some: np.ndarray, part: np.ndarray, part_weight: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best rows of the blocks that ``some`` parts are in."""
+        size = self.size[part[some]]
+        posting = ragged(self.start[part[some]], size)
+        sims = np.bincount(self.at[posting], weights=np.repeat(part_weight[some], size) * self.value[posting], minlength=self.rows)
+        near = np.flatnonzero(sims > 0)
+        if len(near) > 4 * k:
+            near = near[sims[near] >= np.partition(sims[near], -k - 1)[-k - 1] - 1e-9]
+        rows, sims = self.place[near], np.round(sims[near], 12)
+        top = np.lexsort((rows, -sims))
+        top = top[rows[top] != skip][:k]
+        return rows[top], sims[top]
 
     def vote(self, term: np.ndarray, times: np.ndarray, skip: int = -1) -> tuple[float, str]:
         """Similarity-weighted share of label 1 among the neighbours (-1 without any), and the evidence."""
-        key = (skip, term.tobytes(), times.tobytes())
-        got = self.cache.get(key)
-        if got is None:
-            rows, sims = self.nearest(term, times, skip=skip)
-            if len(rows):
-                got = float(sims @ self.labels[rows] / sims.sum()), ",".join(f"{self.ids[r]}:{s:.4f}" for r, s in zip(rows[:3], sims[:3]))
-            else:
-                got = -1.0, ""
-            if len(self.cache) > 1_000:
-                self.cache.clear()
-            self.cache[key] = got
-        return got
+        rows, sims = self.nearest(term, times, skip=skip)
+        if not len(rows):
+            return -1.0, ""
+        return float(sims @ self.labels[rows] / sims.sum()), ",".join(f"{self.ids[r]}:{s:.4f}" for r, s in zip(rows[:3], sims[:3]))
+
+    def votes(self, raw: np.ndarray, off: np.ndarray, skip: np.ndarray | None = None) -> list[tuple[float, str]]:
+        row, term, times = self.terms.counts(*_row_words(raw, off))
+        edge = np.searchsorted(row, np.arange(len(off)))
+        return [self.vote(term[a:b], times[a:b], -1 if skip is None else int(skip[i])) if b > a else (-1.0, "") for i, (a, b) in enumerate(zip(edge[:-1], edge[1:]))]
 
 
 class Calibration:
@@ -210,63 +218,61 @@ class Model:
         self.index, self.calibration = index, calibration
 
     def scores(self, raw, off) -> tuple[list[float], list[str]]:
-        words, h = _row_words(raw, off)
-        row, term, times = self.index.terms.counts(words, h)
-        edge = np.searchsorted(row, np.arange(len(off)))
-        scores, evidence = [], []
-        for a, b in zip(edge[:-1], edge[1:]):
-            vote, why = self.index.vote(term[a:b], times[a:b]) if b > a else (-1.0, "")
-            scores.append(self.calibration(vote))
-            evidence.append(why)
-        return scores, evidence
+        votes = self.index.votes(raw, off)
+        return [self.calibration(v) for v, _ in votes], [e for _, e in votes]
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", index_rows: int = INDEX_ROWS, calibration_rows: int = CALIBRATION_ROWS) -> Model:
-    """Learns from labelled rows whose crc32(id as text) mod 3 is not 1; rows without a label of 0 or 1 teach nothing."""
+    """Learns from labelled rows whose crc32(id as text) mod 3 is not 1; rows without a label of 0 or 1 teach nothing.
+
+    Of several rows with a sampled id, the one of the least hash of its text is the sample.
+    """
     bounded_batches(docs)
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & (crc_mod(F.col("doc_id"), 3) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
     order = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
-    index_ids, other = None, None
+    ids = None
     for label, most in ((1, index_rows), (0, index_rows)):
         best = marks.where(F.col("toxic") == label).orderBy(*order)
-        some = best.limit(most).withColumn("role", F.lit("index"))
-        rest = best.offset(most).limit(calibration_rows // 5 if label else calibration_rows - calibration_rows // 5).withColumn("role", F.lit("calibration"))
-        index_ids = some if index_ids is None else index_ids.unionByName(some)
-        other = rest if other is None else other.unionByName(rest)
+        some = best.limit(most).withColumn("role", F.lit(1))
+        rest = best.offset(most).limit(calibration_rows // 5 if label else calibration_rows - calibration_rows // 5).withColumn("role", F.lit(0))
+        ids = some.unionByName(rest) if ids is None else ids.unionByName(some).unionByName(rest)
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    picked = text.join(F.broadcast(index_ids.unionByName(other)), "doc_id")  # 2 * index_rows + calibration_rows ids at most
-    terms = sample_terms(picked.select("toxic", "text"))
-    seen, rows = document_frequencies(docs, text_col, terms)
-    idf = np.log((rows + 1) / (seen + 1)) + 1.0
+    picked = text.join(F.broadcast(ids), "doc_id")  # 2 * index_rows + calibration_rows ids at most
+    picked = written(picked.groupBy("doc_id", "toxic", "role").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "labelled")
+    indexed = picked.where("role = 1")
+    terms = distinct_terms(indexed)
+    counted, rows = term_counts(docs.select(F.lit(0).alias("part"), F.col(text_col).cast("string").alias("text")), terms)
+    idf = np.log((rows[0] + 1) / (counted[0] + 1)) + 1.0
+    idf = idf * evidence_of(*term_counts(picked.select(F.col("toxic").alias("part"), "text"), terms))
 
     def vectors(batches):
         for b in trimmed(batches):
-            raw, off = utf8(b.column(3))
+            raw, off = utf8(b.column(2))
             for lo, hi in slices(off):
                 row, term, times = terms.counts(*_row_words(raw, off[lo : hi + 1]))
                 edge = np.searchsorted(row, np.arange(hi - lo + 1))
                 part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(term, pa.int32())), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(times, pa.int32()))], names=["doc_id", "toxic", "role", "term", "times"])
-
-    table = picked.select(F.col("doc_id").cast("string").alias("doc_id"), "toxic", "role", "text").mapInArrow(vectors, "doc_id string, toxic int, role string, term array<int>, times array<int>").toArrow()
-    ids, toxic, role = (table[c].to_pylist() for c in ("doc_id", "toxic", "role"))
-    lists = [table[c].combine_chunks() for c in ("term", "times")]
-    edge = np.concatenate([[0], np.cumsum(lists[0].value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-    term, times = (x.flatten().to_numpy().astype(np.int64) for x in lists)
-    got = [(ids[i], toxic[i], role[i], term[edge[i] : edge[i + 1]], times[edge[i] : edge[i + 1]]) for i in range(len(ids))]
-    del table, lists
-    got.sort(key=lambda r: (len(r[0] or ""), r[0] or "", zlib.crc32(r[3]), zlib.crc32(r[4])))  # lists of numbers as keys would take 300 MB
-    inside = [i for i, r in enumerate(got) if r[2] == "index" and len(r[3])]
-    row = np.repeat(np.arange(len(inside)), [len(got[i][3]) for i in inside])
-    flat = lambda k: np.concatenate([got[i][k] for i in inside] or [np.zeros(0, np.int64)])
-    index = Index(terms, idf, row, flat(3), flat(4), np.array([got[i][1] for i in inside], np.float64), [got[i][0] for i in inside])
-    place = {i: j for j, i in enumerate(inside)}
-    votes = np.array([index.vote(r[3], r[4], place.get(i, -1))[0] if len(r[3]) else -1.0 for i, r in enumerate(got)])
-    label = np.array([r[1] for r in got], np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(term, pa.int32())), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(times, pa.int32()))], names=["doc_id", "toxic", "term", "times"])
+
+    table = indexed.select(F.col("doc_id").cast("string").alias("doc_id"), "toxic", "text").mapInArrow(vectors, "doc_id string, toxic int, term array<int>, times array<int>").toArrow().sort_by("doc_id")
+    names, lists = table["doc_id"].to_pylist(), [table[c].combine_chunks() for c in ("term", "times")]
+    size = lists[0].value_lengths().to_numpy(zero_copy_only=False)
+    index = Index(terms, idf, np.repeat(np.arange(len(names)), size), *(x.flatten().to_numpy().astype(np.int64) for x in lists), table["toxic"].to_numpy().astype(np.float64), names)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    place = {n: i for i, n in enumerate(names)}
+
+    def votes(batches):
+        for b in trimmed(batches):
+            raw, off = utf8(b.column(3))
+            skip = np.array([place[n] if role else -1 for n, role in zip(b.column(0).to_pylist(), b.column(2).to_pylist())], np.int64)
+            for lo, hi in slices(off):
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo), pa.array([v for v, _ in shared.value.votes(raw, off[lo : hi + 1], skip[lo:hi])], pa.float64())], names=["toxic", "vote"])
+
+    got = picked.select(F.col("doc_id").cast("string").alias("doc_id"), "toxic", "role", "text").mapInArrow(votes, "toxic int, vote double").toArrow().sort_by([("vote", "ascending"), ("toxic", "ascending")])
+    label, vote = got["toxic"].to_numpy().astype(np.int64), got["vote"].to_numpy()
     share = np.array([totals.get(k, 0) / max(int((label == k).sum()), 1) for k in (0, 1)])  # the index holds labels in other shares than the rows
-    index.cache.clear()
-    return Model(index, Calibration(votes, label.astype(np.float64), share[label] if len(label) else np.zeros(0)))
+    return Model(index, Calibration(vote, label.astype(np.float64), share[label] if len(label) else np.zeros(0)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = THRESHOLD, model: Model | None = None) -> DataFrame:

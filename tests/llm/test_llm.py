@@ -282,7 +282,7 @@ def test_toxicity_uses_rare_terms(spark):
     model = fit(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
     sample = {w for i, t in rows if zlib.crc32(str(i).encode()) % 3 != 1 for w in t.split()}
     assert len(sample) > 256 and len(model.index.terms.hash) == len(sample)
-    assert len(model.index.row) == sum(len(set(t.split())) for i, t in rows if zlib.crc32(str(i).encode()) % 3 != 1)
+    assert len(model.index.at) == sum(len(set(t.split())) for i, t in rows if zlib.crc32(str(i).encode()) % 3 != 1)
 
 
 def test_nearest_is_exact():
@@ -291,18 +291,22 @@ def test_nearest_is_exact():
     from quillmark.llm.toxicity import Index, Vocabulary
 
     rnd = np.random.default_rng(1)
-    terms = Vocabulary([(i * 7 + 1, f"t{i}") for i in range(30)])
+    terms = Vocabulary(np.arange(30) * 7 + 1)
     row, term = np.nonzero(rnd.random((500, 30)) < 0.1)
-    idf = rnd.random(30) + 0.5
-    index = Index(terms, idf, row, term, rnd.integers(1, 4, len(row)), rnd.integers(0, 2, 500).astype(float), list(range(500)))
-    for _ in range(50):
+    idf, times = rnd.random(30) + 0.5, rnd.integers(1, 4, len(row))
+    dense = np.zeros((500, 30))
+    dense[row, term] = (1 + np.log(times)) * idf[term]
+    dense /= np.maximum(np.sqrt((dense**2).sum(1, keepdims=True)), 1e-12)
+    index = Index(terms, idf, row, term, times, rnd.integers(0, 2, 500).astype(float), list(range(500)), block=16)
+    for n in range(60):
         t = np.sort(rnd.choice(30, 4, replace=False))
-        w = idf[t] / np.sqrt((idf[t] ** 2).sum())
-        sims = np.round(w @ index.weight[t], 12)
-        want = np.lexsort((np.arange(500), -sims))[:15]
-        want = want[sims[want] > 0]
-        got, _ = index.nearest(t, np.ones(4, int))
-        assert got.tolist() == want.tolist()
+        c = rnd.integers(1, 3, 4)
+        w = (1 + np.log(c)) * idf[t]
+        sims = np.round(dense[:, t] @ (w / np.sqrt((w**2).sum())), 12)
+        skip = n if n % 2 else -1
+        want = [r for r in np.lexsort((np.arange(500), -sims)) if sims[r] > 0 and r != skip][:15]
+        got, near = index.nearest(t, c, skip=skip)
+        assert got.tolist() == want and np.allclose(near, sims[want])
 
 
 def brute_hits(rows, items, window=10):
