@@ -8,8 +8,8 @@ frequency in the sample depends on the label (G statistic), down to 1 / ``EVIDEN
 the many rare words of a text decide who is near, and the few that matter don't.
 
 The index is inverted: postings by term in blocks of ``BLOCK`` rows, with the largest weight of each block; rows of the same heaviest
-term are neighbours, so that blocks differ. A query bounds all blocks, visits the best one, and then those whose
-bound reaches the k-th similarity: the neighbours are exact, ties go to the earlier row. Memory follows the postings.
+term are neighbours, so that blocks differ. A query bounds all blocks, visits those with at least half of the best bound, and then those
+whose bound reaches the k-th similarity: the neighbours are exact, ties go to the earlier row. Memory follows the postings.
 
 The vote of the ``k`` neighbours is weighted by similarity and turned into a probability by isotonic steps over the rows of
 the index, each without itself, and at most ``CALIBRATION_ROWS`` other training rows, weighted to the shares of the labels. The
@@ -121,7 +121,7 @@ class Index:
         position[self.place] = np.arange(self.rows)
         at = position[row] if self.rows else row
         order = np.lexsort((at, term))
-        self.at, term = at[order].astype(np.int32), term[order]
+        self.at, term = at[order], term[order]
         self.value = weight[order] / np.maximum(norm[row[order]], 1e-12)
         of = self.at // block
         new = np.ones(len(order), bool)  # a block of a term's postings starts
@@ -132,6 +132,7 @@ class Index:
         self.blocks = -(-self.rows // block)
         self.bound = np.maximum.reduceat(self.value, self.start) if len(self.start) else np.zeros(0)
         self.first = np.searchsorted(term[self.start], np.arange(len(terms.hash) + 1))
+        self.whole = np.append(self.start, len(order))[self.first]  # where each term's postings start
 
     def nearest(self, term: np.ndarray, times: np.ndarray, k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k most similar rows with a similarity above 0 and the similarities; ties go to the earlier row."""
@@ -139,34 +140,45 @@ class Index:
         norm = np.sqrt((weight**2).sum())
         if not norm or not self.rows:
             return np.zeros(0, np.int64), np.zeros(0)
+        weight = weight / norm
         parts = self.first[term + 1] - self.first[term]
         part = ragged(self.first[term], parts)
-        block, part_weight = self.block[part], np.repeat(weight / norm, parts)
-        bound = np.bincount(block, weights=part_weight * self.bound[part], minlength=self.blocks)
-        best = np.zeros(self.blocks, bool)
-        best[int(bound.argmax())] = True
-        rows, sims = self._visit(best[block], part, part_weight, k, skip)
-        rest = ~best & (bound > 0)
+        block = self.block[part]
+        bound = np.bincount(block, weights=np.repeat(weight, parts) * self.bound[part], minlength=self.blocks)
+        seen = bound >= bound.max() / 3
+        rows, sims = self._visit(seen, block, part, term, weight, k, skip)
+        rest = ~seen & (bound > 0)
         if len(sims) >= k:
             rest &= bound >= sims[k - 1] - 1e-9
         if rest.any():
-            more = self._visit(rest[block], part, part_weight, k, skip)
+            more = self._visit(rest, block, part, term, weight, k, skip)
             rows, sims = np.concatenate([rows, more[0]]), np.concatenate([sims, more[1]])
             top = np.lexsort((rows, -sims))[:k]
             rows, sims = rows[top], sims[top]
         return rows, sims
 
-    def _visit(self, some: np.ndarray, part: np.ndarray, part_weight: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best rows of the blocks that ``some`` parts are in."""
-        size = self.size[part[some]]
-        posting = ragged(self.start[part[some]], size)
-        sims = np.bincount(self.at[posting], weights=np.repeat(part_weight[some], size) * self.value[posting], minlength=self.rows)
-        near = np.flatnonzero(sims > 0)
+    def _visit(self, blocks: np.ndarray, block: np.ndarray, part: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best rows of some blocks."""
+        if blocks.all():  # whole lists, one after another
+            spans = list(zip(self.whole[term].tolist(), self.whole[term + 1].tolist()))
+            per = self.whole[term + 1] - self.whole[term]
+            value, at = np.concatenate([self.value[a:b] for a, b in spans]), np.concatenate([self.at[a:b] for a, b in spans])
+        else:
+            parts = self.first[term + 1] - self.first[term]
+            size = np.where(blocks[block], self.size[part], 0)
+            ends = np.cumsum(size)
+            posting = np.arange(ends[-1]) + np.repeat(self.start[part] - (ends - size), size)
+            per = np.diff(np.append(0, ends)[np.append(0, np.cumsum(parts))])  # postings of each term
+            value, at = self.value[posting], self.at[posting]
+        value *= np.repeat(weight, per)
+        sims = np.bincount(at, weights=value, minlength=self.rows)
+        near = np.flatnonzero(sims)
         if len(near) > 4 * k:
-            near = near[sims[near] >= np.partition(sims[near], -k - 1)[-k - 1] - 1e-9]
+            found = sims[near]
+            near = near[found >= np.partition(found, -k - 1)[-k - 1] - 1e-9]
         rows, sims = self.place[near], np.round(sims[near], 12)
         top = np.lexsort((rows, -sims))
-        top = top[rows[top] != skip][:k]
+        top = top[(rows[top] != skip) & (sims[top] > 0)][:k]
         return rows[top], sims[top]
 
     def vote(self, term: np.ndarray, times: np.ndarray, skip: int = -1) -> tuple[float, str]:
