@@ -2,12 +2,14 @@
 
 A text's k-mers are its runs of ``K`` words, each labelled with its occurrence number in the text. Each of ``SKETCHES`` hash
 functions samples the ``TAKEN`` least labelled k-mers and keeps them in text order, so that equal sketches speak for equal order as
-well as equal content. Two texts are near duplicates if their edit similarity over words, 1 - distance / longer
-length, is ``SIMILARITY`` or more; the distance is computed bit-parallel in the band that this allows.
-
-Equal texts are one node first (by the hash of their words). Texts with a sketch in common form a bucket. For ``ROUNDS`` rounds the
-members of a bucket are compared with one leader, the text with most links so far; only the leader leaves then, for
-members of its class may still link others. What remains is compared pair by pair, except pairs of one class: tiles of
+well as equal content. In texts of fewer than ``SHORT`` words one edit can touch every k-mer; they have ``SHORT_SKETCHES`` of single
+labelled words as well. Two texts are near duplicates if their edit similarity over words, 1 - distance / longer
+length, is ``SIMILARITY`` or more; the distance is computed bit-parallel in the band that this allows, after two exact bounds
+that never count more edits than there are: lengths, and runs of two words in common.
+
+Equal texts are one node first (by the hash of their words). Texts with a sketch in common form a bucket. In two rounds the
+members of a bucket are compared with one leader, in the second with the text of most links, so that a text and its many copies
+meet whatever the copies have in common. What remains is compared pair by pair, except pairs of one class: tiles of
 ``TILE`` x ``TILE`` members are spread over the tasks, and bags of words in ``BINS`` bins, which never count more edits than there
 are, tell most distant pairs apart without their texts. So no bucket is left with an untried pair of two classes. Classes are
 the connected components of verified pairs; the first document of a class by id stays.
@@ -20,15 +22,16 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from quillmark.llm._spark import bounded_batches, cut_lineage, written
-from quillmark.llm._words import SPACED, U64, Words, mix, runs, slices, trimmed, utf8, window_starts
+from quillmark.llm._spark import bounded_batches, cut_lineage, unused, written
+from quillmark.llm._words import SPACED, U64, Words, mix, ragged, runs, slices, trimmed, utf8, window_starts
 from quillmark.llm.substring_dedup import _range_hashes
 
 K = 5
-SKETCHES = 32
+SKETCHES = 64
 TAKEN = 2
+SHORT = 40
+SHORT_SKETCHES = 16
 SIMILARITY = 0.8
-ROUNDS = 3
 BINS = 128
 TILE = 2048
 NULLS_LAST = (1 << 63) - 1
@@ -62,18 +65,20 @@ def sketches(x: np.ndarray, first: np.ndarray, count: int = SKETCHES, taken: int
     starts, size = first[:-1], np.diff(first)
     out = np.zeros((len(size), count), U64)
     top = U64(0xFFFFFFFFFFFFFFFF)
+    low = U64((1 << max(15, int(size.max()).bit_length())) - 1)  # the lowest bits tell the place in the row
+    place = ragged(np.zeros(len(size), np.int64), size).astype(U64)
     for j in range(count):
         y = x * _SEEDS[j]
-        y ^= y >> U64(29)
-        picks = []
+        y &= ~low
+        y |= place
+        picks: list[np.ndarray] = []
         for _ in range(taken):
             least = np.minimum.reduceat(y, starts)
-            hit = np.flatnonzero(y == np.repeat(least, size))
-            row = np.searchsorted(first, hit, "right") - 1
-            one = np.full(len(size), -1)
-            one[row[::-1]] = hit[::-1]
-            y[one] = top
+            one = starts + (least & low).astype(np.int64)
+            if picks:
+                one = np.where(least == top, picks[-1], one)  # a row of fewer k-mers
             picks.append(one)
+            y[one] = top
         order = np.sort(np.stack(picks, 1), 1)
         sketch = np.full(len(size), _SEEDS[j])
         for i in range(taken):
@@ -190,13 +195,18 @@ def sketch_documents(src: DataFrame, *, k: int = K, count: int = SKETCHES, taken
                 words = Words(raw, off[lo : hi + 1], SPACED)
                 n = np.diff(words.first)
                 h = words.hashes(double=True)
-                x, first = labelled_kmers(words, h, k)
-                some = np.flatnonzero(n > 0)
-                got = sketches(x, np.append(first[:-1][some], len(x)), count, taken) if len(some) else np.zeros((0, count), U64)
+                told = np.where(n > 0, count, 0) + np.where((n > 0) & (n < SHORT), SHORT_SKETCHES, 0)
+                at = np.concatenate([[0], np.cumsum(told)])
+                got = np.zeros(at[-1], U64)
+                for size, many, from_, rows in ((k, count, 0, np.flatnonzero(n > 0)), (1, SHORT_SKETCHES, count, np.flatnonzero((n > 0) & (n < SHORT)))):
+                    if len(rows):
+                        x, first = labelled_kmers(words, h, size)
+                        kept = np.diff(first)[rows]
+                        x = x[ragged(first[:-1][rows], kept)]
+                        got[ragged(at[:-1][rows] + from_, np.full(len(rows), many))] = sketches(x, np.append(0, np.cumsum(kept)), many, taken).ravel()
                 node = _range_hashes(h, words.first[:-1], n)
-                at = np.concatenate([[0], np.cumsum(np.where(n > 0, count, 0))])
                 part = b.slice(lo, hi - lo)
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(got.ravel().view(np.int64)))
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(got.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(node.view(np.int64), mask=n == 0), pa.array(n, pa.int64()), lists], names=["doc_id", "id", "key", "node", "n", "sketch"])
 
     kind = src.schema["doc_id"].dataType.simpleString()
@@ -220,7 +230,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = cut_lineage(small.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
 
-def near_classes(src: DataFrame, *, k: int = K, count: int = SKETCHES, taken: int = TAKEN, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def near_classes(src: DataFrame, *, k: int = K, count: int = SKETCHES, taken: int = TAKEN, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, id, key, n, class_id, class_key, kept) per row of (doc_id, id, key, text)."""
     told = written(sketch_documents(src, k=k, count=count, taken=taken), "sketches")
     place = F.struct("id", "key").alias("place")
@@ -236,62 +246,75 @@ def near_classes(src: DataFrame, *, k: int = K, count: int = SKETCHES, taken: in
 
     def verify(batches):
         for b in trimmed(batches):
-            ok = pa.array([similar(x.split(" "), y.split(" "), similarity) for x, y in zip(*(_spaced(b.column(i)) for i in (2, 3)))], pa.bool_())
+            ok = pa.array(_verified(b.column(2), b.column(3), similarity), pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
     def compare(pairs):
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
         return written(both.select("a", "b", "x", "y").mapInArrow(verify, "a bigint, b bigint"), "links")
 
-    edges, tried, found = None, None, None
-    active = active.withColumn("root", F.col("node")).withColumn("links", F.lit(0).cast("bigint"))
-    for _ in range(rounds):
-        first = F.max_by(F.struct("node", "n", "root"), F.struct("links", -F.col("node")))
-        leaders = active.groupBy("bucket").agg(first.alias("lead"))
-        longer, apart = F.greatest("n", "lead.n"), F.abs(F.col("n") - F.col("lead.n"))
-        pairs = active.join(leaders, "bucket").where(F.col("root") != F.col("lead.root")).where(apart <= longer * (1 - similarity) + 1e-9)
-        pairs = pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if not pairs.isEmpty():
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            new = compare(pairs)
-            edges = new if edges is None else edges.unionByName(new)
-            found = components(edges)
-        rest = active.select("node", "n", "bucket").join(leaders.select("bucket", F.col("lead.node").alias("node")), ["bucket", "node"], "left_anti")
-        active = written(_open_buckets(rest, edges, found), "buckets")
-        if active.isEmpty():
-            break
-
-    if not active.isEmpty():
-        pairs = _remaining_pairs(active, texts, similarity)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        new = compare(written(pairs, "pairs"))
-        edges = new if edges is None else edges.unionByName(new)
-        found = components(edges)
-
-    rooted = nodes.select("node", "place")
-    if found is not None:
-        rooted = rooted.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    else:
-        rooted = rooted.withColumn("root", F.col("node"))
+    tried = _leader_pairs(active.withColumn("root", F.col("node")).withColumn("links", F.lit(0).cast("bigint")), similarity)
+    edges = compare(tried)
+    again = _leader_pairs(_with_roots(active, _linked(edges)), similarity).join(tried, ["a", "b"], "left_anti")
+    again = written(again, "pairs")
+    tried, edges = tried.unionByName(again), edges.unionByName(compare(again))
+    found = components(edges)
+    rest = written(_with_roots(active, found), "buckets")
+    more = compare(written(_remaining_pairs(rest, texts, similarity).join(tried, ["a", "b"], "left_anti"), "pairs"))
+    if not more.isEmpty():
+        found = components(more.unionByName(found.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+    rooted = nodes.select("node", "place").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = rooted.join(rooted.groupBy("root").agg(F.min("place").alias("class")), "root").select("node", "class")
     out = told.drop("sketch").join(classes, "node", "left")
     own = F.coalesce("class", place)
     return out.select("doc_id", "id", "key", "n", own.getField("id").alias("class_id"), own.getField("key").alias("class_key")).withColumn("kept", (F.col("id") == F.col("class_id")) & (F.col("key") == F.col("class_key")))
 
 
-def _open_buckets(members: DataFrame, edges: DataFrame | None, found: DataFrame | None) -> DataFrame:
+def _verified(left: pa.Array, right: pa.Array, similarity: float) -> list[bool]:
+    """Whether the texts of each pair are similar: bounds by lengths and by labelled runs of two words, then the alignment."""
+    sides = []
+    for column in (left, right):
+        raw, off = utf8(column)
+        words = Words(raw, off, SPACED)
+        x, first = labelled_kmers(words, words.hashes(), 2)
+        data, at = words.joined()
+        sides.append((np.diff(words.first), x, first, lambda i, data=data, at=at, f=words.first: data[at[f[i]] : max(at[f[i]], at[f[i + 1]] - 1)].tobytes().split(b" ")))
+    (n, x, at_x, text), (m, y, at_y, other) = sides
+    longer = np.maximum(n, m)
+    most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+    out = []
+    for i in range(len(left)):
+        ok = longer[i] - min(n[i], m[i]) <= most[i]
+        if ok and min(n[i], m[i]) > 1:  # an edit touches two runs of two words at most
+            both = np.concatenate([x[at_x[i] : at_x[i + 1]], y[at_y[i] : at_y[i + 1]]])
+            both.sort()
+            ok = longer[i] - 1 - int((both[1:] == both[:-1]).sum()) <= 2 * most[i]
+        out.append(bool(ok) and similar(text(i), other(i), similarity))
+    return out
+
+
+def _leader_pairs(active: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b, of each bucket's leader, the text of most links, with the members of other classes and fitting lengths."""
+    first = F.max_by(F.struct("node", "n", "root"), F.struct("links", -F.col("node")))
+    leaders = active.groupBy("bucket").agg(first.alias("lead"))
+    longer, apart = F.greatest("n", "lead.n"), F.abs(F.col("n") - F.col("lead.n"))
+    pairs = active.join(leaders, "bucket").where(F.col("root") != F.col("lead.root")).where(apart <= longer * (1 - similarity) + 1e-9)
+    return written(pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct(), "pairs")
+
+
+def _linked(edges: DataFrame) -> DataFrame:
+    """(node, root, links): the least of a node and its neighbours, which is in the same class, and the number of neighbours."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"), F.count("*").alias("links")).select("node", F.least("node", "least").alias("root"), "links")
+
+
+def _with_roots(active: DataFrame, found: DataFrame) -> DataFrame:
     """(node, n, bucket, root, links) of the members of buckets that hold two classes."""
-    if found is None:
-        out = members.withColumn("root", F.col("node")).withColumn("links", F.lit(0).cast("bigint"))
-    else:
-        links = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-        out = members.join(found.join(links, "node", "full"), "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("links", F.coalesce("links", F.lit(0)))
+    links = "links" if "links" in found.columns else "0L"
+    out = active.select("node", "n", "bucket").join(found.select("node", "root", F.expr(links).alias("links")), "node", "left").withColumns({"root": F.coalesce("root", "node"), "links": F.coalesce("links", F.lit(0).cast("bigint"))})
     several = out.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
-    return out.join(several, "bucket", "left_semi").select("node", "n", "bucket", "root", "links")
+    return out.join(several, "bucket", "left_semi")
 
 
 def _remaining_pairs(active: DataFrame, texts: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
@@ -321,13 +344,6 @@ def _remaining_pairs(active: DataFrame, texts: DataFrame, similarity: float, til
     return dealt.join(some, "node").groupBy("bucket", "i", "j").applyInArrow(meet, "a bigint, b bigint").distinct()
 
 
-def _spaced(column: pa.Array) -> list[str]:
-    raw, off = utf8(column)
-    words = Words(raw, off, SPACED)
-    data, at = words.joined()
-    return [data[at[a] : max(at[a], at[b] - 1)].tobytes().decode() for a, b in zip(words.first[:-1], words.first[1:])]
-
-
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULLS_LAST)).alias("id"), F.hash(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
 
@@ -345,6 +361,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
-    gone = near_classes(_keyed(docs, id_col, text_col), **options).where(~F.col("kept")).select(F.col("id").alias("_gone_id"), F.col("key").alias("_gone_key")).distinct()
-    mine = (F.coalesce(docs[id_col].cast("bigint"), F.lit(NULLS_LAST)) == F.col("_gone_id")) & (F.hash(docs[text_col]) == F.col("_gone_key"))
-    return docs.join(gone, mine, "left_anti")
+    names = unused(docs, "id", "key")
+    gone = near_classes(_keyed(docs, id_col, text_col), **options).where(~F.col("kept")).select(F.col("id").alias(names[0]), F.col("key").alias(names[1])).distinct()
+    keyed = docs.withColumns({names[0]: F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULLS_LAST)), names[1]: F.hash(F.col(text_col))})
+    return keyed.join(gone, names, "left_anti").select(*docs.columns)

@@ -197,8 +197,48 @@ def test_common_passage_pairs_are_tried(spark):
         own = [f"o{rnd.randrange(10**9)}" for _ in range(60)]
         rows += [["common"] * 40 + own, ["common"] * 40 + own[:30] + ["x"] + own[30:]]
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id bigint, text string").repartition(3)
-    for rounds in (0, 1, 3):
-        assert {r.doc_id: r.class_id for r in near_duplicates(df, rounds=rounds).collect()} == {i: i - i % 2 for i in range(60)}
+    assert {r.doc_id: r.class_id for r in near_duplicates(df).collect()} == {i: i - i % 2 for i in range(60)}
+
+
+def plain_distance(a, b):
+    """Edit distance by the whole table."""
+    before = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (x != y)))
+        before = now
+    return before[-1]
+
+
+def test_near_dedup_recall(spark):
+    """Pairs at each similarity from the threshold on, scattered edits, short texts and chains; columns of any name."""
+    from quillmark.llm.near_dedup import drop_near_duplicates, near_duplicates
+
+    rnd = random.Random(5)
+    rows = []
+    for n, edits, many in ((9, 1, 30), (12, 2, 30), (30, 6, 30), (60, 9, 30), (100, 20, 40), (200, 30, 30)):
+        for _ in range(many):
+            a = [f"w{rnd.randrange(3000)}" for _ in range(n)]
+            b = list(a)
+            for i in rnd.sample(range(n), edits):
+                b[i] = f"v{rnd.randrange(3000)}"
+            assert plain_distance(a, b) <= 0.2 * n
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    chain = [f"c{i}" for i in range(100)]
+    links = []
+    for step in range(5):
+        links.append(" ".join(chain))
+        for i in range(step * 15, step * 15 + 15):
+            chain[i] = f"d{i}"
+    start = len(rows)
+    rows += [(start + i, t) for i, t in enumerate(links)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, _gone_id string")
+    got = {r.doc_id: r.class_id for r in near_duplicates(df).collect()}
+    found = sum(got[i] == got[i + 1] for i in range(0, start, 2))
+    assert found / (start // 2) >= 0.95
+    assert all(got[i] == start for i in range(start, start + 5))  # 85 of 100 words from one to the next
+    assert drop_near_duplicates(df).columns == df.columns
 
 
 def brute_lines(rows):
