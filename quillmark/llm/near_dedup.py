@@ -32,7 +32,8 @@ TAKEN = 2
 SHORT = 40
 SHORT_SKETCHES = 16
 SIMILARITY = 0.8
-BINS = 128
+BINS = 1024
+COARSE = 128
 TILE = 2048
 NULLS_LAST = (1 << 63) - 1
 _SEEDS = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
@@ -161,6 +162,7 @@ def possible_pairs(n: np.ndarray, root: np.ndarray, bag: np.ndarray, over: np.nd
     Two texts share at most the sum of their bins' lesser counts, and the longer has at least as many edits as words beyond those.
     """
     left, right = [], []
+    coarse = bag.reshape(len(bag), COARSE, BINS // COARSE).sum(2, dtype=np.uint16)
     b = b[np.argsort(n[b], kind="stable")]
     a = a[np.argsort(n[a], kind="stable")]
     for at in range(0, len(a), step):
@@ -170,16 +172,20 @@ def possible_pairs(n: np.ndarray, root: np.ndarray, bag: np.ndarray, over: np.nd
         y = b[lo:hi]
         if not len(y):
             continue
-        one, two = np.ascontiguousarray(bag[x].T.astype(np.uint16)), np.ascontiguousarray(bag[y].T.astype(np.uint16))
+        one, two = np.ascontiguousarray(coarse[x].T), np.ascontiguousarray(coarse[y].T)
         common = np.zeros((len(x), len(y)), np.uint16)
-        for i in range(BINS):
+        for i in range(COARSE):
             common += np.minimum(one[i][:, None], two[i])
         longer = np.maximum(n[x][:, None], n[y])
         most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
         ok = (longer - common - np.minimum(over[x][:, None], over[y]) <= most) & (longer - np.minimum(n[x][:, None], n[y]) <= most) & (root[x][:, None] != root[y])
         i, j = np.nonzero(ok)
-        left.append(x[i])
-        right.append(y[j])
+        most, longer, i, j = most[i, j], longer[i, j], x[i], y[j]
+        for s in range(0, len(i), 4096):  # the few that are left, by the fine bins
+            p, q = i[s : s + 4096], j[s : s + 4096]
+            near = longer[s : s + 4096] - np.minimum(bag[p], bag[q]).sum(1, dtype=np.int64) - np.minimum(over[p], over[q]) <= most[s : s + 4096]
+            left.append(p[near])
+            right.append(q[near])
     none = [np.zeros(0, np.int64)]
     return np.concatenate(left or none), np.concatenate(right or none)
 
@@ -213,21 +219,30 @@ def sketch_documents(src: DataFrame, *, k: int = K, count: int = SKETCHES, taken
     return src.select("doc_id", "id", "key", "text").mapInArrow(run, f"doc_id {kind}, id bigint, key int, node bigint, n bigint, sketch array<bigint>")
 
 
+def _least_neighbours(edges: DataFrame) -> DataFrame:
+    """(node, root, links): the least of a node and its neighbours, which is in the same class, and the number of neighbours."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"), F.count("*").alias("links")).select("node", F.least("node", "least").alias("root"), "links")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of the connected components of (a, b) edges, by large and small stars; root is the least node."""
-    now = cut_lineage(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    """(node, root) of the connected components of (a, b) edges; the nodes of one component have one root, a node of it.
+
+    Every node takes the least of itself and its neighbours; edges between what they have taken are the next round's graph, until none is left.
+    A star ends in one round, and since nodes are hashes a chain shrinks by a constant factor in each.
+    """
+    now = edges.where("a != b").select("a", "b").distinct()
+    found = None
     while True:
-        state = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("bigint"))).first()
-        if state == before or not state[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = state
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = cut_lineage(small.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        step = cut_lineage(_least_neighbours(now).select("node", "root"))
+        if found is None:
+            found = step
+        else:
+            found = cut_lineage(found.join(step.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root")))
+        ends = now.join(step.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(step.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+        now = cut_lineage(ends.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        if now.isEmpty():
+            return found
 
 
 def near_classes(src: DataFrame, *, k: int = K, count: int = SKETCHES, taken: int = TAKEN, similarity: float = SIMILARITY) -> DataFrame:
@@ -255,7 +270,7 @@ def near_classes(src: DataFrame, *, k: int = K, count: int = SKETCHES, taken: in
 
     tried = _leader_pairs(active.withColumn("root", F.col("node")).withColumn("links", F.lit(0).cast("bigint")), similarity)
     edges = compare(tried)
-    again = _leader_pairs(_with_roots(active, _linked(edges)), similarity).join(tried, ["a", "b"], "left_anti")
+    again = _leader_pairs(_with_roots(active, _least_neighbours(edges)), similarity).join(tried, ["a", "b"], "left_anti")
     again = written(again, "pairs")
     tried, edges = tried.unionByName(again), edges.unionByName(compare(again))
     found = components(edges)
@@ -303,12 +318,6 @@ def _leader_pairs(active: DataFrame, similarity: float) -> DataFrame:
     return written(pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct(), "pairs")
 
 
-def _linked(edges: DataFrame) -> DataFrame:
-    """(node, root, links): the least of a node and its neighbours, which is in the same class, and the number of neighbours."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"), F.count("*").alias("links")).select("node", F.least("node", "least").alias("root"), "links")
-
-
 def _with_roots(active: DataFrame, found: DataFrame) -> DataFrame:
     """(node, n, bucket, root, links) of the members of buckets that hold two classes."""
     links = "links" if "links" in found.columns else "0L"
