@@ -10,7 +10,7 @@ that never count more edits than there are: lengths, and runs of two words in co
 Equal texts are one node first (by the hash of their words). Texts with a sketch in common form a bucket. In two rounds the
 members of a bucket are compared with one leader, in the second with the text of most links, so that a text and its many copies
 meet whatever the copies have in common. What remains is compared pair by pair, except pairs of one class: tiles of
-``TILE`` x ``TILE`` members are spread over the tasks, and bags of words in ``BINS`` bins, which never count more edits than there
+``TILE`` x ``TILE`` members are spread over the tasks, and bags of words and of runs of two words in ``BINS`` bins, which never count more edits than there
 are, tell most distant pairs apart without their texts. So no bucket is left with an untried pair of two classes. Classes are
 the connected components of verified pairs; the first document of a class by id stays.
 """
@@ -149,20 +149,25 @@ def similar(a: list, b: list, similarity: float = SIMILARITY) -> bool:
 
 
 def bags(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """rows x ``BINS`` counts of the words by hash, 255 at most, and for each row how many words are beyond that."""
-    rows = len(words.first) - 1
-    full = np.bincount(words.rows() * BINS + (words.hashes() % U64(BINS)).astype(np.int64), minlength=rows * BINS).reshape(rows, BINS)
-    least = np.minimum(full, 255)
-    return least.astype(np.uint8), (full - least).sum(1)
+    """rows x 2 ``BINS`` counts by hash, 255 at most, of the words and of the runs of two words; and how many of either are beyond that."""
+    rows, h = len(words.first) - 1, words.hashes()
+    size = np.maximum(np.diff(words.first) - 1, 0)
+    parts, beyond = [], []
+    for row, x in ((words.rows(), h), (np.repeat(np.arange(rows), size), runs(h, 2)[window_starts(words.first, 2)])):
+        full = np.bincount(row * BINS + (x % U64(BINS)).astype(np.int64), minlength=rows * BINS).reshape(rows, BINS)
+        parts.append(np.minimum(full, 255))
+        beyond.append((full - parts[-1]).sum(1))
+    return np.concatenate(parts, 1).astype(np.uint8), np.stack(beyond, 1)
 
 
 def possible_pairs(n: np.ndarray, root: np.ndarray, bag: np.ndarray, over: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY, step: int = 128) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows ``a`` with rows ``b`` of other classes whose lengths and bags allow the similarity: no similar pair is missing.
 
-    Two texts share at most the sum of their bins' lesser counts, and the longer has at least as many edits as words beyond those.
+    Two texts share at most the sum of their bins' lesser counts, the longer has at least as many edits as words beyond those, and
+    an edit touches two of its runs of two words at most.
     """
     left, right = [], []
-    coarse = bag.reshape(len(bag), COARSE, BINS // COARSE).sum(2, dtype=np.uint16)
+    coarse = bag[:, :BINS].reshape(len(bag), COARSE, BINS // COARSE).sum(2, dtype=np.uint16)
     b = b[np.argsort(n[b], kind="stable")]
     a = a[np.argsort(n[a], kind="stable")]
     for at in range(0, len(a), step):
@@ -178,12 +183,14 @@ def possible_pairs(n: np.ndarray, root: np.ndarray, bag: np.ndarray, over: np.nd
             common += np.minimum(one[i][:, None], two[i])
         longer = np.maximum(n[x][:, None], n[y])
         most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
-        ok = (longer - common - np.minimum(over[x][:, None], over[y]) <= most) & (longer - np.minimum(n[x][:, None], n[y]) <= most) & (root[x][:, None] != root[y])
+        ok = (longer - common - np.minimum(over[x, 0][:, None], over[y, 0]) <= most) & (longer - np.minimum(n[x][:, None], n[y]) <= most) & (root[x][:, None] != root[y])
         i, j = np.nonzero(ok)
         most, longer, i, j = most[i, j], longer[i, j], x[i], y[j]
         for s in range(0, len(i), 4096):  # the few that are left, by the fine bins
             p, q = i[s : s + 4096], j[s : s + 4096]
-            near = longer[s : s + 4096] - np.minimum(bag[p], bag[q]).sum(1, dtype=np.int64) - np.minimum(over[p], over[q]) <= most[s : s + 4096]
+            least, beyond = np.minimum(bag[p], bag[q]), np.minimum(over[p], over[q])
+            one, two = (least[:, c : c + BINS].sum(1, dtype=np.int64) + beyond[:, c // BINS] for c in (0, BINS))
+            near = (longer[s : s + 4096] - one <= most[s : s + 4096]) & (longer[s : s + 4096] - 1 - two <= 2 * most[s : s + 4096])
             left.append(p[near])
             right.append(q[near])
     none = [np.zeros(0, np.int64)]
@@ -334,19 +341,19 @@ def _remaining_pairs(active: DataFrame, texts: DataFrame, similarity: float, til
             raw, off = utf8(b.column(1))
             for lo, hi in slices(off):
                 bag, over = bags(Words(raw, off[lo : hi + 1], SPACED))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([x.tobytes() for x in bag], pa.binary()), pa.array(over, pa.int64())], names=["node", "bag", "over"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([x.tobytes() for x in bag], pa.binary()), pa.array(over[:, 0]), pa.array(over[:, 1])], names=["node", "bag", "over", "over2"])
 
     def meet(key, group):
         i, j = key[1].as_py(), key[2].as_py()
-        node, n, root, over, chunk = (group[c].to_numpy().astype(np.int64) for c in ("node", "n", "root", "over", "chunk"))
-        bag = np.frombuffer(b"".join(group["bag"].to_pylist()), np.uint8).reshape(-1, BINS)
-        a, b = possible_pairs(n, root, bag, over, np.flatnonzero(chunk == i), np.flatnonzero(chunk == j), similarity)
+        node, n, root, over, over2, chunk = (group[c].to_numpy().astype(np.int64) for c in ("node", "n", "root", "over", "over2", "chunk"))
+        bag = np.frombuffer(b"".join(group["bag"].to_pylist()), np.uint8).reshape(-1, 2 * BINS)
+        a, b = possible_pairs(n, root, bag, np.stack([over, over2], 1), np.flatnonzero(chunk == i), np.flatnonzero(chunk == j), similarity)
         a, b = node[a], node[b]
         once = (a < b) | (i != j)
         a, b = a[once], b[once]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    some = texts.join(active.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(bagged, "node bigint, bag binary, over bigint")
+    some = texts.join(active.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(bagged, "node bigint, bag binary, over bigint, over2 bigint")
     sizes = active.groupBy("bucket").agg(F.ceil(F.count("*") / tile).cast("int").alias("chunks"))
     chunked = active.select("node", "n", "bucket", "root").join(sizes, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int"))
     dealt = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("node", "n", "root", "bucket", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
