@@ -175,6 +175,17 @@ def is_embedding_model(name: Column) -> Column:
     return F.arrays_overlap(segments, F.array(F.lit("embed"), F.lit("embedding"), F.lit("embeddings"), F.lit("bge"))) | F.contains(F.lower(name), F.lit("text-embedding"))
 
 
+def has_embedding_keyword(name: Column) -> Column:
+    """The looser rule for lists of local models: the name contains a keyword anywhere."""
+    found = F.lit(False)
+    for word in ("embed", "embedding", "bge"):
+        found = found | F.contains(F.lower(name), F.lit(word))
+    return found
+
+
 def error_cause(message: Column) -> Column:
-    m = F.lower(message)
-    return F.when(m.rlike("time(d )?-?out"), "timeout").when(m.rlike("quota|rate limit|429"), "quota").when(m.rlike("network|fetch failed|econn"), "network").when(m.rlike("model.*not found|404"), "model_not_found").otherwise("unknown")
+    """The cause that a ``[download:<cause>]`` marker names; else download where the words speak of one; else unknown."""
+    out = F.when(message.rlike("(?i)failed to fetch|network|cdn|timed out"), "download").otherwise("unknown")
+    for cause in ("model_not_found", "network", "quota", "timeout"):  # the last one asked is looked for first
+        out = F.when(message.rlike(rf"(?i)\[download:{cause}\]"), cause).otherwise(out)
+    return out

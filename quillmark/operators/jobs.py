@@ -144,23 +144,32 @@ def hashing_embedder(dims: int = 16) -> Embedder:
 
 
 def with_retry(call: Callable[[], list], retries: int = RETRIES, sleep: Callable[[float], None] = time.sleep) -> list:
-    """Tries again after transient failures, waiting as asked or 2^n seconds; others pass on."""
+    """Tries again after transient failures, waiting as asked or 2, 4, 8 ... seconds; others pass on."""
     for n in range(retries + 1):
         try:
             return call()
         except Transient as e:
             if n == retries:
                 raise
-            sleep(e.retry_after if e.retry_after is not None else 2.0**n)
+            sleep(e.retry_after if e.retry_after is not None else 2.0 ** (n + 1))
     raise AssertionError
 
 
 def embed(df: DataFrame, found: Embedder, *, role: str = "passage", batch: int = BATCH, retries: int = RETRIES) -> DataFrame:
     """(entity_key, vec, tokens, status, error) of (entity_key, text): ok, skipped (empty text) or failed.
 
-    A batch without any usable vector is an error; in one with some, rows without are failed and stay queued.
+    An answer of another length than the batch ends the run, as other fatal errors do. A batch without any usable vector is tried
+    again, and is failed in the end; in one with some, rows without are failed and stay queued.
     """
 
+    def answer(call: Callable, texts: list[str]) -> list:
+        got = call(texts, role)
+        if len(got) != len(texts):
+            raise Fatal(f"{len(got)} vectors for {len(texts)} texts")
+        if not any(v is not None and len(v) for v in got):
+            raise Transient("no vector in the batch")
+        return got
+
     def run(batches: Iterator[pa.RecordBatch]):
         call = found.build()
         for b in batches:
@@ -171,11 +180,9 @@ def embed(df: DataFrame, found: Embedder, *, role: str = "passage", batch: int =
                 error, got = None, []
                 if full:
                     try:
-                        got = with_retry(lambda: call([t[j] for j in full], role), retries)
-                    except (Transient, Fatal) as e:
+                        got = with_retry(lambda: answer(call, [t[j] for j in full]), retries)
+                    except Transient as e:
                         error, got = str(e) or type(e).__name__, [None] * len(full)
-                    if error is None and not any(v is not None and len(v) for v in got):
-                        error = "no vector in the batch"
                 by = dict(zip(full, got))
                 vec = [None if by.get(j) is None else np.asarray(by[j], np.float32) for j in range(len(k))]
                 status = ["skipped" if j not in by else "failed" if vec[j] is None else "ok" for j in range(len(k))]

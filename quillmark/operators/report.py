@@ -9,6 +9,12 @@ from quillmark.functions.text import percent
 
 SLOW_MS = 1000
 
+# States whose latency is judged apart, and what a run's output says.
+STARTUP_STATES = ("startup-core", "startup-embedding-init")
+BACKGROUND_STATES = ("startup-background-import", "new-note-debounce-reimport", "active-leaf-debounce")
+FROZEN = "(?i)FREEZE_DETECTED|UI FREEZE detected|frozen or not loaded|possible freeze|freeze detected"
+SEVERITY = {"freeze_detected": 4, "failed": 3, "partial": 2, "passed": 1, "unknown": 0}
+
 
 def collection_stats(sources: DataFrame, blocks: DataFrame, embedded: DataFrame) -> DataFrame:
     """One row: sources, sources with an embedded block, blocks, embedded blocks."""
@@ -32,23 +38,39 @@ def tokens_per_item(rows: DataFrame) -> DataFrame:
     return rows.withColumn("tokens_per_item", F.col("batch_tokens") / F.count("*").over(Window.partitionBy("batch")))
 
 
-def latency_summary(samples: DataFrame) -> DataFrame:
-    """Per state of (state, ms, timeouts, empty_polls, frozen): count, median, p95 from three samples on, maximum, sums."""
+def latency_summary(samples: DataFrame, by: tuple = ("state",)) -> DataFrame:
+    """Per state of (state, ms, trigger_ms, settled_ms, timeouts, empty_polls, frozen): count, medians, p95 from three samples on, maxima, sums.
+
+    ``settled`` is the longest time to a settled view, ``ms`` where a sample has none.
+    """
     one = lambda c: F.round(c, 1)
-    return samples.groupBy("state").agg(
+    return samples.groupBy(*by).agg(
         F.count("*").alias("n"),
         one(F.percentile("ms", 0.5)).alias("median"),
-        one(F.when(F.count("*") >= 3, F.percentile("ms", 0.95))).alias("p95"),
+        one(F.when(F.count("ms") >= 3, F.percentile("ms", 0.95))).alias("p95"),
         one(F.max("ms")).alias("worst"),
-        F.sum("timeouts").alias("timeouts"),
-        F.sum("empty_polls").alias("empty_polls"),
-        F.bool_or("frozen").alias("frozen"),
+        one(F.percentile("trigger_ms", 0.5)).alias("trigger_median"),
+        one(F.max("trigger_ms")).alias("trigger_worst"),
+        F.max(F.coalesce("settled_ms", "ms")).alias("settled"),
+        F.coalesce(F.sum("timeouts"), F.lit(0)).alias("timeouts"),
+        F.coalesce(F.sum("empty_polls"), F.lit(0)).alias("empty_polls"),
+        F.coalesce(F.bool_or("frozen"), F.lit(False)).alias("frozen"),
     )
 
 
 def latency_impact(summary: DataFrame) -> DataFrame:
-    """blocking with time-outs or a freeze, degraded with empty polls or a slow sample, else background."""
-    return summary.withColumn("impact", F.when((F.col("timeouts") > 0) | F.col("frozen"), "blocking").when((F.col("empty_polls") > 0) | (F.col("worst") > SLOW_MS), "degraded").otherwise("background"))
+    """Time-outs block whatever the state. Empty polls degrade a start-up state, mean nothing in the background, and block elsewhere;
+    there a settled time beyond ``SLOW_MS``, or none at all, degrades. A freeze is reported, it isn't judged here."""
+    empty = F.col("empty_polls") > 0
+    impact = (
+        F.when(F.col("timeouts") > 0, "interactive-blocker")
+        .when(F.col("state").isin(*STARTUP_STATES), F.when(empty, "responsive-but-degraded").otherwise("background"))
+        .when(F.col("state").isin(*BACKGROUND_STATES), "background")
+        .when(empty, "interactive-blocker")
+        .when(F.col("settled").isNull() | (F.col("settled") > SLOW_MS), "responsive-but-degraded")
+        .otherwise("background")
+    )
+    return summary.withColumn("impact", impact)
 
 
 def timing_stats(samples: DataFrame) -> DataFrame:
@@ -60,9 +82,11 @@ def batch_report(batches: DataFrame) -> DataFrame:
 
 
 def stage_durations(events: DataFrame) -> DataFrame:
-    """A stage of (run_id, ts, stage) ends when the next begins."""
-    after = F.lead("ts").over(Window.partitionBy("run_id").orderBy("ts", "seq"))
-    return events.withColumn("finished", after).withColumn("duration_ms", F.greatest(F.lit(0), F.coalesce(after - F.col("ts"), F.lit(0))).cast("bigint"))
+    """A stage of (run_id, ts, seq, state) ends when another begins; beginning the active stage again changes nothing, so such rows go."""
+    run = Window.partitionBy("run_id").orderBy("ts", "seq")
+    begun = events.withColumn("_again", F.lag("state").over(run).eqNullSafe(F.col("state"))).where("not _again").drop("_again")
+    after = F.lead("ts").over(run)
+    return begun.withColumn("finished", after).withColumn("duration_ms", F.greatest(F.lit(0), F.coalesce(after - F.col("ts"), F.lit(0))).cast("bigint"))
 
 
 def last_stages(events: DataFrame, n: int = 12) -> DataFrame:
@@ -71,35 +95,47 @@ def last_stages(events: DataFrame, n: int = 12) -> DataFrame:
 
 
 def classify_log(out: Column, err: Column, code: Column) -> Column:
-    text = F.concat_ws("\n", out, err)
-    return F.when(text.rlike("(?i)freeze|not responding"), "freeze").when((code == 0) & text.rlike("(?i)result:? *pass|all checks passed"), "passed").when(text.rlike("(?i)partial"), "partial").when((code != 0) | text.rlike("(?i)result:? *fail|error"), "failed").otherwise("unknown")
+    """A freeze before all; then what the run says of its result, PASS whatever the exit code; a null code is 0."""
+    text = F.concat_ws("\n", F.coalesce(out, F.lit("")), F.coalesce(err, F.lit("")))
+    said = lambda word: text.rlike(rf"(?i)RESULT:\s*{word}")
+    failed = said("FAIL") | (F.coalesce(code, F.lit(0)) != 0)
+    return F.when(text.rlike(FROZEN), "freeze_detected").when(said("PASS"), "passed").when(said("PARTIAL"), "partial").when(failed, "failed").otherwise("unknown")
 
 
 def extract_metrics(out: Column) -> dict[str, Column]:
-    number = lambda p: F.when(F.regexp_extract(out, p, 1) != "", F.regexp_extract(out, p, 1)).try_cast("double")
+    """The first figure of each kind in a run's output, null without one."""
+    number = lambda p: F.regexp_extract(out, p, 1).try_cast("bigint")
+    adapter = F.trim(F.regexp_extract(out, r"(?im)Adapter:\s*(.+)$", 1))
     return {
-        "seconds": number(r"(?i)completed in\s+([0-9.]+)\s*s"),
-        "checks": number(r"(?i)checks:\s*([0-9]+)"),
-        "queries": number(r"(?i)queries:\s*([0-9]+)"),
-        "connections": number(r"(?i)connections:\s*([0-9]+)"),
-        "adapter": F.when(F.regexp_extract(out, r"(?i)adapter:\s*(\S+)", 1) != "", F.regexp_extract(out, r"(?i)adapter:\s*(\S+)", 1)),
+        "seconds": number(r"(?i)(?:Completed in|Time:|embed_ready after)\s+(\d+)s"),
+        "checks": number(r"(?i)Checks:\s*(\d+)/"),
+        "queries": number(r"(?i)Queries with results:\s*(\d+)"),
+        "connections": number(r"(?i)Connections:\s*count=(\d+)"),
+        "adapter": F.when(adapter != "", adapter),
     }
 
 
 def rank_runs(runs: DataFrame) -> DataFrame:
-    """Worst first: severity, then cost in seconds, then time."""
-    severity = F.when(F.col("class") == "freeze", 4).when(F.col("class") == "failed", 3).when(F.col("class") == "partial", 2).when(F.col("class") == "unknown", 1).otherwise(0)
-    return runs.withColumn("severity", severity).withColumn("cost", F.coalesce("seconds", F.floor(F.col("ms") / 1000 + 0.5))).orderBy(F.desc("severity"), F.desc("cost"), F.desc("ms"))
+    """Worst first: severity, then cost in seconds, as told or from the run's own time, then that time."""
+    severity = F.lit(0)
+    for name, value in SEVERITY.items():
+        severity = F.when(F.col("class") == name, value).otherwise(severity)
+    took = F.coalesce("ms", F.lit(0.0))
+    return runs.withColumn("severity", severity).withColumn("cost", F.coalesce("seconds", F.floor(took / 1000 + 0.5))).orderBy(F.desc("severity"), F.desc("cost"), F.desc(took))
 
 
-def runtime_state(phase: Column, fingerprint: Column, wanted: Column, error: Column) -> dict[str, Column]:
-    model = F.when(error.isNotNull(), "error").when(fingerprint.isNull(), "uninitialized").when(fingerprint != wanted, "switching").otherwise("ready")
-    backfill = F.when(phase == "running", "running").when(phase == "failed", "failed").otherwise("idle")
-    serving = F.when(model == "ready", "ready").otherwise("unavailable")
-    return {"model": model, "backfill": backfill, "serving": serving, "ready": serving == "ready"}
+def runtime_state(phase: Column, fingerprint: Column) -> dict[str, Column]:
+    """States of model, backfill and serving, the one-word status, and whether the model is ready."""
+    failed, running = phase == "error", phase == "running"
+    model = F.when(F.coalesce(fingerprint, F.lit("")) != "", "ready").when(failed, "unavailable").otherwise("warming_up")
+    backfill = F.when(running, "running").when(failed, "failed").otherwise("idle")
+    serving = F.when(fingerprint.isNull(), F.when(failed, "unavailable").otherwise("loading")).when(failed, "degraded").otherwise("ready")
+    status = F.when(running, "embedding").when(serving.isin("degraded", "unavailable"), "error").otherwise("idle")
+    return {"model": model, "backfill": backfill, "serving": serving, "status": status, "ready": (model == "ready") & (backfill != "failed")}
 
 
 def context_text(hits: DataFrame) -> DataFrame:
-    """Per query one markdown text of its ranked links."""
-    line = F.concat(F.col("rank").cast("string"), F.lit(". [["), F.col("path"), F.lit("]] ("), percent(F.col("score")).cast("string"), F.lit("%)"))
-    return hits.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda s: s["line"]), "\n").alias("text"))
+    """Per query (query_id, name) one markdown text: a heading with the note's name, and its ranked links without file extension."""
+    line = F.concat(F.lit("- [["), F.regexp_replace("path", r"\.md$", ""), F.lit("]] ("), percent(F.coalesce("score", F.lit(0.0))).cast("string"), F.lit("%)"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda s: s["line"]), "\n")
+    return hits.groupBy("query_id", "name").agg(lines.alias("lines")).select("query_id", F.concat(F.lit("## Smart Context: "), "name", F.lit("\n\n"), "lines").alias("text"))

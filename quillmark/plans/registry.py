@@ -440,10 +440,10 @@ def b18_valid_rows(spark, d):
     return ST.valid_rows(B.entities(spark, d).withColumn("path", F.when(F.col("doc_id") % 4 != 0, F.col("path")).otherwise(F.lit("")))).select("entity_key")
 
 
-@_q("WITH n AS (SELECT DISTINCT CASE lang WHEN 'en' THEN 'nomic-embed-' WHEN 'de' THEN 'chat-' WHEN 'fr' THEN 'bge:' ELSE 'x/text-embedding' END || source AS name, lang FROM documents) SELECT name, lang <> 'de' AS ok FROM n")
+@_q("WITH n AS (SELECT DISTINCT CASE lang WHEN 'en' THEN 'nomic-embed-' WHEN 'de' THEN 'chat-' WHEN 'fr' THEN 'bge:' ELSE 'x/text-embedding' END || source AS name, lang FROM documents) SELECT name, lang <> 'de' AS ok, name LIKE '%embed%' OR name LIKE '%bge%' AS keyword FROM n")
 def b19_embedding_model_filter(spark, d):
     name = F.concat(F.when(F.col("lang") == "en", "nomic-embed-").when(F.col("lang") == "de", "chat-").when(F.col("lang") == "fr", "bge:").otherwise("x/text-embedding"), "source")
-    return B.table(spark, d, "documents").select(name.alias("name")).distinct().select("name", T.is_embedding_model(F.col("name")).alias("ok"))
+    return B.table(spark, d, "documents").select(name.alias("name")).distinct().select("name", T.is_embedding_model(F.col("name")).alias("ok"), T.has_embedding_keyword(F.col("name")).alias("keyword"))
 
 
 @_q("WITH " + _SECTIONS + " SELECT entity_key FROM tblocks WHERE source_path LIKE 'talk/2%' AND len(headings) > 2")
@@ -685,20 +685,32 @@ def b11_f10_folder_facets(spark, d):
     return S.folder_facets(S.result_filter(hits, ["folder0/note-0.md#paragraph-1"]))
 
 
-@_q("WITH " + _CONN + ", r AS (SELECT query_id, source_path, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_key) AS rank FROM best QUALIFY rank <= 3) SELECT query_id, string_agg(rank || '. [[' || source_path || ']] (' || CAST(floor(score * 100 + 0.5) AS BIGINT) || '%)', chr(10) ORDER BY rank) AS text FROM r GROUP BY query_id")
+@_q("WITH " + _CONN + ", r AS (SELECT query_id, source_path, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_key) AS rank FROM best QUALIFY rank <= 3) SELECT query_id, '## Smart Context: ' || regexp_extract(query_id, '([^/]*?)(\\.md)?$', 1) || chr(10) || chr(10) || string_agg('- [[' || regexp_replace(source_path, '\\.md$', '') || ']] (' || CAST(floor(score * 100 + 0.5) AS BIGINT) || '%)', chr(10) ORDER BY rank) AS text FROM r GROUP BY query_id")
 def a18_f16_context_text(spark, d):
     hits = S.connections_all(B.vector_blocks(spark, d), 5).where("rank <= 3")
-    return R.context_text(hits.select("query_id", "rank", F.col("source_path").alias("path"), "score"))
+    name = F.regexp_extract(F.col("query_id").cast("string"), r"([^/]*?)(\.md)?$", 1)
+    return R.context_text(hits.select("query_id", name.alias("name"), "rank", F.col("source_path").alias("path"), "score"))
 
 
 # --- reports -------------------------------------------------------------------------------------------------------------
 
-_SUMMARY = B.SAMPLES + ", sm AS (SELECT state, count(*) AS n, round(quantile_cont(ms, 0.5), 1) AS median, round(quantile_cont(ms, 0.95), 1) AS p95, round(max(ms), 1) AS worst, CAST(sum(timeouts) AS BIGINT) AS timeouts, CAST(sum(empty_polls) AS BIGINT) AS empty_polls, bool_or(frozen) AS frozen FROM samples GROUP BY state)"
+_STATES = {"signup": "startup-core", "view": "startup-background-import", "click": "note-switch-indexed"}
+_NAMED = B.SAMPLES + ", named AS (SELECT * REPLACE (CASE state WHEN 'signup' THEN 'startup-core' WHEN 'view' THEN 'startup-background-import' WHEN 'click' THEN 'note-switch-indexed' ELSE state END AS state) FROM samples), sm AS (SELECT {by}, count(*) AS n, round(quantile_cont(ms, 0.5), 1) AS median, CASE WHEN count(ms) >= 3 THEN round(quantile_cont(ms, 0.95), 1) END AS p95, round(max(ms), 1) AS worst, round(quantile_cont(trigger_ms, 0.5), 1) AS trigger_median, round(max(trigger_ms), 1) AS trigger_worst, max(coalesce(settled_ms, ms)) AS settled, CAST(sum(timeouts) AS BIGINT) AS timeouts, CAST(sum(empty_polls) AS BIGINT) AS empty_polls, bool_or(frozen) AS frozen FROM named GROUP BY {by})"
+_IMPACT = "CASE WHEN timeouts > 0 THEN 'interactive-blocker' WHEN state = 'startup-core' THEN if(empty_polls > 0, 'responsive-but-degraded', 'background') WHEN state = 'startup-background-import' THEN 'background' WHEN empty_polls > 0 THEN 'interactive-blocker' WHEN settled > 1000 THEN 'responsive-but-degraded' ELSE 'background' END AS impact FROM sm"
 
 
-@_q("WITH " + _SUMMARY + " SELECT *, CASE WHEN timeouts > 0 OR frozen THEN 'blocking' WHEN empty_polls > 0 OR worst > 1000 THEN 'degraded' ELSE 'background' END AS impact FROM sm")
+def _named_samples(spark, d):
+    return B.samples(spark, d).replace({"signup": "startup-core", "view": "startup-background-import", "click": "note-switch-indexed"}, subset=["state"])
+
+
+@_q("WITH " + _NAMED.format(by="state") + " SELECT *, " + _IMPACT)
 def f12_f13_latency(spark, d):
-    return R.latency_impact(R.latency_summary(B.samples(spark, d)))
+    return R.latency_impact(R.latency_summary(_named_samples(spark, d)))
+
+
+@_q("WITH " + _NAMED.format(by="state, run_id") + " SELECT state, run_id, n, " + _IMPACT)
+def f13_impact_by_run(spark, d):
+    return R.latency_impact(R.latency_summary(_named_samples(spark, d), by=("state", "run_id"))).select("state", "run_id", "n", "impact")
 
 
 @_q("SELECT event_type AS command, round(avg(value), 1) AS mean, round(min(value), 1) AS least, round(max(value), 1) AS most FROM events GROUP BY 1")
@@ -711,7 +723,7 @@ def f15_batch_report(spark, d):
     return R.batch_report(B.table(spark, d, "events").select(F.col("user_id").alias("run_id"), (F.col("event_type") == "error").alias("failed"), F.col("value").alias("mean_ms")))
 
 
-@_q("WITH " + B.SAMPLES + " SELECT seq, state, greatest(0, coalesce(lead(ts) OVER (PARTITION BY run_id ORDER BY ts, seq) - ts, 0)) AS duration_ms FROM samples")
+@_q("WITH " + B.SAMPLES + ", begun AS (SELECT * FROM samples QUALIFY lag(state) OVER (PARTITION BY run_id ORDER BY ts, seq) IS DISTINCT FROM state) SELECT seq, state, greatest(0, coalesce(lead(ts) OVER (PARTITION BY run_id ORDER BY ts, seq) - ts, 0)) AS duration_ms FROM begun")
 def g6_stage_durations(spark, d):
     return R.stage_durations(B.samples(spark, d)).select("seq", "state", "duration_ms")
 
@@ -721,39 +733,44 @@ def g7_last_stages(spark, d):
     return R.last_stages(B.samples(spark, d)).select("run_id", "seq")
 
 
-_LOGS = "logs AS (SELECT event_id, event_type, user_id % 3 AS code, 'Completed in ' || (event_id % 90) || 's' || chr(10) || 'Adapter: a' || (event_id % 4) || chr(10) || 'Checks: 3/3 passed' || chr(10) || CASE event_type WHEN 'click' THEN 'RESULT: PASS' WHEN 'view' THEN 'partial' WHEN 'error' THEN 'freeze' ELSE '-' END AS out, value FROM events)"
+_LOGS = "logs AS (SELECT event_id, event_type, user_id % 3 AS code, CASE WHEN event_id % 7 > 0 THEN 'Completed in ' || (event_id % 90) || 's' || chr(10) ELSE '' END || 'Adapter: local a' || (event_id % 4) || chr(10) || 'Checks: ' || (event_id % 5) || '/5 passed' || chr(10) || CASE event_type WHEN 'click' THEN 'RESULT: PASS' WHEN 'view' THEN 'RESULT: PARTIAL' WHEN 'error' THEN 'possible freeze' WHEN 'purchase' THEN 'RESULT: FAIL' ELSE 'an error word' END AS out, value FROM events)"
+_LAST = {"click": "RESULT: PASS", "view": "RESULT: PARTIAL", "error": "possible freeze", "purchase": "RESULT: FAIL"}
 
 
 def _logs(spark, d):
     e = B.table(spark, d, "events")
-    last = F.when(F.col("event_type") == "click", "RESULT: PASS").when(F.col("event_type") == "view", "partial").when(F.col("event_type") == "error", "freeze").otherwise("-")
-    out = F.concat(F.lit("Completed in "), (F.col("event_id") % 90).cast("string"), F.lit("s\nAdapter: a"), (F.col("event_id") % 4).cast("string"), F.lit("\nChecks: 3/3 passed\n"), last)
+    last = F.lit("an error word")
+    for kind, text in _LAST.items():
+        last = F.when(F.col("event_type") == kind, text).otherwise(last)
+    took = F.when(F.col("event_id") % 7 > 0, F.concat(F.lit("Completed in "), (F.col("event_id") % 90).cast("string"), F.lit("s\n"))).otherwise("")
+    out = F.concat(took, F.lit("Adapter: local a"), (F.col("event_id") % 4).cast("string"), F.lit("\nChecks: "), (F.col("event_id") % 5).cast("string"), F.lit("/5 passed\n"), last)
     return e.select("event_id", (F.col("user_id") % 3).alias("code"), out.alias("out"), F.col("value").alias("ms"))
 
 
-@_q("WITH " + _LOGS + " SELECT event_id, CASE WHEN event_type = 'error' THEN 'freeze' WHEN code = 0 AND event_type = 'click' THEN 'passed' WHEN event_type = 'view' THEN 'partial' WHEN code <> 0 THEN 'failed' ELSE 'unknown' END AS class, CAST(event_id % 90 AS DOUBLE) AS seconds, 3.0::DOUBLE AS checks, 'a' || (event_id % 4) AS adapter FROM logs")
+@_q("WITH " + _LOGS + " SELECT event_id, CASE WHEN event_type = 'error' THEN 'freeze_detected' WHEN event_type = 'click' THEN 'passed' WHEN event_type = 'view' THEN 'partial' WHEN event_type = 'purchase' OR code <> 0 THEN 'failed' ELSE 'unknown' END AS class, CAST(CASE WHEN event_id % 7 > 0 THEN event_id % 90 END AS DOUBLE) AS seconds, event_id % 5 AS checks, 'local a' || (event_id % 4) AS adapter FROM logs")
 def l2_l3_classify_log(spark, d):
     m = R.extract_metrics(F.col("out"))
-    return _logs(spark, d).select("event_id", R.classify_log(F.col("out"), F.lit(""), F.col("code")).alias("class"), m["seconds"].alias("seconds"), m["checks"].alias("checks"), m["adapter"].alias("adapter"))
+    return _logs(spark, d).select("event_id", R.classify_log(F.col("out"), F.lit(""), F.col("code")).alias("class"), m["seconds"].cast("double").alias("seconds"), m["checks"].alias("checks"), m["adapter"].alias("adapter"))
 
 
-@_q("WITH " + _LOGS + ", c AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 4 WHEN code = 0 AND event_type = 'click' THEN 0 WHEN event_type = 'view' THEN 2 WHEN code <> 0 THEN 3 ELSE 1 END AS severity, CAST(event_id % 90 AS DOUBLE) AS cost, value FROM logs) SELECT event_id, severity, cost FROM c ORDER BY severity DESC, cost DESC, value DESC LIMIT 100")
+@_q("WITH " + _LOGS + " SELECT event_id, CASE WHEN event_type = 'error' THEN 4 WHEN event_type = 'click' THEN 1 WHEN event_type = 'view' THEN 2 WHEN event_type = 'purchase' OR code <> 0 THEN 3 ELSE 0 END AS severity, CASE WHEN event_id % 7 > 0 THEN event_id % 90 ELSE CAST(floor(value / 1000 + 0.5) AS BIGINT) END AS cost FROM logs")
 def h11_rank_runs(spark, d):
     rows = _logs(spark, d).select("event_id", R.classify_log(F.col("out"), F.lit(""), F.col("code")).alias("class"), R.extract_metrics(F.col("out"))["seconds"].alias("seconds"), "ms")
-    return R.rank_runs(rows).limit(100).select("event_id", "severity", "cost")
+    return R.rank_runs(rows).select("event_id", "severity", "cost")
 
 
-@_q("SELECT event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN 'uninitialized' WHEN 'click' THEN 'switching' ELSE 'ready' END AS model, event_type NOT IN ('error', 'view', 'click') AS ready FROM events")
+@_q("SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'ready' WHEN event_type = 'error' THEN 'unavailable' ELSE 'warming_up' END AS model, CASE event_type WHEN 'view' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'idle' END AS backfill, CASE WHEN event_type = 'error' THEN if(user_id % 2 = 0, 'degraded', 'unavailable') ELSE if(user_id % 2 = 0, 'ready', 'loading') END AS serving, CASE event_type WHEN 'view' THEN 'embedding' WHEN 'error' THEN 'error' ELSE 'idle' END AS status, user_id % 2 = 0 AND event_type <> 'error' AS ready FROM events")
 def l1_runtime_state(spark, d):
     t = F.col("event_type")
-    s = R.runtime_state(F.lit("idle"), F.when(t == "view", None).when(t == "click", "other").otherwise("want"), F.lit("want"), F.when(t == "error", "boom"))
-    return B.table(spark, d, "events").select("event_id", s["model"].alias("model"), s["ready"].alias("ready"))
+    phase = F.when(t == "view", "running").when(t == "error", "error").otherwise("idle")
+    s = R.runtime_state(phase, F.when(F.col("user_id") % 2 == 0, "a/b"))
+    return B.table(spark, d, "events").select("event_id", *(c.alias(k) for k, c in s.items()))
 
 
-@_q("SELECT event_id, CASE event_type WHEN 'error' THEN 'timeout' WHEN 'view' THEN 'quota' WHEN 'click' THEN 'network' ELSE 'model_not_found' END AS cause FROM events")
+@_q("SELECT event_id, CASE event_type WHEN 'error' THEN 'timeout' WHEN 'view' THEN 'quota' WHEN 'click' THEN 'download' WHEN 'signup' THEN 'model_not_found' ELSE 'unknown' END AS cause FROM events")
 def l4_error_cause(spark, d):
     t = F.col("event_type")
-    message = F.when(t == "error", "Request timed out").when(t == "view", "HTTP 429").when(t == "click", "fetch failed").otherwise("Model x not found")
+    message = F.when(t == "error", "[download:timeout] network").when(t == "view", "x [Download:quota]").when(t == "click", "Failed to fetch").when(t == "signup", "[download:model_not_found]").otherwise("HTTP 429")
     return B.table(spark, d, "events").select("event_id", T.error_cause(message).alias("cause"))
 
 

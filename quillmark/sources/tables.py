@@ -110,7 +110,7 @@ acts AS (SELECT * FROM actions WHERE path LIKE '%.md')"""
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("event_type").alias("state"), F.col("value").alias("ms"), (F.col("event_id") % 50 == 0).cast("bigint").alias("timeouts"), (F.col("event_id") % 20 == 0).cast("bigint").alias("empty_polls"), (F.col("event_id") % 997 == 0).alias("frozen"), F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"))
+    return e.select(F.col("event_type").alias("state"), F.col("value").alias("ms"), (F.col("value") / 2).alias("trigger_ms"), F.when(F.col("event_id") % 3 == 0, F.col("value") * 16).alias("settled_ms"), (F.col("event_id") % 50 == 0).cast("bigint").alias("timeouts"), (F.col("event_id") % 20 == 0).cast("bigint").alias("empty_polls"), (F.col("event_id") % 997 == 0).alias("frozen"), F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"))
 
 
-SAMPLES = "samples AS (SELECT event_type AS state, value AS ms, CAST(event_id % 50 = 0 AS BIGINT) AS timeouts, CAST(event_id % 20 = 0 AS BIGINT) AS empty_polls, event_id % 997 = 0 AS frozen, user_id AS run_id, event_id AS seq, epoch_us(ts) // 1000 AS ts FROM events)"
+SAMPLES = "samples AS (SELECT event_type AS state, value AS ms, value / 2 AS trigger_ms, CASE WHEN event_id % 3 = 0 THEN value * 16 END AS settled_ms, CAST(event_id % 50 = 0 AS BIGINT) AS timeouts, CAST(event_id % 20 = 0 AS BIGINT) AS empty_polls, event_id % 997 = 0 AS frozen, user_id AS run_id, event_id AS seq, epoch_us(ts) // 1000 AS ts FROM events)"

@@ -13,7 +13,7 @@ def test_retry_waits_and_gives_up():
             raise J.Transient("429", 0.5 if len(calls) == 1 else None)
         return ["ok"]
 
-    assert J.with_retry(call, sleep=waits.append) == ["ok"] and waits == [0.5, 2.0]
+    assert J.with_retry(call, sleep=waits.append) == ["ok"] and waits == [0.5, 4.0]
     with pytest.raises(J.Transient):
         J.with_retry(lambda: (_ for _ in ()).throw(J.Transient()), sleep=lambda s: None)
     with pytest.raises(J.Fatal):
