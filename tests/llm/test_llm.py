@@ -458,6 +458,7 @@ def test_html(spark):
     article = "<article><h1>Head &amp; line</h1><p>One  two<br>three<p>Fo<b>ur</b> &eacute;<ul><li>a<li>b</ul></article>"
     want = "Head & line One two three Four é a b"
     assert main_text(PAGE.format(article), None) == want
+    assert main_text("<article><p>a\u2003b\u3000\u3000c<math><mi>x</mi></math></article>", None) == "a b c x"
     plain = "<div id=menu><a href=a>M</a></div><div class=content><h2>Title</h2><p>Long enough text here.<p>And more of it.</div><div class=comments><p>nice!</div><form>Send</form>"
     assert main_text(PAGE.format(plain), None) == "Title Long enough text here. And more of it."
     sources = [PAGE.format("<div class=content><p>Subscribe now!</p>" + "".join(f"<p>text {i} {j}</p>" for j in range(i + 1)) + "</div>") for i in range(5)]
@@ -471,6 +472,11 @@ def test_html(spark):
         assert [x[0] for x in got] == sorted(r[0] for r in rows)
         assert dict(got)[9] == "" and dict(got)[10] == "" and dict(got)[11] == "unclosed x" and dict(got)[12] == want
     assert extract(df.where("false")).count() == 0
+    from quillmark.llm.html_extraction import wrappers
+
+    many = [("h", sources[0])] * 50 + [("h", x) for x in sources[1:]] + [("n", None)]
+    (one,) = wrappers(spark.createDataFrame(many, "host string, html string")).collect()
+    assert one.wrapper == infer(sorted(set(sources))).dump()  # copies of a page count once
 
 
 def test_pipeline(spark):
