@@ -11,7 +11,7 @@ Equal texts are one node first (by the hash of their words). Texts with a sketch
 members of a bucket are compared with one leader, in the second with the text of most links, so that a text and its many copies
 meet whatever the copies have in common. What remains is compared pair by pair, except pairs of one class: tiles of
 ``TILE`` x ``TILE`` members are spread over the tasks, and bags of words and of runs of two words in ``BINS`` bins, which never count more edits than there
-are, tell most distant pairs apart without their texts. So no bucket is left with an untried pair of two classes. Classes are
+are, tell most distant pairs apart without their texts, and a pair of several buckets is told by the least of them. So no bucket is left with an untried pair of two classes. Classes are
 the connected components of verified pairs; the first document of a class by id stays.
 """
 
@@ -348,7 +348,9 @@ def _remaining_pairs(active: DataFrame, texts: DataFrame, similarity: float, til
         node, n, root, over, over2, chunk = (group[c].to_numpy().astype(np.int64) for c in ("node", "n", "root", "over", "over2", "chunk"))
         bag = np.frombuffer(b"".join(group["bag"].to_pylist()), np.uint8).reshape(-1, 2 * BINS)
         a, b = possible_pairs(n, root, bag, np.stack([over, over2], 1), np.flatnonzero(chunk == i), np.flatnonzero(chunk == j), similarity)
-        a, b = node[a], node[b]
+        mine = group["mine"].combine_chunks()
+        here = _first_meeting(mine.offsets.to_numpy() - mine.offsets[0].as_py(), mine.flatten().to_numpy(), key[0].as_py(), a, b)
+        a, b = node[a[here]], node[b[here]]
         once = (a < b) | (i != j)
         a, b = a[once], b[once]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
@@ -357,7 +359,22 @@ def _remaining_pairs(active: DataFrame, texts: DataFrame, similarity: float, til
     sizes = active.groupBy("bucket").agg(F.ceil(F.count("*") / tile).cast("int").alias("chunks"))
     chunked = active.select("node", "n", "bucket", "root").join(sizes, "bucket").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int"))
     dealt = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("node", "n", "root", "bucket", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
-    return dealt.join(some, "node").groupBy("bucket", "i", "j").applyInArrow(meet, "a bigint, b bigint").distinct()
+    buckets = active.groupBy("node").agg(F.sort_array(F.collect_list("bucket")).alias("mine"))  # as many as sketches at most
+    return dealt.join(some.join(buckets, "node"), "node").groupBy("bucket", "i", "j").applyInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def _first_meeting(off: np.ndarray, buckets: np.ndarray, bucket: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of rows have ``bucket`` as the least bucket in common; a row's buckets are sorted. So each pair is told once."""
+    size = np.diff(off)
+    left, right = (np.full((len(size), int(size.max(initial=1))), pad, np.int64) for pad in (-(1 << 63), -(1 << 63) + 1))
+    row, place = np.repeat(np.arange(len(size)), size), ragged(np.zeros(len(size), np.int64), size)
+    left[row, place] = right[row, place] = buckets
+    out = np.zeros(len(a), bool)
+    for s in range(0, len(a), 2048):
+        p, q = left[a[s : s + 2048]], right[b[s : s + 2048]]
+        common = (p[:, :, None] == q[:, None, :]).any(2)
+        out[s : s + 2048] = p[np.arange(len(p)), common.argmax(1)] == bucket
+    return out
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
