@@ -463,7 +463,7 @@ def test_html(spark):
     assert main_text(PAGE.format(plain), None) == "Title Long enough text here. And more of it."
     sources = [PAGE.format("<div class=content><p>Subscribe now!</p>" + "".join(f"<p>text {i} {j}</p>" for j in range(i + 1)) + "</div>") for i in range(5)]
     wrapper = infer(sources)
-    assert "(<p>#</p>)+" in wrapper.expression() and "Subscribe now!" in wrapper.fixed
+    assert "(<p>#</p>)+" in wrapper.expression()
     assert main_text(sources[3], wrapper.dump()) == " ".join(f"text 3 {j}" for j in range(4))
     rows = [(i, f"http://h{i % 3}.example.org/x", s) for i, s in enumerate(sources)] + [(9, None, None), (10, "no url", ""), (11, "http://h.example.org", "<p>unclosed <b>x"), (11, "http://h.example.org", "<p>unclosed <b>x"), (12, "http://h0.example.org/", PAGE.format(article))]
     df = spark.createDataFrame(rows, "page_id int, url string, html string").withColumn("host", F.lit("clash"))
@@ -479,6 +479,60 @@ def test_html(spark):
     assert one.wrapper == infer(sorted(set(sources))).dump()  # copies of a page count once
 
 
+def test_html_expression_decides():
+    import json
+
+    from quillmark.llm.html_extraction import infer, main_text
+
+    body = lambda i, more="": "<body><div class=top>Site of things</div><div class=content><p>Subscribe now!</p>" + "".join(f"<p>text {i} {j} and so on</p>" for j in range(i + 1)) + f"</div>{more}</body>"
+    sources = [body(i, "<div class=hint>Only on some pages</div>" if i % 2 else "") for i in range(8)]
+    wrapper = infer(sources)
+    assert "(<div class=hint>#</div>)?" in wrapper.expression()
+    want = " ".join(f"text 5 {j} and so on" for j in range(6))
+    assert main_text(sources[5], wrapper.dump()) == want
+    for lost in ("Subscribe now!", None):
+        changed = json.loads(wrapper.dump())
+        if lost:  # the slot no longer says what stays the same
+            changed["nodes"] = [[s, p, k, []] for s, p, k, _ in changed["nodes"]]
+            assert main_text(sources[5], json.dumps(changed)) == "Subscribe now! " + want
+        else:  # another expression: no text has a slot
+            changed["nodes"] = [["<table>", p, k, f] for _, p, k, f in changed["nodes"]]
+            assert main_text(sources[5], json.dumps(changed)) != want
+    # two containers; a repeated group of two elements; an element with a doubtful name that varies
+    two = [f"<div class=a><p>first part {i} of some length</p></div><ul class=m><li><a href=x>menu</a></ul><div class=b><h2>Head {i}</h2><p>second part {i} of some length</p></div>" for i in range(4)]
+    assert main_text(two[2], infer(two).dump()) == "first part 2 of some length Head 2 second part 2 of some length"
+    pairs = ["<dl class=d>" + "".join(f"<dt>term {i} {j}<dd>meaning {i} {j}" for j in range(2 + i)) + "</dl>" for i in range(3)]
+    assert "(<dt>#</dt><dd>#</dd>)+" in infer(pairs).expression()
+    assert main_text(pairs[0], infer(pairs).dump()) == "term 0 0 meaning 0 0 term 0 1 meaning 0 1"
+    alert = [f'<main><h1>T {i}</h1><div class="search alert">found {i} of these</div><div class=comments>nice {i}</div></main>' for i in range(4)]
+    assert main_text(alert[1], infer(alert).dump()) == "T 1 found 1 of these"
+    copies = [f"<div class=content><p>The same long article on every page of the host</p><p>edit {i}</p></div>" for i in range(5)]
+    assert main_text(copies[0], infer(copies).dump()) == "The same long article on every page of the host edit 0"
+    deep = "<div>" * 3000 + "x" + "</div>" * 3000
+    assert main_text(deep, infer([deep, deep + "y", "z"]).dump()).startswith("x")
+
+
+def test_html_alignment(monkeypatch):
+    import random
+
+    from quillmark.llm import html_extraction as H
+
+    draw = random.Random(7)
+    for _ in range(300):
+        a, b = ([draw.choice("abcde") for _ in range(draw.randrange(9))] for _ in range(2))
+        best = {(i, j): 0 for i in range(len(a) + 1) for j in range(len(b) + 1)}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                best[i, j] = best[i - 1, j - 1] + 1 if a[i - 1] == b[j - 1] else max(best[i - 1, j], best[i, j - 1])
+        got = H.align(a, b)
+        assert len(got) == best[len(a), len(b)] and all(a[i] == b[j] for i, j in got)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
+        monkeypatch.setattr(H, "ALIGN_CELLS", 4)
+        few = H.align(a, b)
+        assert all(a[i] == b[j] for i, j in few) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(few, few[1:]))
+        monkeypatch.undo()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
