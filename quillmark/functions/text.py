@@ -1,7 +1,11 @@
-"""Text rules of the note index as Column expressions; nothing here needs a Python UDF."""
+"""Text rules of the note index as Column expressions; only a user's own tokenizer needs a Python UDF."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Iterator
+
+import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column
 
@@ -53,6 +57,39 @@ def estimate_tokens(text: Column, chars_per_token: Column | float = 3.7) -> Colu
     return F.ceil(F.length(text) / cpt).cast("bigint")
 
 
+def count_tokens(text: Column, kind: Column, exact: Callable[[Column], Column] | None = None, chars_per_token: Column | float = 3.7) -> Column:
+    """Where ``kind`` is tiktoken the tokens that ``exact`` counts, with the estimate where it gives null; else the estimate."""
+    estimate = estimate_tokens(text, chars_per_token)
+    return estimate if exact is None else F.when(kind == "tiktoken", F.coalesce(exact(text).cast("bigint"), estimate)).otherwise(estimate)
+
+
+def exact_counter(build: Callable[[], Callable[[str], int]]) -> Callable[[Column], Column]:
+    """A counter for ``count_tokens`` from a tokenizer built once a task; null where building or counting fails, and for null texts."""
+
+    @F.pandas_udf("bigint")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            one = build()
+        except Exception:  # whatever a user's tokenizer raises, the estimate stands in
+            one = None
+
+        def tokens(text: str | None) -> int | None:
+            try:
+                return None if one is None or text is None else one(text)
+            except Exception:
+                return None
+
+        for texts in batches:
+            yield pd.Series([tokens(t) for t in texts], dtype="Int64")
+
+    return count
+
+
+def safety_ratio(kind: Column, own: Column) -> Column:
+    """The model's own ratio, else that of its kind of tokenizer."""
+    return F.coalesce(own, F.when(kind == "tiktoken", 0.95).when(kind == "char-estimate", 0.75).otherwise(0.85))
+
+
 def request_budget(max_tokens: Column, safety: Column) -> Column:
     limit = F.when(F.coalesce(max_tokens, F.lit(0)) == 0, F.lit(DEFAULT_MAX_TOKENS)).otherwise(max_tokens)
     return F.greatest(F.lit(1), F.floor(limit * safety)).cast("bigint")

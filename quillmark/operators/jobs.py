@@ -23,21 +23,26 @@ def has_embed(vec: Column, read_hash: Column, embed_hash: Column) -> Column:
     return F.coalesce((F.size(vec) > 0) | ((read_hash != "") & (read_hash == embed_hash)), F.lit(False))
 
 
-def is_unembedded(read_hash: Column, embed_hash: Column, size: Column, embed_size: Column, dims: Column, expected_dims: Column, min_change: Column) -> Column:
-    """Stale: no hash on either side, another length of vector, or other content that isn't a small change of a known size."""
+def is_unembedded(read_hash: Column, embed_hash: Column, size: Column, embed_size: Column, dims: Column, expected_dims: Column, min_change: Column, loaded: bool = False) -> Column:
+    """Stale: no hash on either side, other content that isn't a small change of a known size, or the same content with another length of
+    vector. Where the vectors are ``loaded`` a wrong length counts whatever the content; lengths of 0 are unknown."""
     none = F.coalesce(read_hash, F.lit("")) == ""
     never = F.coalesce(embed_hash, F.lit("")) == ""
     small = F.coalesce((min_change > 0) & (F.abs(size - embed_size) < min_change), F.lit(False))
-    wrong = F.coalesce((expected_dims > 0) & dims.isNotNull() & (dims != expected_dims), F.lit(False))
-    return none | never | wrong | ((read_hash != embed_hash) & ~small)
+    wrong = F.coalesce((expected_dims > 0) & (dims > 0) & (dims != expected_dims), F.lit(False))
+    other = read_hash != embed_hash
+    return none | never | (wrong | (other & ~small) if loaded else F.when(other, ~small).otherwise(wrong))
 
 
 def embed_queue(blocks: DataFrame, stamps: DataFrame, model: str, *, expected_dims: int | None = None, min_change: int = 0) -> DataFrame:
-    """Eligible and stale blocks; ``blocks`` has should_embed and read_hash, ``stamps`` the embeddings' metadata."""
-    own = stamps.where(F.col("model_key") == model).select("entity_key", "embed_hash", F.col("dims").alias("_dims"))
+    """Eligible and stale blocks; ``blocks`` has should_embed, read_hash and length, ``stamps`` the embeddings' metadata.
+
+    ``min_change`` needs the stamps' embed_size, the length of what was embedded; without it every change counts."""
+    size = F.col("embed_size") if "embed_size" in stamps.columns else F.lit(None)
+    own = stamps.where(F.col("model_key") == model).select("entity_key", "embed_hash", F.col("dims").alias("_dims"), size.cast("bigint").alias("_size"))
     joined = blocks.where("should_embed").join(own, "entity_key", "left")
-    stale = is_unembedded(F.col("read_hash"), F.col("embed_hash"), F.col("length"), F.lit(None).cast("bigint"), F.col("_dims"), F.lit(expected_dims).cast("int"), F.lit(min_change))
-    return joined.where(stale).drop("embed_hash", "_dims")
+    stale = is_unembedded(F.col("read_hash"), F.col("embed_hash"), F.col("length"), F.col("_size"), F.col("_dims"), F.lit(expected_dims).cast("int"), F.lit(min_change))
+    return joined.where(stale).drop("embed_hash", "_dims", "_size")
 
 
 def switch_model(entities: DataFrame, embeddings: DataFrame, model: str, force: bool = False) -> DataFrame:
@@ -209,8 +214,11 @@ def stamp(results: DataFrame, blocks: DataFrame, model: str, updated_at: int) ->
     return joined.select("entity_key", F.lit(model).alias("model_key"), "vec", "tokens", F.coalesce("read_hash", content_hash(F.col("text"))).alias("embed_hash"), F.size("vec").alias("dims"), F.lit(updated_at).cast("bigint").alias("updated_at"))
 
 
-def refresh(spark: SparkSession, blocks: DataFrame, store, found: Embedder, model: str, *, updated_at: int = 0, rounds: int = 10) -> int:
-    """Queues, embeds and stores until nothing more gets done; the number of blocks left."""
+def refresh(spark: SparkSession, blocks: DataFrame, store, found: Embedder, model: str, *, updated_at: int = 0, rounds: int = 10, save_rows: int | None = None) -> int:
+    """Queues, embeds and stores until nothing more gets done; the number of blocks left.
+
+    With ``save_rows`` the queue is cut by hash into parts of about that many rows, and each part is stored when it is done, so that a
+    run that is lost costs one part. Each save writes the table anew: choose parts that are large beside it."""
     from quillmark.operators.store import EMBEDDINGS, upsert
 
     left = -1
@@ -224,7 +232,11 @@ def refresh(spark: SparkSession, blocks: DataFrame, store, found: Embedder, mode
         if not now or now == left:
             return now
         left = now
-        store.write(upsert(stored, stamp(embed(queue, found), blocks, model, updated_at).select(*stored.columns), ["entity_key", "model_key"]))
+        parts = -(-now // save_rows) if save_rows else 1
+        for part in range(parts):
+            mine = queue.where(F.pmod(F.xxhash64("entity_key"), F.lit(parts)) == part) if parts > 1 else queue
+            store.write(upsert(stored, stamp(embed(mine, found), blocks, model, updated_at).select(*stored.columns), ["entity_key", "model_key"]))
+            stored = store.read()
     return embed_queue(blocks, store.read(), model).count()
 
 

@@ -23,6 +23,13 @@ def collection_stats(sources: DataFrame, blocks: DataFrame, embedded: DataFrame)
     return F.broadcast(sources.agg(F.count("*").alias("source_count"))).join(counts, F.lit(True)).select("source_count", "embedded_source_count", "block_count", "embedded_block_count")
 
 
+def status_report(stats: DataFrame, *, model: str, dims: int, ready: bool = True, embed_ready: bool = True, state: str = "idle", runtime_state: str | None = None, endpoint: str | None = None) -> DataFrame:
+    """``collection_stats`` in one row with the model and the states of the run."""
+    said = {"ready": ready, "embed_ready": embed_ready, "status_state": state, "runtime_state": runtime_state, "endpoint_url": endpoint, "model_key": model, "dims": dims}
+    kinds = {"ready": "boolean", "embed_ready": "boolean", "dims": "int"}
+    return stats.select(*(F.lit(v).cast(kinds.get(k, "string")).alias(k) for k, v in said.items()), *stats.columns)
+
+
 def embedding_counts(rows: DataFrame, by: tuple = ()) -> DataFrame:
     """total, embedded, embeddable, effective total of (should_embed, has_embed)."""
     out = rows.groupBy(*by).agg(F.count("*").alias("total"), F.count_if("has_embed").alias("embedded"), F.count_if("should_embed").alias("embeddable"))

@@ -7,6 +7,8 @@ tiles in numpy, keeping k rows of each tile, so that no task holds more than two
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyspark.sql.functions as F
@@ -17,6 +19,7 @@ from quillmark.functions.vectors import SMALL, dot, l2_norm
 DIGITS = 6
 OVERFETCH_NOTES, OVERFETCH_CONNECTIONS = 4, 3
 NEAREST_LIMIT = 50
+TILE_ROWS = 8192
 
 
 def key_filters(candidates: DataFrame, *, include: DataFrame | None = None, exclude: DataFrame | None = None, starts_with: str | None = None, not_starts_with: str | None = None) -> DataFrame:
@@ -56,6 +59,34 @@ def nearest(candidates: DataFrame, vector: list[float], limit: int = NEAREST_LIM
     return hits.orderBy(*order).limit(limit)
 
 
+def nearest_to(candidates: DataFrame, key: str, limit: int = NEAREST_LIMIT, **filters) -> DataFrame:
+    """``nearest`` to an entity's own vector, without the entity; an entity without a vector is an error."""
+    own = candidates.where((F.col("entity_key") == key) & (F.size("vec") > 0)).select("vec").head(1)
+    if not own:
+        raise ValueError(f"{key} has no vector")
+    return nearest(candidates.where(F.col("entity_key") != key), list(own[0].vec), limit, **filters)
+
+
+def scope(entities: DataFrame, which: str = "all") -> DataFrame:
+    """``all``, or only ``notes`` or ``blocks``."""
+    kinds = {"all": ("source", "block"), "notes": ("source",), "blocks": ("block",)}[which]
+    return entities.where(F.col("entity_type").isin(*kinds))
+
+
+def lookup(text: str, embed: Callable[[list[str], str], list], collections: list[DataFrame], limit: int = 20) -> DataFrame:
+    """The best of all collections for a text, which is embedded as a query; a text without a vector is an error."""
+    vector = (embed([text], "query") or [None])[0]
+    if vector is None or not len(vector):
+        raise ValueError("no vector for the text")
+    return merge_results([nearest(c, [float(x) for x in vector], limit) for c in collections], limit)
+
+
+def by_score(hits: DataFrame, *, ascending: bool = False) -> DataFrame:
+    """By score, where scores that agree to nine digits are ties, and then by key."""
+    score = F.round("score", 9)
+    return hits.orderBy(score.asc() if ascending else score.desc(), "entity_key")
+
+
 def best_per_source(hits: DataFrame, by: tuple = ()) -> DataFrame:
     """The best block of each note."""
     rank = Window.partitionBy(*by, "source_path").orderBy(F.desc("score"), "entity_key")
@@ -88,17 +119,19 @@ def nearest_many(queries: DataFrame, candidates: DataFrame, k: int, *, own: str
     """(query_id, entity_key, source_path, score): the k best of all candidates for every (query_id, vec).
 
     With ``own``, a query column, candidates whose source_path equals it are left out inside the tiles. Each pair of tiles is
-    one group, so a task holds two tiles; each gives at most k rows for each query, of which the k best stay.
+    one group, so a task holds two tiles; each gives at most k rows for each query, of which the k best stay. Unless ``tiles`` says
+    how many, both sides are counted and cut into tiles of about ``TILE_ROWS``, so that tiles don't grow with the tables.
     """
-    n = tiles or max(2, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
+    least = max(2, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
+    nq, nc = (tiles or max(least, -(-side.count() // TILE_ROWS)) for side in (queries, candidates))
     own_name = F.col(own) if own else F.lit(None).cast("string")
-    left = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("vec").alias("query_vec"), own_name.alias("own")).withColumn("qt", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int"))
-    right = candidates.select("entity_key", "source_path", "vec").withColumn("ct", F.pmod(F.xxhash64("entity_key"), F.lit(n)).cast("int"))
-    left = left.withColumn("ct", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    right = right.withColumn("qt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    left = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("vec").alias("query_vec"), own_name.alias("own")).withColumn("qt", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int"))
+    right = candidates.select("entity_key", "source_path", "vec").withColumn("ct", F.pmod(F.xxhash64("entity_key"), F.lit(nc)).cast("int"))
+    left = left.withColumn("ct", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
+    right = right.withColumn("qt", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
 
     def tile(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "entity_key": [], "source_path": [], "score": []})
+        empty = pd.DataFrame({"query_id": pd.Series([], dtype=object), "entity_key": pd.Series([], dtype=object), "source_path": pd.Series([], dtype=object), "score": pd.Series([], dtype=float)})
         if not len(q) or not len(c):
             return empty
         c = c.sort_values("entity_key", kind="stable").reset_index(drop=True)
@@ -119,7 +152,8 @@ def nearest_many(queries: DataFrame, candidates: DataFrame, k: int, *, own: str
             r, t = np.nonzero(np.isfinite(np.take_along_axis(s, top, 1)))
             at = top[r, t]
             out.append(pd.DataFrame({"query_id": q["query_id"].to_numpy()[i + r], "entity_key": c["entity_key"].to_numpy()[at], "source_path": c["source_path"].to_numpy()[at], "score": s[r, at]}))
-        return pd.concat(out) if out else empty
+        found = pd.concat(out) if out else empty
+        return found if len(found) else empty
 
     pairs = left.groupBy("qt", "ct").cogroup(right.groupBy("qt", "ct")).applyInPandas(tile, "query_id string, entity_key string, source_path string, score double")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "entity_key")
@@ -148,7 +182,7 @@ def with_metadata(hits: DataFrame, meta: DataFrame) -> DataFrame:
     """Hits with path, headings and a preview; hits without metadata keep defaults."""
     from quillmark.functions.text import preview
 
-    joined = F.broadcast(hits.select("entity_key", "score")).join(meta.select("entity_key", "path", "headings", "text"), "entity_key", "left")
+    joined = hits.select("entity_key", "score").join(meta.select("entity_key", "path", "headings", "text"), "entity_key", "left")
     return joined.select("entity_key", "score", F.coalesce("path", F.substring_index("entity_key", "#", 1)).alias("path"), F.coalesce("headings", F.array().cast("array<string>")).alias("headings"), preview(F.coalesce("text", F.lit(""))).alias("preview"))
 
 

@@ -29,10 +29,14 @@ def load_vectors(embeddings: DataFrame, keys: DataFrame, model: str) -> DataFram
 
 
 def searchable_vectors(entities: DataFrame, embeddings: DataFrame, model: str, entity_type: str, dims: int, keep_minor_changes: int | None = None) -> DataFrame:
-    """Vectors that stand for the present content: equal hashes (or a small enough change of size) and the right length."""
+    """Vectors of the right length that stand for the present content: equal hashes, or, with ``keep_minor_changes`` and an embed_size in
+    the embeddings, a size that changed by less."""
     held = entities.where(F.col("entity_type") == entity_type).select("entity_key", "path", "source_path", "last_read_hash", "last_read_size")
     joined = embeddings.where((F.col("model_key") == model) & (F.size("vec") == dims) & (F.coalesce("dims", F.lit(dims)) == dims)).join(held, "entity_key")
-    return joined.where(F.col("last_read_hash").isNotNull() & (F.col("embed_hash") == F.col("last_read_hash"))).select("entity_key", "source_path", "vec")
+    current = F.col("embed_hash") == F.col("last_read_hash")
+    if keep_minor_changes and "embed_size" in embeddings.columns:
+        current = current | F.coalesce(F.abs(F.col("last_read_size") - F.col("embed_size")) < keep_minor_changes, F.lit(False))
+    return joined.where(F.col("last_read_hash").isNotNull() & F.col("embed_hash").isNotNull() & current).select("entity_key", "source_path", "vec")
 
 
 def load_block_meta(entities: DataFrame, embeddings: DataFrame, model: str) -> DataFrame:
@@ -47,15 +51,20 @@ def detect_dims(embeddings: DataFrame, model: str) -> DataFrame:
     return found.select(F.when(F.col("n") > 1, F.raise_error(F.lit("several lengths in one model")).cast("int")).otherwise(F.col("dims")).alias("dims"))
 
 
-def upsert(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of the batch replace stored rows of the same keys."""
+def upsert(stored: DataFrame, batch: DataFrame, keys: list[str], latest: str | None = None) -> DataFrame:
+    """Rows of the batch replace stored rows of the same keys. Of a key that the batch repeats the row of the greatest ``latest`` stays, any
+    one without it."""
+    if latest:
+        batch = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.col(latest)).alias("_row")).select("_row.*")
+    else:
+        batch = batch.dropDuplicates(keys)
     return stored.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
 
 
 def upsert_embeddings(stored: DataFrame, batch: DataFrame) -> DataFrame:
     """The batch has (entity_key, model_key, vec, tokens, meta_hash, active_hash, read_hash, dims, updated_at)."""
     rows = batch.select("entity_key", "model_key", "vec", "tokens", F.coalesce("meta_hash", "active_hash", "read_hash").alias("embed_hash"), F.coalesce("dims", F.size("vec")).alias("dims"), "updated_at")
-    return upsert(stored, rows, ["entity_key", "model_key"])
+    return upsert(stored, rows, ["entity_key", "model_key"], "updated_at")
 
 
 def update_stamps(stored: DataFrame, batch: DataFrame) -> DataFrame:
@@ -180,6 +189,8 @@ class VersionedTable:
         out = fs.create(new, True)
         out.write(bytearray(json.dumps({"version": version}).encode()))
         out.close()
-        _, now = self._fs(f"{self.path}/CURRENT")
-        fs.delete(now, False)
-        fs.rename(new, now)
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark._jvm.org.apache.hadoop.fs.Options.Rename
+        overwrite = self.spark.sparkContext._gateway.new_array(options, 1)
+        overwrite[0] = options.OVERWRITE
+        context.rename(fs.makeQualified(new), fs.makeQualified(self._fs(f"{self.path}/CURRENT")[1]), overwrite)  # at no time is there no pointer

@@ -354,6 +354,16 @@ def a5_searchable_vectors(spark, d):
     return ST.searchable_vectors(B.entities(spark, d), B.stamps(spark, d), "m1", "block", 4).select("entity_key", "source_path")
 
 
+def _sized(spark, d, size: str) -> DataFrame:
+    """Stamps with the size that was embedded, up to 399 more than it is now."""
+    return B.stamps(spark, d).join(B.entities(spark, d).select("entity_key", size), "entity_key").withColumn("embed_size", F.col(size) + F.col("doc_id") % 400).drop(size)
+
+
+@_q(_W + "SELECT e.entity_key, e.source_path FROM stamps s JOIN entities e USING (entity_key) WHERE s.model_key = 'm1' AND s.dims = 4 AND entity_type = 'block' AND (s.embed_hash = e.last_read_hash OR s.doc_id % 400 < 200)")
+def a5_with_minor_changes(spark, d):
+    return ST.searchable_vectors(B.entities(spark, d), _sized(spark, d, "last_read_size"), "m1", "block", 4, keep_minor_changes=200).select("entity_key", "source_path")
+
+
 @_q(_W + "SELECT entity_key, path, source_path, 'paragraph-1' AS headings, head AS text FROM entities WHERE entity_type = 'block' AND entity_key IN (SELECT entity_key FROM stamps WHERE model_key = 'm1')")
 def a6_load_block_meta(spark, d):
     return ST.load_block_meta(B.entities(spark, d), B.stamps(spark, d), "m1").withColumn("headings", F.array_join("headings", "|"))
@@ -426,13 +436,13 @@ def b16_has_embed(spark, d):
     return j.select("entity_key", J.has_embed(vec, F.col("last_read_hash"), F.col("embed_hash")).alias("has"))
 
 
-_STALE = "s.embed_hash IS NULL OR s.dims <> 4 OR s.embed_hash <> e.last_read_hash"
+_STALE = "s.embed_hash IS NULL OR CASE WHEN s.embed_hash <> e.last_read_hash THEN s.updated_at // 10 % 400 >= 200 ELSE s.dims <> 4 END"
 
 
 @_q(_W + "SELECT e.entity_key, " + _STALE + " AS stale FROM entities e LEFT JOIN (SELECT * FROM stamps WHERE model_key = 'm1') s ON e.entity_key = s.entity_key WHERE entity_type = 'block'")
 def b17_is_unembedded(spark, d):
     j = ST.load_entities(B.entities(spark, d), B.stamps(spark, d), "block", "m1")
-    return j.select("entity_key", J.is_unembedded(F.col("last_read_hash"), F.col("embed_hash"), F.col("last_read_size"), F.lit(None).cast("bigint"), F.col("dims"), F.lit(4), F.lit(200)).alias("stale"))
+    return j.select("entity_key", J.is_unembedded(F.col("last_read_hash"), F.col("embed_hash"), F.col("last_read_size"), F.col("last_read_size") + F.expr("updated_at div 10 % 400"), F.col("dims"), F.lit(4), F.lit(200)).alias("stale"))
 
 
 @_q("WITH " + B.ENTITIES + " SELECT entity_key FROM entities WHERE doc_id % 4 <> 0")
@@ -499,6 +509,11 @@ def f4_collection_stats(spark, d):
     return R.collection_stats(B.notes(spark, d), B.entities(spark, d).where("entity_type = 'block'"), B.stamps(spark, d).where("model_key = 'm1'"))
 
 
+@_q(_W + ", x AS (SELECT DISTINCT entity_key FROM stamps WHERE model_key = 'm1'), b AS (SELECT e.*, x.entity_key IS NOT NULL AS has FROM entities e LEFT JOIN x USING (entity_key) WHERE entity_type = 'block') SELECT true AS ready, true AS embed_ready, 'idle' AS status_state, CAST(NULL AS VARCHAR) AS runtime_state, CAST(NULL AS VARCHAR) AS endpoint_url, 'm1' AS model_key, 4 AS dims, (SELECT count(*) FROM notes) AS source_count, count(DISTINCT CASE WHEN has THEN source_path END) AS embedded_source_count, count(*) AS block_count, count_if(has) AS embedded_block_count FROM b")
+def f7_status_report(spark, d):
+    return R.status_report(f4_collection_stats(spark, d), model="m1", dims=4)
+
+
 @_q("SELECT lang, count(*) AS total, count_if(doc_id % 3 = 0) AS embedded, count_if(doc_id % 2 = 0 AND lang <> 'es') AS embeddable, CASE WHEN count_if(doc_id % 2 = 0 AND lang <> 'es') > 0 THEN count_if(doc_id % 2 = 0 AND lang <> 'es') ELSE count(*) END AS effective_total, greatest(0, count(*) - count_if(doc_id % 3 = 0)) AS pending, CAST(floor(count_if(doc_id % 3 = 0) / count(*) * 100 + 0.5) AS BIGINT) AS pct FROM documents GROUP BY lang")
 def f5_f6_progress(spark, d):
     t = B.table(spark, d, "documents").select("lang", (F.col("doc_id") % 3 == 0).alias("has_embed"), ((F.col("doc_id") % 2 == 0) & (F.col("lang") != "es")).alias("should_embed"))
@@ -542,7 +557,7 @@ def h13_backlog(spark, d):
 @_q(_W + "SELECT e.entity_key FROM entities e LEFT JOIN (SELECT * FROM stamps WHERE model_key = 'm1') s ON e.entity_key = s.entity_key WHERE entity_type = 'block' AND text_len >= 300 AND (" + _STALE + ")")
 def j1_embed_queue(spark, d):
     e = B.entities(spark, d).where("entity_type = 'block'").select("entity_key", F.col("last_read_hash").alias("read_hash"), F.col("text_len").alias("length"), (F.col("text_len") >= 300).alias("should_embed"))
-    return J.embed_queue(e, B.stamps(spark, d), "m1", expected_dims=4).select("entity_key")
+    return J.embed_queue(e, _sized(spark, d, "text_len"), "m1", expected_dims=4, min_change=200).select("entity_key")
 
 
 @_q()
@@ -587,16 +602,16 @@ def b9_predicate_overfetch(spark, d):
     return S.nearest(B.vector_blocks(spark, d), _vector(spark, d), 10, where=F.col("label") == 1, overfetch=6).select("entity_key", "score")
 
 
-@_q("WITH " + B.ENTITIES + " SELECT entity_type AS scope, count(*) AS n FROM entities GROUP BY ALL UNION ALL SELECT 'all', count(*) FROM entities")
+@_q("WITH " + B.ENTITIES + " SELECT CASE entity_type WHEN 'source' THEN 'notes' ELSE 'blocks' END AS scope, count(*) AS n FROM entities GROUP BY ALL UNION ALL SELECT 'all', count(*) FROM entities")
 def b12_scope(spark, d):
     e = B.entities(spark, d)
-    return e.groupBy(F.col("entity_type").alias("scope")).agg(F.count("*").alias("n")).unionByName(e.agg(F.count("*").alias("n")).select(F.lit("all").alias("scope"), "n"))
+    parts = [S.scope(e, s).agg(F.count("*").alias("n")).select(F.lit(s).alias("scope"), "n") for s in ("all", "notes", "blocks")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @_q("WITH " + _SCORED + " SELECT entity_key, score FROM scored WHERE vec_id <> 0 ORDER BY score DESC, entity_key LIMIT 20")
 def h2_nearest_to(spark, d):
-    v = B.vector_blocks(spark, d)
-    return S.nearest(v, _vector(spark, d), 20, exclude=v.where("vec_id = 0")).select("entity_key", "score")
+    return S.nearest_to(B.vector_blocks(spark, d), "folder0/note-0.md#paragraph-1", 20).select("entity_key", "score")
 
 
 _KNN = B.VECTORS + ", s AS (SELECT q.vec_id AS query_id, c.entity_key, c.source_path, q.source_path AS own, round(list_cosine_similarity(q.vec::DOUBLE[], c.vec::DOUBLE[]), 6) AS score FROM vecs q, vecs c)"
@@ -642,8 +657,14 @@ def h7_lookup(spark, d):
     found = J.hashing_embedder(32)
     n = B.notes(spark, d)
     stored = J.embed(n.select(F.col("path").alias("entity_key"), "text"), found).where("status = 'ok'").select("entity_key", F.col("entity_key").alias("source_path"), "vec")
-    query = found.build()(["the and of with"], "query")[0]
-    return S.nearest(stored, list(map(float, query)), 20).select("entity_key", "score")
+    parts = [stored.where(F.startswith("entity_key", F.lit("web/"))), stored]  # a collection and one that holds it too: each key once
+    return S.lookup("the and of with", found.build(), parts)
+
+
+@_q("WITH " + _SCORED + " SELECT entity_key, score, CAST(row_number() OVER (ORDER BY round(score, 9), entity_key) AS INT) AS pos FROM scored ORDER BY pos LIMIT 10")
+def h9_ascending(spark, d):
+    top = S.by_score(S.scored(B.vector_blocks(spark, d), _vector(spark, d)), ascending=True).limit(10)
+    return top.select("entity_key", "score", F.row_number().over(Window.orderBy(F.round("score", 9), "entity_key")).alias("pos"))
 
 
 @_q("WITH " + _SCORED + ", top AS (SELECT * FROM scored ORDER BY score DESC, entity_key LIMIT 20) SELECT entity_key, CAST(row_number() OVER (ORDER BY entity_key = 'folder0/note-0.md#paragraph-3' DESC, score DESC, entity_key) AS INT) AS pos FROM top")
@@ -780,6 +801,20 @@ def k5_model_catalogue(spark, d):
     return e.select("model", F.concat(F.col("model").cast("string"), F.lit(" ("), F.col("dims").cast("string"), F.lit("d)")).alias("shown"))
 
 
+@_q("WITH t AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN 'tiktoken' WHEN 1 THEN 'char-estimate' ELSE 'other' END AS kind FROM documents) SELECT doc_id, CASE WHEN kind = 'tiktoken' AND instr(text, 'ä') = 0 THEN length(text) - length(replace(text, ' ', '')) ELSE CAST(ceil(length(text) / 3.7::DOUBLE) AS BIGINT) END AS tokens, CAST(CASE WHEN doc_id % 5 = 0 THEN 0.5 WHEN kind = 'tiktoken' THEN 0.95 WHEN kind = 'char-estimate' THEN 0.75 ELSE 0.85 END AS DOUBLE) AS ratio FROM t")
+def k4_count_tokens(spark, d):
+    def build():
+        def spaces(text: str) -> int:
+            if "ä" in text:
+                raise ValueError("unknown symbol")
+            return text.count(" ")
+
+        return spaces
+
+    kind = F.when(F.col("doc_id") % 3 == 0, "tiktoken").when(F.col("doc_id") % 3 == 1, "char-estimate").otherwise("other")
+    return B.table(spark, d, "documents").select("doc_id", T.count_tokens(F.col("text"), kind, T.exact_counter(build)).alias("tokens"), T.safety_ratio(kind, F.when(F.col("doc_id") % 5 == 0, 0.5)).alias("ratio"))
+
+
 # --- streams, in their batch form -----------------------------------------------------------------------------------------
 
 
@@ -819,3 +854,14 @@ def m4_refresh_blocks(spark, d):
 def m6_progress_stream(spark, d):
     e = B.table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").alias("done"), F.lit(200000).cast("bigint").alias("total"), F.lit(0).cast("bigint").alias("started"))
     return M.progress_stream(e).select("run_id", "done", "pct")
+
+
+@_q("WITH " + B.NOTES + ", " + B.FILES + ", " + B.KNOWN + " SELECT path, CASE WHEN files.path IS NULL THEN 'delete' ELSE 'upsert' END AS action FROM known FULL JOIN files USING (path) WHERE known.path IS NULL OR files.path IS NULL OR known.mtime <> files.mtime OR known.size <> files.size")
+def m5_catch_up(spark, d):
+    return M.catch_up(B.known(spark, d), B.files(spark, d))
+
+
+@_q("SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events WHERE event_type = 'signup')")
+def m5_after_discovery(spark, d):
+    c = B.changes(spark, d)
+    return M.after_discovery(c, c.where("op = 'create'").select("ts")).select("event_id")

@@ -41,6 +41,21 @@ def pending(*changes: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def after_discovery(changes: DataFrame, ended: DataFrame) -> DataFrame:
+    """Changes of (ts, ...) later than the one row of ``ended`` (ts): those during the first import are dropped, ``catch_up`` finds them."""
+    limit = F.broadcast(ended.agg(F.max("ts").alias("_ended")))  # one row
+    return changes.join(limit, F.col("_ended").isNull() | (F.col("ts") > F.col("_ended"))).drop("_ended")
+
+
+def catch_up(stored: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, action) for what changed unseen: files without a stored source or with another time or size, and sources without a file."""
+    from quillmark.operators.store import stale_sources
+
+    new = files.join(stored.select("path"), "path", "left_anti").select("path")
+    gone = stored.join(files.select("path"), "path", "left_anti").select("path", F.lit("delete").alias("action"))
+    return new.unionByName(stale_sources(stored, files)).withColumn("action", F.lit("upsert")).unionByName(gone)
+
+
 def apply_changes(notes: DataFrame, changes: DataFrame, contents: DataFrame) -> DataFrame:
     """Notes after the changes; ``contents`` has (path, text) of what is upserted."""
     last = latest_change(changes)

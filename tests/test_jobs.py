@@ -55,6 +55,23 @@ def test_refresh_and_versions(spark, tmp_path):
     assert table.read().count() == before
 
 
+def test_refresh_in_parts(spark, tmp_path):
+    table = ST.VersionedTable(spark, str(tmp_path / "emb"))
+    blocks = spark.createDataFrame([(f"k{i}", f"text {i}", f"h{i}", 6, True) for i in range(9)], "entity_key string, text string, read_hash string, length bigint, should_embed boolean")
+    writes = []
+    plain = table.write
+    table.write = lambda df: (writes.append(1), plain(df))
+    assert J.refresh(spark, blocks, table, J.hashing_embedder(), "m", save_rows=3) == 0
+    assert len(writes) == 3 and table.read().count() == 9
+
+
+def test_upsert_repeated_keys(spark):
+    stored = spark.createDataFrame([("a", 1, 1), ("b", 1, 1)], "k string, v int, at int")
+    batch = spark.createDataFrame([("a", 2, 5), ("a", 3, 4), ("c", 4, 1), ("c", 4, 1)], "k string, v int, at int")
+    assert sorted(map(tuple, ST.upsert(stored, batch, ["k"], "at").collect())) == [("a", 2, 5), ("b", 1, 1), ("c", 4, 1)]
+    assert ST.upsert(stored, batch, ["k"]).count() == 3
+
+
 def test_stale(spark):
     import pyspark.sql.functions as F
 
@@ -62,6 +79,11 @@ def test_stale(spark):
     df = spark.createDataFrame(rows, "r string, e string, s bigint, es bigint, c int, want boolean")
     got = df.select("want", J.is_unembedded(F.col("r"), F.col("e"), F.col("s"), F.col("es"), F.lit(None).cast("int"), F.lit(4), F.col("c")).alias("got")).collect()
     assert all(r.want == r.got for r in got)
+    # (hash moved, size moved by, dims, loaded) -> stale: a wrong length counts for moved content only where vectors are loaded
+    cases = [(True, 10, 3, False, False), (True, 10, 3, True, True), (False, 0, 3, False, True), (False, 0, 0, False, False), (True, 500, 4, True, True)]
+    for moved, by, dims, loaded, want in cases:
+        stale = J.is_unembedded(F.lit("new" if moved else "old"), F.lit("old"), F.lit(500 + by), F.lit(500), F.lit(dims), F.lit(4), F.lit(200), loaded)
+        assert spark.range(1).select(stale).first()[0] is want, (moved, by, dims, loaded)
 
 
 def test_blobs(spark):
