@@ -1,22 +1,25 @@
 """Language-model scoring with a probabilistic suffix tree over characters (UTF-8 bytes).
 
 The text of a document is its lower-cased words with one space between them and an end symbol. A context of up to
-``DEPTH`` symbols is a candidate if at least ``MIN_SHARE`` of all training positions have it, so there are at
-most ``DEPTH / MIN_SHARE`` of them whatever the corpus. It is retained if its next-symbol distribution diverges from the one
-of its longest proper suffix (relative entropy weighted by its share); suffixes and prefixes of what is retained are kept
-too, so that the longest retained suffix of a text's past is the state of an automaton. Distributions are smoothed by
-those of the suffix, down to 256 equally likely bytes.
+``DEPTH`` symbols is a candidate if it occurs ``MIN_COUNT`` times in training, an absolute number, so the tree grows with the
+corpus. It is retained if its next-symbol distribution diverges from the one of its longest proper suffix by ``MIN_GAIN`` nats
+over all its occurrences; suffixes of what is retained are kept too. Distributions are smoothed by those of the suffix, down to
+256 equally likely bytes, and a symbol is scored from the longest retained suffix of its past.
+
+The contexts are a table and nothing limits them. They are applied in blocks by their last three symbols, of about
+``BLOCK_STATES`` contexts: all retained suffixes of a past are in one block (the shorter ones in each), so each position is
+scored by one block, a document's score is the sum over the blocks, and one block at a time is built and broadcast.
 
 One pass over the corpus writes, for units of ``UNIT_BYTES`` of text, word counts, counts of (DEPTH + 1)-grams, and
 the documents as numbers of the unit's distinct words. The counts are summed over all units; each unit gets back the sums
-of its own words only, so no vocabulary is broadcast or collected. The tree is: it has a size that doesn't depend on
-the corpus.
+of its own words only, so no vocabulary is broadcast or collected.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +31,12 @@ from quillmark.llm._spark import bounded_batches, crc_mod, written
 from quillmark.llm._words import SPACED, U64, Words, ragged, slices, trimmed, utf8
 
 DEPTH = 5
-MIN_SHARE = 2e-6
-MIN_GAIN = 1e-8
+MIN_COUNT = 100
+MIN_GAIN = 20.0
 STRENGTH = 2.0
 UNIT_BYTES = 8_000_000
-LANE = 256
-MAX_STATES = 100_000
+CHUNK = 1 << 16
+BLOCK_STATES = 100_000
 END = 10
 WORDS, DOCS, GRAMS = 1, 2, 3
 NULLS_LAST = (1 << 63) - 1
@@ -170,11 +173,16 @@ def _base_sums(told: DataFrame) -> DataFrame:
 
 
 class SuffixTree:
-    """The automaton of the retained contexts: next state and log10 probability by state and symbol number."""
+    """Retained contexts as a tree: the children of a context are those that reach one symbol further back.
+
+    Built from the next-symbol counts of contexts of which every suffix is given too. It scores the positions whose last three
+    symbols lie in ``ends`` (a range of three-byte numbers).
+    """
 
-    def __init__(self, depth: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, min_share: float = MIN_SHARE, min_gain: float = MIN_GAIN, strength: float = STRENGTH):
+    def __init__(self, depth: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, ends: tuple[int, int] = (0, 1 << 24), min_gain: float = MIN_GAIN, strength: float = STRENGTH):
+        self.ends = ends
         seen = np.unique(np.append(symbol, END)) if len(symbol) else np.array([END])
-        self.number = np.zeros(256, np.uint8 if len(seen) < 256 else np.int16)
+        self.number = np.zeros(256, np.int64)
         self.number[seen] = np.arange(len(seen)) + (len(seen) < 256)  # 0: any byte that training lacks
         width = len(seen) + (len(seen) < 256)
         key = (depth.astype(np.int64) << 56) | context
@@ -182,92 +190,85 @@ class SuffixTree:
             key, symbol, n = np.array([0]), np.array([END]), np.array([0])
         names, row = np.unique(key, return_inverse=True)
         counts = np.bincount(row * width + self.number[symbol], weights=n, minlength=len(names) * width).astype(np.float32).reshape(len(names), width)
-        size, length = counts.sum(1, dtype=np.float64).astype(np.float32), names >> 56
-        place = {int(k): i for i, k in enumerate(names)}
-        low = lambda k, d: int(k) & ((1 << 8 * d) - 1)
-        suffix = np.array([place[(d - 1) << 56 | low(k, d - 1)] if d else 0 for k, d in zip(names, length)])
-        prefix = np.array([place.get((int(d) - 1) << 56 | low(k, d) >> 8, -1) if d else 0 for k, d in zip(names, length)])
-        chance = np.empty_like(counts)
+        length, past = names >> 56, names & ((1 << 56) - 1)
+        under = np.maximum(length - 1, 0)
+        suffix = np.searchsorted(names, (under << 56) | (past & ((1 << 8 * under) - 1)))
+        chance, gain = np.empty_like(counts), np.zeros(len(names))
         for d in range(int(length.max()) + 1):
-            i = np.flatnonzero(length == d)
-            below = chance[suffix[i]] if d else np.full((1, width), np.float32(1 / 256))
-            pull = np.float32(strength) * (counts[i] > 0).sum(1, keepdims=True, dtype=np.float32) + np.float32(0.01)  # the more kinds of symbols follow, the more the suffix counts
-            chance[i] = (counts[i] + pull * below) / (size[i][:, None] + pull)
-        share = size / max(size[0], 1)
-        gain = np.empty(len(names))
-        for a in range(0, len(names), 4096):
-            plain = counts[a : a + 4096] / np.maximum(size[a : a + 4096], 1)[:, None]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                gain[a : a + 4096] = share[a : a + 4096] * np.where(plain > 0, plain * np.log(plain / chance[suffix[a : a + 4096]]), 0).sum(1)
+            level = np.flatnonzero(length == d)
+            for i in np.array_split(level, len(level) // 4096 + 1):
+                size = counts[i].sum(1, dtype=np.float64).astype(np.float32)[:, None]
+                below = chance[suffix[i]] if d else np.full((1, width), np.float32(1 / 256))
+                pull = np.float32(strength) * (counts[i] > 0).sum(1, keepdims=True, dtype=np.float32) + np.float32(0.01)  # the more kinds of symbols follow, the more the suffix counts
+                chance[i] = (counts[i] + pull * below) / (size + pull)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    gain[i] = np.where(counts[i] > 0, counts[i] * np.log(counts[i] / (size * below)), 0).sum(1)
         del counts
-        keep = (gain >= min_gain) & (share >= min_share) & (prefix >= 0)
+        keep = gain >= min_gain
         keep[0] = True
         for d in range(int(length.max()), 0, -1):
-            i = np.flatnonzero(keep & (length == d))
-            keep[suffix[i]] = True
-            keep[prefix[i]] = True
-        while True:  # a prefix's suffix, and so on
-            more = keep.copy()
-            i = np.flatnonzero(keep)
-            more[suffix[i]] = True
-            more[prefix[i][prefix[i] >= 0]] = True
-            if (more == keep).all():
-                break
-            keep = more
-        old = np.flatnonzero(keep)
-        new = np.full(len(names), -1)
-        new[old] = np.arange(len(old))
-        length, suffix, prefix = length[old], new[suffix[old]], new[prefix[old]]
-        last = self.number[(names[old] & 255).astype(np.int64)].astype(np.int64)
-        step = np.zeros((len(old), width), np.int32)
-        for d in range(int(length.max()) + 1):
-            i = np.flatnonzero(length == d)
-            if d:
-                step[i] = step[suffix[i]]
-            j = np.flatnonzero(length == d + 1)
-            step[prefix[j], last[j]] = j
-        self.step, self.logs = step, np.log10(chance[old]).astype(np.float32)
+            keep[suffix[keep & (length == d)]] = True
+        old = np.flatnonzero(keep)  # by depth
+        inner = int((length[old] < DEPTH).sum())
+        place = np.zeros(len(names), np.int64)  # leaves come after the sink, which has number ``inner``
+        place[old] = np.arange(len(old)) + (np.arange(len(old)) >= inner)
+        self.child = np.full((inner + 1, width), inner, np.int32)
+        deep = old[length[old] > 0]
+        self.child[place[suffix[deep]], self.number[past[deep] >> 8 * (length[deep] - 1)]] = place[deep]
+        self.logs = np.zeros((len(old) + 1, width), np.float32)
+        self.logs[place[old]] = np.log10(chance[old])
 
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """log10 probability of each row of ``symbols``: lanes of up to ``LANE`` symbols move through the automaton together."""
-        data = self.number[data]
-        size = np.diff(off) - DEPTH
-        lanes = -(-size // LANE)
-        row = np.repeat(np.arange(len(size)), lanes)
-        shift = ragged(np.zeros(len(lanes), np.int64), lanes) * LANE
-        start, length = off[:-1][row] + shift, np.minimum(LANE, size[row] - shift)
-        order = np.argsort(-length, kind="stable")
-        start, length, row = start[order], length[order], row[order]
-        width, step, logs = self.step.shape[1], self.step.ravel(), self.logs.ravel()
-        state, total = np.zeros(len(start), np.int64), np.zeros(len(start))
-        for t in range(DEPTH):
-            state = step[state * width + data[start + t]].astype(np.int64)
-        live = np.searchsorted(-length, -np.arange(LANE), "left")  # lanes longer than t
-        for t in range(int(length[0]) if len(length) else 0):
-            m = live[t]
-            cell = state[:m] * width + data[start[:m] + DEPTH + t]
-            total[:m] += logs[cell]
-            state[:m] = step[cell]
-        return np.bincount(row, weights=total, minlength=len(size))
-
-
-def fit(told: DataFrame, min_share: float = MIN_SHARE, min_gain: float = MIN_GAIN, max_states: int = MAX_STATES) -> SuffixTree:
-    """The tree of the gathered (DEPTH + 1)-gram counts. If candidates exceed ``max_states``, the share they need doubles."""
+        """log10 probability of the symbols of each row of ``symbols`` that this tree scores, each from its longest retained suffix."""
+        number = self.number[data]
+        width, child, logs, sink = self.child.shape[1], self.child.ravel(), self.logs.ravel(), len(self.child) - 1
+        total = np.zeros(len(off) - 1)
+        where = ragged(off[:-1] + DEPTH, np.diff(off) - DEPTH)
+        for a in range(0, len(where), CHUNK):
+            at = where[a : a + CHUNK]
+            if self.ends != (0, 1 << 24):
+                end = (data[at - 3].astype(np.int64) << 16) | (data[at - 2].astype(np.int64) << 8) | data[at - 1]
+                at = at[(end >= self.ends[0]) & (end < self.ends[1])]
+            node, best = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+            for j in range(1, DEPTH + 1):
+                node = child[node * width + number[at - j]].astype(np.int64)
+                best = np.where(node != sink, node, best)
+            total += np.bincount(np.searchsorted(off, at, "right") - 1, weights=logs[best * width + number[at]], minlength=len(total))
+        return total
+
+
+def contexts(told: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+    """(d, past, all, next) of the contexts that occur at least ``min_count`` times in training, and the empty one; ``next`` has 256 entries at most."""
     grams = told.where(F.col("kind") == GRAMS).groupBy("h").agg(F.sum("c").alias("n"))
     depths = F.explode(F.transform(F.sequence(F.lit(0), F.lit(DEPTH)), lambda d: F.struct(d.alias("d"), F.expr("(h div 256)").alias("past"))))
     flat = grams.select("n", (F.col("h") % 256).alias("x"), depths.alias("g"))
     flat = flat.select("n", "x", F.col("g.d").alias("d"), F.expr("g.past & (shiftleft(1L, 8 * g.d) - 1)").alias("past"))
     rows = flat.groupBy("d", "past", "x").agg(F.sum("n").alias("n"))
-    groups = rows.groupBy("d", "past").agg(F.sum("n").alias("all"), F.collect_list(F.struct("x", "n")).alias("next"))  # 256 at most
-    total = told.where(F.col("kind") == GRAMS).agg(F.sum("c")).first()[0] or 0
-    groups = written(groups.where(F.col("all") >= max(1.0, min_share * total)), "contexts")
-    while (groups.where(F.col("all") >= max(1.0, min_share * total))).count() > max_states:
-        min_share *= 2
-    got = groups.where(F.col("all") >= max(1.0, min_share * total)).select("d", "past", F.explode("next").alias("g")).select("d", "past", "g.x", "g.n").toArrow()
-    return SuffixTree(*(got.column(i).to_numpy() for i in range(4)), min_share=min_share, min_gain=min_gain)
+    groups = rows.groupBy("d", "past").agg(F.sum("n").alias("all"), F.collect_list(F.struct("x", "n")).alias("next"))
+    return groups.where((F.col("all") >= min_count) | (F.col("d") == 0))
 
 
-def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def block_ends(groups: DataFrame, block_states: int = BLOCK_STATES) -> list[tuple[int, int]]:
+    """Ranges of the last three symbols with about ``block_states`` contexts each, which cover everything.
+
+    Contexts of three symbols and more that end alike are 1 + 256 + 65,536 at most, which bounds how far a block goes beyond.
+    """
+    sizes = groups.where("d >= 3").groupBy(F.expr("past & 16777215").alias("e")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("e").rowsBetween(Window.unboundedPreceding, -1))  # rows: one of each three bytes that occur
+    starts = sizes.select("e", (F.coalesce(before, F.lit(0)) / block_states).cast("int").alias("block")).groupBy("block").agg(F.min("e").alias("e")).orderBy("e").collect()
+    edges = [0] + [r.e for r in starts[1:]] + [1 << 24]
+    return list(zip(edges[:-1], edges[1:]))
+
+
+def block_tree(groups: DataFrame, ends: tuple[int, int], min_gain: float = MIN_GAIN) -> SuffixTree:
+    """The tree of one range: its contexts and all of fewer than three symbols."""
+    end = F.expr("past & 16777215")
+    mine = groups.where((F.col("d") < 3) | ((end >= ends[0]) & (end < ends[1])))
+    got = mine.select("d", "past", F.explode("next").alias("g")).select("d", "past", "g.x", "g.n").toArrow()
+    return SuffixTree(*(got.column(i).to_numpy() for i in range(4)), ends=ends, min_gain=min_gain)
+
+
+def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT, min_gain: float = MIN_GAIN, block_states: int = BLOCK_STATES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row, logarithms to base 10.
 
     Learns from rows whose crc32(id as text) mod 10 is not 0; the others are held out. Null and empty texts have one token,
@@ -284,21 +285,33 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         F.col(text_col).cast("string").alias("text"),
     )
     told = written(gather_counts(src.select("id", "key", "train", "text")), "unit-counts")
-    tree = spark.sparkContext.broadcast(fit(told))
+    groups = written(contexts(told, min_count), "contexts")
     word = told.where(F.col("kind") == WORDS).groupBy("h").agg(F.sum("c").alias("c")).where("c > 0").agg(F.count("*"), F.sum("c")).first()
     ends = told.where(F.col("kind") == DOCS).agg(F.sum("c")).first()[0] or 0
     distinct, tokens = word[0] + (ends > 0), (word[1] or 0) + ends
 
-    def score(batches):
-        for b in trimmed(batches):
-            raw, off = utf8(b.column(4))
-            for lo, hi in slices(off):
-                data, at = symbols(Words(raw, off[lo : hi + 1], SPACED, lower=True))
-                part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(4)] + [pa.array(tree.value.score(data, at))], names=["doc_id", "id", "key", "train", "score"])
+    def scores(tree):
+        def score(batches):
+            for b in trimmed(batches):
+                raw, off = utf8(b.column(4))
+                for lo, hi in slices(off):
+                    data, at = symbols(Words(raw, off[lo : hi + 1], SPACED, lower=True))
+                    part = b.slice(lo, hi - lo)
+                    yield pa.RecordBatch.from_arrays([part.column(i) for i in range(4)] + [pa.array(tree.value.score(data, at))], names=["doc_id", "id", "key", "train", "score"])
+
+        return src.mapInArrow(score, f"doc_id {kind}, id bigint, key int, train boolean, score double")
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = src.mapInArrow(score, f"doc_id {kind}, id bigint, key int, train boolean, score double")
+    *others, last = block_ends(groups, block_states)
+    parts = []
+    for i, block in enumerate(others):  # one block's tree at a time: a pass over the texts, whose sums are written
+        tree = spark.sparkContext.broadcast(block_tree(groups, block, min_gain))
+        parts.append(written(scores(tree).select("id", "key", "score").dropDuplicates(["id", "key"]), f"scores-{i}"))
+        tree.destroy()
+    scored = scores(spark.sparkContext.broadcast(block_tree(groups, last, min_gain)))
+    if parts:
+        more = reduce(DataFrame.unionByName, parts).groupBy("id", "key").agg(F.sum("score").alias("more"))
+        scored = scored.join(more, ["id", "key"]).withColumn("score", F.col("score") + F.col("more")).drop("more")
     joined = scored.join(_base_sums(told), ["id", "key"], "left")
     base = F.col("logs") + F.lit(math.log10(ends + 0.1)) - F.col("n_tokens") * F.lit(math.log10(tokens + 0.1 * (distinct + 1)))
     return joined.select(

@@ -401,35 +401,70 @@ def test_language_model(spark, docs):
     assert lm_scores(empty(docs)).count() == 0
 
 
+def tree_texts():
+    rnd = random.Random(6)
+    words = ["abra", "cadabra", "simsala", "bim", "Zeit", "für", "日本"]
+    return [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 40))) for _ in range(60)] + [None, "Q only held out %", "abra\tabra\n"]
+
+
 def test_tree_is_a_distribution():
     import numpy as np
+    import pyarrow as pa
 
     from quillmark.llm._words import SPACED, Words, utf8
     from quillmark.llm.suffix_tree_lm import DEPTH, SuffixTree, gram_codes, symbols
-    import pyarrow as pa
 
-    rnd = random.Random(6)
-    texts = [" ".join(rnd.choice(["abra", "cadabra", "simsala", "bim"]) for _ in range(30)) for _ in range(40)]
-    raw, off = utf8(pa.array(texts))
-    data, at = symbols(Words(raw, off, SPACED))
+    data, at = symbols(Words(*utf8(pa.array(tree_texts())), SPACED, lower=True))
     depth, past, sym, n = [], [], [], []
     for g in gram_codes(data, at).tolist():
         for d in range(DEPTH + 1):
             depth.append(d), past.append((g >> 8) & ((1 << 8 * d) - 1)), sym.append(g & 255), n.append(1)
-    tree = SuffixTree(*map(np.array, (depth, past, sym, n)))
-    mass = (10 ** tree.logs.astype(float)).sum(1) + (10 ** tree.logs[:, 0].astype(float)) * (256 - len(set(sym)) - 1)
-    assert np.allclose(mass, 1, atol=1e-3)
-    scores = tree.score(data, at)
-    state, width = 0, tree.step.shape[1]
-    for row in range(3):  # symbol by symbol
-        total, state = 0.0, 0
-        for k in range(at[row], at[row + 1]):
-            s = int(tree.number[data[k]])
-            if k >= at[row] + DEPTH:
-                total += tree.logs[state, s]
-            state = tree.step[state, s]
-        assert abs(total - scores[row]) < 1e-3
-    assert width == tree.logs.shape[1]
+    tree = SuffixTree(*map(np.array, (depth, past, sym, n)), min_gain=2.0)
+    nodes = np.arange(len(tree.logs)) != len(tree.child) - 1  # without the sink
+    mass = (10 ** tree.logs[nodes].astype(float)).sum(1) + (10 ** tree.logs[nodes, 0].astype(float)) * (256 - len(set(sym)) - 1)
+    assert nodes.sum() > 50 and np.allclose(mass, 1, atol=1e-3)
+
+
+@pytest.mark.parametrize("block_states", [100_000, 40])  # 40: many blocks, one pass each
+def test_scores_by_longest_retained_suffix(spark, block_states):
+    """``score`` against a suffix tree of dictionaries, symbol by symbol."""
+    import math
+
+    from quillmark.llm.suffix_tree_lm import lm_scores
+
+    texts, depth, min_count, min_gain, strength = tree_texts(), 5, 3, 2.0, 2.0
+    low = str.maketrans({i: i + 32 for i in range(65, 91)})
+    fold = lambda i: zlib.crc32(str(i).encode()) % 10
+    streams = [(" ".join(WORD.findall((t or "").translate(low)))).encode() + b"\n" for t in texts]
+    counts = defaultdict(Counter)
+    for i, s in enumerate(streams):
+        if fold(i):
+            padded = b"\n" * depth + s
+            for k in range(depth, len(padded)):
+                for d in range(depth + 1):
+                    counts[padded[k - d : k]][padded[k]] += 1
+    counts = {c: n for c, n in counts.items() if sum(n.values()) >= min_count or not c}
+
+    def chance(c, x):
+        below = chance(c[1:], x) if c else 1 / 256
+        pull = strength * len(counts[c]) + 0.01
+        return (counts[c][x] + pull * below) / (sum(counts[c].values()) + pull)
+
+    kept = {b""}
+    for c, n in counts.items():
+        size = sum(n.values())
+        if c and sum(k * math.log(k / size / chance(c[1:], x)) for x, k in n.items()) >= min_gain:
+            kept |= {c[j:] for j in range(len(c))}
+    want = {}
+    for i, s in enumerate(streams):
+        padded, want[i] = b"\n" * depth + s, 0.0
+        for k in range(depth, len(padded)):
+            c = next(padded[k - d : k] for d in range(depth, -1, -1) if padded[k - d : k] in kept)
+            want[i] += math.log10(chance(c, padded[k]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in lm_scores(docs, min_count=min_count, min_gain=min_gain, block_states=block_states).collect()}
+    assert got.keys() == want.keys() and 50 < len(kept) < len(counts)
+    assert all(abs(got[i] - want[i]) < 1e-3 * max(1, abs(want[i]) / 100) for i in want)
 
 
 def test_secrets(spark, docs):
