@@ -89,8 +89,16 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")), end_id=2)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quillmark.llm.token_alignment import align_tokens
+
+    return align_tokens(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")), str(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_byte_level_bpe, op3_ogg_media, op4_near_dedup, op5_line_dedup, op6_toxicity, op7_benchmark_decontamination, op8_suffix_tree_lm, op9_secret_scan, op10_html_extraction, op11_token_files)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_byte_level_bpe, op3_ogg_media, op4_near_dedup, op5_line_dedup, op6_toxicity, op7_benchmark_decontamination, op8_suffix_tree_lm, op9_secret_scan, op10_html_extraction, op11_token_files, op12_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
