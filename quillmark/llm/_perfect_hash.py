@@ -67,5 +67,41 @@ class PerfectHash:
         return PerfectHash(np.frombuffer(bits, U64), np.frombuffer(lengths, np.int64), np.frombuffer(keys, np.int64))
 
 
-def _place(keys: np.ndarray, level: int, n: int) -> np.ndarray:
-    return (mix(keys ^ U64((level + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) % U64(n)).astype(np.int64)
+class ManyHashes:
+    """Several perfect hashes side by side, asked at once: slots count on from one hash to the next."""
+
+    def __init__(self, dumps: list[tuple[bytes, bytes, bytes]]):
+        each = [PerfectHash.load(*d) for d in dumps]
+        self.levels = max([len(h.lengths) for h in each], default=0)
+        size = np.array([len(h.bits) for h in each], np.int64)
+        first = 64 * (np.cumsum(size) - size)
+        self.length = np.zeros((self.levels, len(each)), np.int64)
+        self.start = np.zeros((self.levels, len(each)), np.int64)
+        for k, h in enumerate(each):
+            self.length[: len(h.lengths), k], self.start[: len(h.lengths), k] = h.lengths, h.start + first[k]
+        self.bits = np.concatenate([h.bits for h in each]) if each else np.zeros(0, U64)
+        self.keys = np.concatenate([h.keys for h in each]) if each else np.zeros(0, np.int64)
+        ones = np.bitwise_count(self.bits).astype(np.int64)
+        self.before = np.cumsum(ones) - ones
+
+    def slots(self, keys: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """The slot of each key in the hash ``which``; -1 for keys that it doesn't have."""
+        out, todo = np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        for level in range(self.levels):
+            n = self.length[level, which[todo]]
+            todo, n = todo[n > 0], n[n > 0]
+            if not len(todo):
+                break
+            at = self.start[level, which[todo]] + _place(keys[todo].astype(U64), level, n.astype(U64))
+            word, bit = at >> 6, (at & 63).astype(U64)
+            field = self.bits[word]
+            found = (field >> bit & U64(1)).astype(bool)
+            out[todo[found]] = self.before[word[found]] + np.bitwise_count(field[found] & (U64(1) << bit[found]) - U64(1))
+            todo = todo[~found]
+        some = np.flatnonzero(out >= 0)
+        out[some[self.keys[out[some]] != keys[some]]] = -1
+        return out
+
+
+def _place(keys: np.ndarray, level: int, n) -> np.ndarray:
+    return (mix(keys ^ U64((level + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) % np.asarray(n, U64)).astype(np.int64)

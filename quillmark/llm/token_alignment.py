@@ -13,15 +13,16 @@ and a B token are linked if their bytes overlap.
 
 A lookup needs slots and counts of all pairs in every task. They are broadcast in blocks of whole shards with at most ``block_pairs`` pairs,
 one pass over the documents for each block, whatever the number of blocks; a shard has a 256th of the at most
-1.6 billion pairs of ids, so 6.3 million at the very most. Both tokenizers end a token before a single space between words, so a chunk
-between such spaces is aligned once for each slice of 1 MB, and answers are kept for later slices.
+1.6 billion pairs of ids, so 6.3 million at the very most. Both tokenizers end a token before a single space between words and between a letter
+and a mark after it, so the pieces between such places are aligned once for each slice of 1 MB, and their ids are kept for later slices.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-from typing import NamedTuple
+import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,12 @@ import pyspark.sql.functions as F
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quillmark.llm._perfect_hash import PerfectHash
-from quillmark.llm._pieces import Chunks, Kept, distinct
+from quillmark.llm._perfect_hash import ManyHashes, PerfectHash
+from quillmark.llm._pieces import BYTE_LETTERS, Chunks, Kept, distinct, resting
 from quillmark.llm._spark import bounded_batches, written
 from quillmark.llm._vectors import FAN, tree_sum
-from quillmark.llm._words import mix, ragged, release, slices, trimmed, utf8
+from quillmark.llm._words import gather, mix, release, slices, trimmed, utf8
+from quillmark.llm.bpe import Decoder
 
 SHARDS = 256
 BLOCK_PAIRS = 4_000_000
@@ -43,69 +45,50 @@ UNIT_PAIRS = 1_000_000
 SHIFT = 20
 
 
-class Aligned(NamedTuple):
-    """A chunk of text with the space before it. ``whole``: the bytes of both sides are those of the chunk."""
-
-    whole: bool
-    n_a: int
-    n_b: int
-    n_groups: int
-    pairs: bytes  # 64-bit numbers, one for each link, in order
-    groups: str
-
-
 class Aligner:
+    """The ids of both tokenizers for pieces of text that begin with their space, and the bytes of every id."""
+
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        import sentencepiece
+        from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        byte = {c: b for b, c in byte_letters().items()}
-        self.a_bytes = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
-        self.b_bytes = [_piece_bytes(self.b, i) for i in range(self.b.get_piece_size())]
-        self.kept = Kept(self._align)
-
-    def __call__(self, chunks: list[bytes]) -> list[Aligned]:
-        return self.kept(chunks)
-
-    def _align(self, chunks: list[bytes]) -> list[Aligned]:
-        texts = [c.decode() for c in chunks]
-        left = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
-        right = self.b.encode(texts, num_threads=1)
-        return [self._links(b" " + c, a.ids, b) for c, a, b in zip(chunks, left, right)]
-
-    def _links(self, chunk: bytes, a: list[int], b: list[int]) -> Aligned:
-        left, right = [self.a_bytes[x] for x in a], [self.b_bytes[x] for x in b]
-        if b"".join(left) != chunk or b"".join(right) != chunk:
-            return Aligned(False, 0, 0, 0, b"", "")
-        i = j = from_a = from_b = 0
-        a_end, b_end, links, groups = len(left[0]), len(right[0]), [], []
-        while True:
-            links.append(a[i] << SHIFT | b[j])
-            if a_end == b_end:
-                groups.append(",".join(map(str, a[from_a : i + 1])) + "|" + ",".join(map(str, b[from_b : j + 1])))
-                i, j = i + 1, j + 1
-                from_a, from_b = i, j
-                if i == len(a):
-                    break
-                a_end, b_end = a_end + len(left[i]), b_end + len(right[j])
-            elif a_end < b_end:
-                i += 1
-                a_end += len(left[i])
+        self.model = self.a.model
+        spec = sentencepiece_model_pb2.ModelProto()
+        with open(b_path, "rb") as f:
+            spec.ParseFromString(f.read())
+        form = spec.normalizer_spec
+        # pieces may be encoded on their own if the model leaves texts as they are and knows no token across the cuts
+        self.cuts = form.add_dummy_prefix and form.escape_whitespaces and not form.remove_extra_whitespaces and not form.precompiled_charsmap
+        self.cuts = self.cuts and not any(p.type == 4 or re.search("[^▁]▁|[A-Za-z][.,;:!?)]", p.piece) for p in spec.pieces)
+        form.add_dummy_prefix = form.add_dummy_prefix and not self.cuts
+        self.b = SentencePieceProcessor(model_proto=spec.SerializeToString())
+        byte = {c: b for b, c in BYTE_LETTERS.items()}
+        self.a_table = Decoder(_by_id({i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}))
+        self.b_table = Decoder([_piece_bytes(self.b, i) for i in range(self.b.get_piece_size())])
+        self.decimals = Decoder([b"%d " % i for i in range(max(len(self.a_table.size), len(self.b_table.size)))])
+        self.ids = Kept(self._ask)
+
+    def _ask(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """For each piece its A and its B ids, 32-bit numbers as bytes."""
+        texts = [p.decode() for p in pieces]
+        right = self.b.encode(texts if self.cuts else [t[1:] for t in texts], num_threads=1)
+        left, others = [None] * len(texts), []
+        for i, p in enumerate(pieces):
+            if p[0] == 32 and p[1:].isalpha():  # a space and ASCII letters: one pre-token
+                left[i] = [t.id for t in self.model.tokenize(BYTE_LETTERS[32] + texts[i][1:])]
             else:
-                j += 1
-                b_end += len(right[j])
-        return Aligned(True, len(a), len(b), len(groups), np.array(links, np.int64).tobytes(), ";".join(groups))
+                others.append(i)
+        if others:
+            for i, e in zip(others, self.a.encode_batch([texts[i] for i in others], add_special_tokens=False)):
+                left[i] = e.ids
+        return [(array("I", a).tobytes(), array("I", b).tobytes()) for a, b in zip(left, right)]
 
 
-def byte_letters() -> dict[int, str]:
-    """The letter that byte-level vocabularies write for each byte: itself if printable, else the next one from U+0100 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+def _by_id(tokens: dict[int, bytes]) -> list[bytes]:
+    return [tokens.get(i, b"") for i in range(max(tokens) + 1)]
 
 
 def _piece_bytes(model, i: int) -> bytes:
@@ -124,34 +107,78 @@ def _aligner(a_path: str, b_path: str) -> Aligner:
 
 
 class Slice:
-    """Consecutive documents, aligned: the distinct chunks' answers, and which chunk stands where."""
+    """Consecutive documents, aligned: the distinct pieces with their tokens and links, and which piece stands where."""
 
     def __init__(self, align: Aligner, raw: np.ndarray, offsets: np.ndarray):
-        c = Chunks(raw, offsets)
+        c = Chunks(raw, offsets, align.cuts)
         some, self.piece = distinct(c)
-        self.first, self.docs = c.first, len(offsets) - 1
-        self.chunks = align([c.data[a:z].tobytes() for a, z in zip(c.starts[some], c.ends[some])])
-        self.row = c.rows()
-        whole = np.array([x.whole for x in self.chunks], bool)
-        self.ok = np.bincount(self.row[~whole[self.piece]], minlength=self.docs) == 0 if len(self.piece) else np.ones(self.docs, bool)
-        self.pairs = np.frombuffer(b"".join([x.pairs for x in self.chunks]), np.int64)
-        self.links = np.array([len(x.pairs) // 8 for x in self.chunks], np.int64)
-
-    def of_docs(self, per_chunk: np.ndarray) -> np.ndarray:
-        """The sum over each document's chunks, 0 for documents that aren't whole."""
-        total = np.append(0, np.cumsum(per_chunk[self.piece])) if len(self.piece) else np.zeros(1, np.int64)
+        self.align, self.first, self.docs, self.row = align, c.first, len(offsets) - 1, c.rows()
+        at, size = c.starts[some], c.ends[some] - c.starts[some]
+        ids = align.ids([c.data[a:z].tobytes() for a, z in zip(at.tolist(), (at + size).tolist())])
+        whole = np.ones(len(some), bool)
+        self.n, tokens, ends = [], [], []
+        for side, known in enumerate((align.a_table, align.b_table)):
+            own = [x[side] for x in ids]
+            n = np.fromiter(map(len, own), np.int64, len(own)) // 4
+            t = np.frombuffer(b"".join(own), "<u4").astype(np.int64)
+            piece = np.repeat(np.arange(len(n)), n)
+            got = np.bincount(piece, known.size[t], len(n)).astype(np.int64)
+            whole &= got == size
+            tokens.append((t, piece))
+            self.n.append(n)
+        for (t, piece), known in zip(tokens, (align.a_table, align.b_table)):
+            keep = np.flatnonzero(whole)
+            t = t[whole[piece]]
+            if len(t):
+                same = gather(known.data, known.at[t], known.size[t]) == gather(c.data, at[keep], size[keep])
+                whole[keep] &= np.logical_and.reduceat(same, np.cumsum(size[keep]) - size[keep])
+        self.tokens = [t[whole[piece]] for t, piece in tokens]
+        self.n = [np.where(whole, n, 0) for n in self.n]
+        size = np.where(whole, size, 0)
+        # a document is blank if its only piece is the space before it, and whole if all its pieces are
+        blank = (np.diff(self.first) == 1) & (c.ends[self.first[:-1]] - c.starts[self.first[:-1]] == 1) & (np.diff(offsets) == 0)
+        self.ok = (np.bincount(self.row[~whole[self.piece]], minlength=self.docs) == 0) & ~blank
+        ends = [np.cumsum(known.size[t]) for known, t in zip((align.a_table, align.b_table), self.tokens)]
+        cut = np.sort(np.concatenate(ends), kind="stable")
+        cut = cut[np.append(True, cut[1:] != cut[:-1])[: len(cut)]]  # a link for each stretch between two cuts
+        a, b = (np.searchsorted(e, cut) for e in ends)
+        both = (ends[0][a] == cut) & (ends[1][b] == cut)
+        self.pairs = self.tokens[0][a] << SHIFT | self.tokens[1][b]
+        last = np.searchsorted(cut, np.cumsum(size), "right")
+        self.links = np.diff(np.append(0, last))
+        self.groups = np.diff(np.append(0, np.append(0, np.cumsum(both))[last]))
+        self.group_of = [np.searchsorted(cut[both], e) for e in ends]
+
+    def of_docs(self, per_piece: np.ndarray) -> np.ndarray:
+        """The sum over each document's pieces, 0 for documents that aren't whole."""
+        total = np.append(0, np.cumsum(per_piece[self.piece]))
         return np.where(self.ok, total[self.first[1:]] - total[self.first[:-1]], 0)
 
-    def of_chunks(self, per_link: np.ndarray) -> np.ndarray:
+    def of_pieces(self, per_link: np.ndarray) -> np.ndarray:
         total = np.append(0, np.cumsum(per_link))
         end = np.cumsum(self.links)
         return total[end] - total[end - self.links]
 
     def counted(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct pairs of the whole documents, and how many links hold each."""
-        times = np.bincount(self.piece[self.ok[self.row]], minlength=len(self.chunks))
-        used = np.repeat(times, self.links)
-        return _summed(self.pairs[used > 0], used[used > 0])
+        times = np.repeat(np.bincount(self.piece[self.ok[self.row]], minlength=len(self.links)), self.links)
+        return _summed(self.pairs[times > 0], times[times > 0])
+
+    def digests(self) -> list[str]:
+        """SHA-256 of each document's groups, '' for documents that aren't whole."""
+        group, side = np.concatenate(self.group_of), np.repeat([0, 1], [len(t) for t in self.tokens])
+        order = np.argsort(group * 2 + side, kind="stable")
+        token, key = np.concatenate(self.tokens)[order], (group * 2 + side)[order]
+        size = self.align.decimals.size[token]
+        text = gather(self.align.decimals.data, self.align.decimals.at[token], size)
+        end = np.cumsum(size)
+        ends_side = np.append(key[1:] != key[:-1], True)[: len(key)]
+        text[end - 1] = np.where(ends_side, np.where(key % 2 == 0, ord("|"), ord(";")), ord(","))
+        cut = np.append(0, end)[np.append(0, np.cumsum(self.n[0] + self.n[1]))].tolist()
+        held = text.tobytes()
+        told = [held[a:z] for a, z in zip(cut, cut[1:])]
+        piece, first = self.piece.tolist(), self.first.tolist()
+        return [hashlib.sha256(b"".join([told[k] for k in piece[a:z]])[:-1]).hexdigest() if ok else "" for a, z, ok in zip(first, first[1:], self.ok.tolist())]
 
 
 def _summed(pairs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,11 +196,12 @@ def _shard(pairs: np.ndarray) -> np.ndarray:
 
 def _aligned_slices(batches, column: int, a_path: str, b_path: str):
     """(batch, first row, rows after the last, aligned slice)"""
-    align = _aligner(a_path, b_path)
-    for b in trimmed(batches):
-        raw, off = utf8(b.column(column))
-        for lo, hi in slices(off):
-            yield b, lo, hi, Slice(align, raw, off[lo : hi + 1])
+    with resting():
+        align = _aligner(a_path, b_path)
+        for b in trimmed(batches):
+            raw, off = utf8(b.column(column))
+            for lo, hi in slices(off):
+                yield b, lo, hi, Slice(align, raw, off[lo : hi + 1])
 
 
 def _pair_rows(texts: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -241,8 +269,8 @@ def pair_tables(docs: DataFrame, a_path: str, b_path: str, *, text_col: str = "t
     def count(mine: pa.Table, seen: pa.Table) -> pa.Table:
         known = PerfectHash.load(*(mine.column(c)[0].as_py() for c in ("bits", "lengths", "pairs")))
         total = np.zeros(len(known.keys), np.int64)
-        for pairs, counts in zip(_int64(seen.column("pairs")), _int64(seen.column("counts"))):
-            np.add.at(total, known.slots(pairs), counts)
+        pairs, counts = (np.concatenate(_int64(seen.column(c))) for c in ("pairs", "counts"))
+        np.add.at(total, known.slots(pairs), counts)
         return pa.table({"slot": mine.column("shard")[:1], "lane": mine.column("lane")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     wide = F.floor(F.col("lane") / FAN).alias("lane")
@@ -317,23 +345,23 @@ def align_tokens(docs: DataFrame, a_path: str, b_path: str, *, id_col: str = "do
         held = spark.sparkContext.broadcast({r["shard"]: (r["bits"], r["lengths"], r["pairs"], r["counts"]) for r in rows})
 
         def run(batches):
-            known = {s: (PerfectHash.load(*x[:3]), np.frombuffer(x[3], np.int64)) for s, x in held.value.items()}
+            shards = sorted(held.value)
+            known = ManyHashes([held.value[s][:3] for s in shards])
+            counts = np.concatenate([np.frombuffer(held.value[s][3], np.int64) for s in shards]) if shards else np.zeros(0, np.int64)
+            which = np.full(SHARDS, -1)
+            which[shards] = np.arange(len(shards))
             for b, lo, hi, part in _aligned_slices(batches, 2, a_path, b_path):
                 pairs, place = np.unique(part.pairs, return_inverse=True)
-                shard, n = _shard(pairs), np.zeros(len(pairs), np.int64)
-                for s in np.unique(shard).tolist():
-                    if s in known:
-                        at = np.flatnonzero(shard == s)
-                        slot = known[s][0].slots(pairs[at])
-                        n[at] = np.where(slot >= 0, known[s][1][np.maximum(slot, 0)], 0)
+                at, n = which[_shard(pairs)], np.zeros(len(pairs), np.int64)
+                mine = np.flatnonzero(at >= 0)
+                slot = known.slots(pairs[mine], at[mine])
+                n[mine[slot >= 0]] = counts[slot[slot >= 0]]
                 n = n[place]
                 top = (n > 0) & (n == best.value[part.pairs & (1 << SHIFT) - 1])
-                sums = [part.of_docs(part.of_chunks(top.astype(np.int64))), part.of_docs(part.of_chunks(n))]
+                sums = [part.of_docs(part.of_pieces(top.astype(np.int64))), part.of_docs(part.of_pieces(n))]
                 if whole:
-                    told = [part.of_docs(np.array([x[k] for x in part.chunks], np.int64)) for k in (1, 2, 3)] + [part.of_docs(part.links)]
-                    texts = [x.groups for x in part.chunks]
-                    cut = part.first.tolist()
-                    digest = [hashlib.sha256(";".join([texts[k] for k in part.piece[a:z].tolist()]).encode()).hexdigest() if ok and z > a else "" for a, z, ok in zip(cut, cut[1:], part.ok.tolist())]
+                    told = [part.of_docs(x) for x in (*part.n, part.groups, part.links)]
+                    digest = part.digests()
                 else:
                     told, digest = [np.zeros(hi - lo, np.int64)] * 4, [""] * (hi - lo)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), *(pa.array(x, pa.int64()) for x in told + sums), pa.array(digest, pa.string())], names=names)

@@ -20,9 +20,11 @@ A task that is run twice writes two files; only the one whose index rows Spark c
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,10 @@ import pyspark.sql.functions as F
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm._pieces import Kept, distinct
+from quillmark.llm._pieces import BYTE_LETTERS, Kept, Marked, distinct, resting
 from quillmark.llm._spark import bounded_batches, shared_dir
 from quillmark.llm._vectors import tree_sum
-from quillmark.llm._words import SPACED, Words, ragged, release, slices, trimmed, utf8
+from quillmark.llm._words import ragged, release, slices, trimmed, utf8
 
 MAGIC = b"QIDS"
 HEAD = "<4sIQQQQ"
@@ -83,62 +85,84 @@ def unpack(control: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return out
 
 
-_TOKENIZERS: dict[str, tuple] = {}
-
-
-def _tokenizer(path: str) -> tuple:
-    """(the ids of distinct words, vocabulary size), once for this Python worker."""
-    if path not in _TOKENIZERS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        known = Tokenizer.from_file(path)
-
-        def ask(words: list[bytes]) -> list[np.ndarray]:
-            return [np.array(e.ids, np.uint32) for e in known.encode_batch([w.decode() for w in words], add_special_tokens=False)]
-
-        _TOKENIZERS[path] = WordIds(ask), known.get_vocab_size(with_added_tokens=True)
-    return _TOKENIZERS[path]
+#: Letters that are one character in every form and have one lower case: ASCII and Latin ones below U+0250 but for U+0130.
+_LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?)]*)")
 
 
 class WordIds(Kept):
-    """Ids of words; an answer without ids is kept as well."""
-
-    def __call__(self, pieces: list[bytes]) -> list:
-        return [x[0] for x in super().__call__(pieces)]
+    """The ids of words between white space (32-bit numbers as bytes), as the tokenizers library has them.
 
-    def __init__(self, ask):
-        super().__init__(lambda words: [(x,) for x in ask(words)])
+    Words of Latin letters go straight to the library's model, in the letters of byte-level vocabularies; the marks after them and all other words take the
+    library's whole way.
+    """
 
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
 
-def encode_words(docs: DataFrame, path: str, *, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id bigint, n bigint, ids binary: 32-bit little-endian numbers) of each row, as the tokenizers library encodes the whole text
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        self.size = self.whole.get_vocab_size(with_added_tokens=True)
+        super().__init__(self._ask, 200_000)
+
+    def _ask(self, words: list[bytes]) -> list[bytes]:
+        out, others = [b""] * len(words), []
+        for i, word in enumerate(words):
+            latin = _LATIN.fullmatch(word.decode())
+            if latin is None or (latin[2] and len(latin[2]) == len(word)):
+                others.append(i)
+                continue
+            letters = latin[1].lower()
+            if not letters.isascii():
+                letters = "".join([BYTE_LETTERS[b] for b in letters.encode()])
+            ids = [t.id for t in self.model.tokenize(letters)]
+            out[i] = array("I", ids).tobytes()
+            if latin[2]:
+                out[i] += self([latin[2].encode()])[0]
+        if others:
+            for i, e in zip(others, self.whole.encode_batch([words[i].decode() for i in others], add_special_tokens=False)):
+                out[i] = array("I", e.ids).tobytes()
+        return out
+
+
+_WORD_IDS: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    if path not in _WORD_IDS:  # once for this Python worker
+        _WORD_IDS[path] = WordIds(path)
+    return _WORD_IDS[path]
+
+
+def encode_words(docs: DataFrame, path: str, *, end_id: int | None = None, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id bigint, n bigint, ids binary: little-endian numbers of ``width`` bytes) of each row, as the tokenizers library encodes the whole text
     without adding special tokens, and ``end_id`` after it.
 
     The tokenizer has to treat words between ASCII white space one by one (a splitting pattern that drops white space, as
-    ``word_bpe_49k.json`` has): each distinct word is encoded once. Null and empty texts have only the end id;
+    ``word_bpe_49k.json`` has, after lowering letters): each distinct word is encoded once. Null and empty texts have only the end id;
     repeated rows repeat, other columns are ignored, an empty table gives no rows. A doc_id that is no integer is refused.
     """
     _integer(docs, id_col)
     bounded_batches(docs)
 
     def run(batches):
-        words_ids, _ = _tokenizer(path)
-        end = np.array([end_id] if end_id is not None else [], np.uint32)
-        for b in trimmed(batches):
-            raw, off = utf8(b.column(1))
-            for lo, hi in slices(off):
-                w = Words(raw, off[lo : hi + 1], SPACED)
-                some, piece = distinct(w)
-                lists = words_ids([w.data[a:z].tobytes() for a, z in zip(w.starts[some], w.ends[some])]) + [end]
-                count = np.array([len(x) for x in lists])
-                at, flat = np.cumsum(count) - count, np.concatenate(lists)
-                seen = np.insert(piece, w.first[1:], len(some))  # the end id as a last word
-                ids = flat[ragged(at[seen], count[seen])].astype("<u4")
-                upto = np.cumsum(np.append(0, count[seen]))[np.append(0, w.first[1:] + np.arange(1, hi - lo + 1))]
-                buffer = pa.py_buffer(ids.tobytes())
-                out = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer((4 * upto).astype(np.int64)), buffer]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(upto)), out], names=["doc_id", "n", "ids"])
+        ids_of = word_ids(path)
+        end = [struct.pack("<I", end_id) if end_id is not None else b""]
+        with resting():
+            for b in trimmed(batches):
+                raw, off = utf8(b.column(1))
+                for lo, hi in slices(off):
+                    w = Marked(raw, off[lo : hi + 1])
+                    some, piece = distinct(w)
+                    lists = ids_of([w.data[a:z].tobytes() for a, z in zip(w.starts[some].tolist(), w.ends[some].tolist())]) + end
+                    count = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+                    at, flat = np.cumsum(count) - count, np.frombuffer(b"".join(lists), "<u4")
+                    seen = np.insert(piece, w.first[1:], len(some))  # the end id as a last word
+                    ids = flat[ragged(at[seen], count[seen])].astype(f"<u{width}")
+                    upto = np.cumsum(np.append(0, count[seen]))[np.append(0, w.first[1:] + np.arange(1, hi - lo + 1))]
+                    buffer = pa.py_buffer(ids.tobytes())
+                    out = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer((width * upto).astype(np.int64)), buffer]).cast(pa.binary())
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(np.diff(upto)), out], names=["doc_id", "n", "ids"])
 
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     return src.mapInArrow(run, "doc_id bigint, n bigint, ids binary")
@@ -149,14 +173,14 @@ def _integer(df: DataFrame, name: str) -> None:
         raise ValueError(f"{name} must be an integer column")
 
 
-def id_counts(encoded: DataFrame, vocab_size: int, lanes: int) -> np.ndarray:
+def id_counts(encoded: DataFrame, vocab_size: int, width: int, lanes: int) -> np.ndarray:
     """How often each id of the vocabulary occurs: a dense vector in each task, summed in a tree, so its size is the vocabulary's."""
 
     def count(batches):
         total = np.zeros(vocab_size, np.int64)
         for b in batches:
             raw, off = utf8(b.column(0))
-            total += np.bincount(raw[off[0] : off[-1]].view("<u4"), minlength=vocab_size)
+            total += np.bincount(raw[off[0] : off[-1]].view(f"<u{width}"), minlength=vocab_size)
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["slot", "lane", "counts"])
 
     rows = tree_sum(encoded.select("ids").mapInArrow(count, "slot int, lane bigint, counts binary"), lanes).collect()
@@ -172,11 +196,12 @@ def write_token_files(docs: DataFrame, path: str, out: str, *, end_id: int | Non
     """
     spark = docs.sparkSession
     out = qualified(spark, out)
-    _, size = _tokenizer(path)
+    size = word_ids(path).size
     kept = shared_dir(spark, "token-ids")
-    encode_words(docs, path, end_id=end_id, id_col=id_col, text_col=text_col).write.option("compression", "zstd").parquet(kept)
+    width = 2 if size <= 1 << 16 else 4
+    encode_words(docs, path, end_id=end_id, width=width, id_col=id_col, text_col=text_col).write.option("compression", "zstd").parquet(kept)
     encoded = spark.read.parquet(kept)
-    counts = id_counts(encoded, size, encoded.rdd.getNumPartitions())
+    counts = id_counts(encoded, size, width, encoded.rdd.getNumPartitions())
     order = np.lexsort((np.arange(size), -counts))
     rank_of = np.empty(size, np.uint32)
     rank_of[order] = np.arange(size, dtype=np.uint32)
@@ -186,8 +211,8 @@ def write_token_files(docs: DataFrame, path: str, out: str, *, end_id: int | Non
     def block(part: int, stream, name: str, place: int, before: int, ids: list[pa.Array], lists: list[pa.Array]):
         doc = pa.concat_arrays(ids)
         raw, off = utf8(pa.concat_arrays(lists))
-        sizes = np.diff(off) // 4
-        control, data = pack(ranks.value[raw[off[0] : off[-1]].view("<u4")], sizes)
+        sizes = np.diff(off) // width
+        control, data = pack(ranks.value[raw[off[0] : off[-1]].view(f"<u{width}")], sizes)
         body = b"".join((doc.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), doc.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(), sizes.astype("<i8").tobytes(), control.tobytes(), data.tobytes()))
         stream.write(struct.pack(HEAD, MAGIC, zlib.crc32(body), len(doc), int(sizes.sum()), len(control), len(data)))
         stream.write(body)
