@@ -97,12 +97,18 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")), str(public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm.periodic_runs import periodic_runs
+
+    return periodic_runs(table(spark, sf_dir, "documents"), rule=True).drop("runs", "n_words")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_byte_level_bpe, op3_ogg_media, op4_near_dedup, op5_line_dedup, op6_toxicity, op7_benchmark_decontamination, op8_suffix_tree_lm, op9_secret_scan, op10_html_extraction, op11_token_files, op12_token_alignment)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_byte_level_bpe, op3_ogg_media, op4_near_dedup, op5_line_dedup, op6_toxicity, op7_benchmark_decontamination, op8_suffix_tree_lm, op9_secret_scan, op10_html_extraction, op11_token_files, op12_token_alignment, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op5_line_dedup": OP5_SQL, "op7_benchmark_decontamination": OP7_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op5_line_dedup": OP5_SQL, "op7_benchmark_decontamination": OP7_SQL, "op13_periodic_runs": OP13_SQL}
 
 
 OP7_SQL = r"""
@@ -161,3 +167,26 @@ kept AS (
 )
 SELECT doc_id, CAST(n AS BIGINT) AS n_lines, CAST(n - len(keep) AS BIGINT) AS n_removed, sha256(array_to_string(list_transform(keep, lambda k: p[k]), chr(10))) AS kept_sha256 FROM kept
 """
+
+#: crc32 of the id as decimal text: every byte is mixed in by eight steps of one bit.
+_CRC_SQL = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii((doc_id::VARCHAR)[i])::BIGINT)),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"""
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS o, len(o) AS n, """ + _CRC_SQL + r""" AS h FROM documents
+), x AS (
+  SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: CASE WHEN i < a THEN o[i + 1] ELSE o[a + (i - a) % p + 1] END) ELSE o END AS w
+  FROM (SELECT *, (h // 10) % greatest(n, 1) AS a, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM d)
+), gram AS (SELECT doc_id, n, i, array_to_string(w[i + 1 : i + 5], ' ') AS s FROM x, unnest(range(0, n - 4)) AS u(i)),
+pair AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM gram a JOIN gram b ON a.doc_id = b.doc_id AND a.s = b.s AND b.i > a.i AND b.i - a.i <= a.n / 4),
+stretch AS (SELECT doc_id, q, min(i) AS s, count(*) + 4 AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pair) GROUP BY doc_id, q, k),
+run AS (SELECT doc_id, s, l + q AS len, min(q) AS q FROM stretch WHERE l >= 3 * q GROUP BY doc_id, s, l + q),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY len / q DESC, s, q) = 1),
+told AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM run GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, i FROM run, unnest(range(s + q, s + len)) AS u(i)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM (SELECT doc_id, i, w[i + 1] AS word FROM x, unnest(range(0, n)) AS u(i)) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT x.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(s AS BIGINT) AS start, CAST(len AS BIGINT) AS length, CAST(q AS BIGINT) AS period, CAST(1000 * len // q AS BIGINT) AS exponent_milli,
+       sha256(coalesce(told.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM x LEFT JOIN best USING (doc_id) LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
