@@ -138,8 +138,8 @@ def outlinks(notes: DataFrame) -> DataFrame:
     return notes.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"\[\[([^\]|#]+)"), F.lit(1))).alias("target")).where(~F.startswith("target", F.lit("http")))
 
 
-def embedded_queries(notes: DataFrame, fence: str = "smart-connections", limit: int = 5) -> DataFrame:
-    """(path, n, settings, row_limit) of fenced query blocks in notes; settings are 'key: value' lines."""
+def embedded_queries(notes: DataFrame, fence: str, limit: int = 5) -> DataFrame:
+    """(path, n, settings, row_limit) of query blocks in notes, fenced under the name ``fence``; settings are 'key: value' lines."""
     found = notes.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(rf"(?s)```{fence}[^\n]*\n(.*?)```"), F.lit(1))).alias("n", "body"))
     lines = F.filter(F.split("body", "\n"), lambda x: F.contains(x, F.lit(":")))
     pair = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.substr(x, F.instr(x, F.lit(":")) + 1)).alias("v")))

@@ -1,8 +1,8 @@
 """Nearest neighbours and note-level ranking.
 
 Scores are cosines in double precision over float32 values, ranked by the score rounded to ``DIGITS`` digits and then by key. A few query
-vectors are broadcast, with their norms, and scored in the JVM. The all-pairs form tiles both sides and multiplies
-tiles in numpy, keeping k rows of each tile, so that no task holds more than two tiles.
+vectors are broadcast, with their norms, and scored in the JVM. Tables of queries go through ``neighbours``, which forms only the tiles of
+pairs that can matter.
 """
 
 from __future__ import annotations
@@ -10,16 +10,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pyspark.sql.functions as F
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 
 from quillmark.functions.vectors import SMALL, dot, l2_norm
+from quillmark.operators.jobs import Embedder, embed
+from quillmark.operators.neighbours import nearest_many
 
 DIGITS = 6
 OVERFETCH_NOTES, OVERFETCH_CONNECTIONS = 4, 3
 NEAREST_LIMIT = 50
-TILE_ROWS = 8192
+SUM_LANES = 64
 
 
 def key_filters(candidates: DataFrame, *, include: DataFrame | None = None, exclude: DataFrame | None = None, starts_with: str | None = None, not_starts_with: str | None = None) -> DataFrame:
@@ -99,10 +102,36 @@ def search_notes(candidates: DataFrame, vector: list[float], limit: int) -> Data
 
 
 def average_vectors(blocks: DataFrame, by: str = "source_path") -> DataFrame:
-    """(by, vec): the element-wise mean, cast to float32. Sums run over positions, so that no group is collected."""
-    rows = blocks.where(F.size("vec") > 0).select(by, F.posexplode("vec").alias("i", "x"))
-    mean = rows.groupBy(by, "i").agg((F.sum(F.col("x").cast("double")) / F.count("*")).cast("float").alias("x"))
-    return mean.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vec"))
+    """(by, vec): the element-wise mean, cast to float32; vectors of a group are of one length.
+
+    Vectors of a group that meet in a batch are added there, so a row for each group and batch is shuffled; those of ``SUM_LANES`` shares of the tasks
+    are added first, then the shares.
+    """
+    kind = blocks.schema[by].dataType.simpleString()
+
+    def add(batches):
+        lane = TaskContext.get().partitionId() % SUM_LANES
+        for b in batches:
+            groups, at = np.unique(np.array(b.column(0).dictionary_encode().indices), return_inverse=True)
+            values = b.column(1)
+            sizes = np.diff(values.offsets.to_numpy()) if len(values) else np.zeros(0, int)
+            for width in np.unique(sizes):
+                rows = np.flatnonzero(sizes == width)
+                flat = values.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), width).astype(np.float64)
+                own, place = np.unique(at[rows], return_inverse=True)
+                sums = np.zeros((len(own), width))
+                np.add.at(sums, place, flat)
+                first = np.full(len(groups), -1)
+                first[at[rows[::-1]]] = rows[::-1]
+                cut = pa.array(np.arange(len(own) + 1) * width, pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(first[own])), pa.ListArray.from_arrays(cut, pa.array(sums.ravel())), pa.array(np.bincount(place), pa.int64()), pa.array([lane] * len(own), pa.int32())], names=["by", "sums", "n", "lane"])
+
+    rows = blocks.where((F.size("vec") > 0) & F.col(by).isNotNull()).select(F.col(by).alias("by"), F.col("vec").cast("array<double>").alias("vec"))
+    parts = rows.mapInArrow(add, f"by {kind}, sums array<double>, n bigint, lane int")
+    total = F.aggregate(F.collect_list("sums"), F.array().cast("array<double>"), lambda a, x: F.when(F.size(a) == 0, x).otherwise(F.zip_with(a, x, lambda i, j: i + j)))
+    for keys in (("by", "lane"), ("by",)):
+        parts = parts.groupBy(*keys).agg(total.alias("sums"), F.sum("n").alias("n"))
+    return parts.select(F.col("by").alias(by), F.transform("sums", lambda x: (x / F.col("n")).cast("float")).alias("vec"))
 
 
 def connections(candidates: DataFrame, source: str, limit: int) -> DataFrame:
@@ -115,51 +144,6 @@ def connections(candidates: DataFrame, source: str, limit: int) -> DataFrame:
     return best_per_source(hits).orderBy(F.desc("score"), "entity_key").limit(limit)
 
 
-def nearest_many(queries: DataFrame, candidates: DataFrame, k: int, *, own: str | None = None, tiles: int | None = None, min_score: float | None = None) -> DataFrame:
-    """(query_id, entity_key, source_path, score): the k best of all candidates for every (query_id, vec).
-
-    With ``own``, a query column, candidates whose source_path equals it are left out inside the tiles. Each pair of tiles is
-    one group, so a task holds two tiles; each gives at most k rows for each query, of which the k best stay. Unless ``tiles`` says
-    how many, both sides are counted and cut into tiles of about ``TILE_ROWS``, so that tiles don't grow with the tables.
-    """
-    least = max(2, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
-    nq, nc = (tiles or max(least, -(-side.count() // TILE_ROWS)) for side in (queries, candidates))
-    own_name = F.col(own) if own else F.lit(None).cast("string")
-    left = queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("vec").alias("query_vec"), own_name.alias("own")).withColumn("qt", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int"))
-    right = candidates.select("entity_key", "source_path", "vec").withColumn("ct", F.pmod(F.xxhash64("entity_key"), F.lit(nc)).cast("int"))
-    left = left.withColumn("ct", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
-    right = right.withColumn("qt", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-
-    def tile(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series([], dtype=object), "entity_key": pd.Series([], dtype=object), "source_path": pd.Series([], dtype=object), "score": pd.Series([], dtype=float)})
-        if not len(q) or not len(c):
-            return empty
-        c = c.sort_values("entity_key", kind="stable").reset_index(drop=True)
-        width = len(q["query_vec"].iloc[0])
-        q, c = (x[np.array([len(v) == width for v in x[name]], bool)].reset_index(drop=True) for x, name in ((q, "query_vec"), (c, "vec")))
-        a, b = (np.stack(x[name].to_numpy()).astype(np.float64) if len(x) else np.zeros((0, width)) for x, name in ((q, "query_vec"), (c, "vec")))
-        na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
-        out = []
-        for i in range(0, len(q), 512):
-            s = np.round((a[i : i + 512] @ b.T) / np.maximum(na[i : i + 512, None] * nb[None, :], 1e-300), DIGITS)
-            s[:, nb < SMALL] = -np.inf
-            s[na[i : i + 512] < SMALL] = -np.inf
-            if own:
-                s[q["own"].to_numpy()[i : i + 512, None] == c["source_path"].to_numpy()[None, :]] = -np.inf
-            if min_score is not None:
-                s[s < min_score] = -np.inf
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            r, t = np.nonzero(np.isfinite(np.take_along_axis(s, top, 1)))
-            at = top[r, t]
-            out.append(pd.DataFrame({"query_id": q["query_id"].to_numpy()[i + r], "entity_key": c["entity_key"].to_numpy()[at], "source_path": c["source_path"].to_numpy()[at], "score": s[r, at]}))
-        found = pd.concat(out) if out else empty
-        return found if len(found) else empty
-
-    pairs = left.groupBy("qt", "ct").cogroup(right.groupBy("qt", "ct")).applyInPandas(tile, "query_id string, entity_key string, source_path string, score double")
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "entity_key")
-    return pairs.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-
-
 def connections_all(candidates: DataFrame, limit: int) -> DataFrame:
     """``connections`` of every note at once."""
     means = average_vectors(candidates).select(F.col("source_path").alias("query_id"), F.col("source_path").alias("own"), "vec")
@@ -169,6 +153,37 @@ def connections_all(candidates: DataFrame, limit: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= limit)
 
 
+def embedded_connections(found: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(path, n, entity_key, source_path, score, rank) for every query block of ``chunk.embedded_queries``: the notes related to its own note.
+
+    Each block has its own limit, and may name a folder and a least score (``min_score``) in its settings. A note's mean vector asks all blocks of
+    other notes; notes without vectors find nothing.
+    """
+    setting = lambda name: F.try_element_at("settings", F.lit(name))
+    asked = found.select("path", "n", "row_limit", F.nullif(setting("folder"), F.lit("")).alias("folder"), setting("min_score").try_cast("double").alias("least"))
+    own = average_vectors(candidates.join(asked.select(F.col("path").alias("source_path")), "source_path", "left_semi"))
+    queries = asked.join(own.withColumnRenamed("source_path", "path"), "path").withColumn("query_id", F.concat_ws(":", F.col("n").cast("string"), "path")).withColumn("k", OVERFETCH_CONNECTIONS * F.col("row_limit"))
+    hits = best_per_source(nearest_many(queries, candidates, own="path").drop("rank"), ("query_id",))
+    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "entity_key")
+    ranked = hits.withColumn("rank", F.row_number().over(rank)).join(queries.select("query_id", "path", "n", "row_limit"), "query_id").where("rank <= row_limit")
+    return ranked.select("path", "n", "entity_key", "source_path", "score", "rank")
+
+
+def lookup_many(texts: DataFrame, found: Embedder, entities: DataFrame, limit: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(hits, failed) for many texts (query_id, text, scope): scope is all, notes or blocks.
+
+    Texts are embedded over the partitions as queries; ``entities`` has (entity_key, entity_type, source_path, vec). ``hits``: (query_id, entity_key, score, rank),
+    each key once for a text, though notes and blocks may share it; ``failed``: (query_id, error) of texts without a vector.
+    """
+    got = embed(texts.select(F.col("query_id").alias("entity_key"), "text"), found, role="query").withColumnRenamed("entity_key", "query_id")
+    kind = F.when(F.col("scope") == "notes", "source").when(F.col("scope") == "blocks", "block").alias("kind")
+    queries = got.where("status = 'ok'").select("query_id", "vec").join(texts.select("query_id", kind), "query_id")
+    hits = nearest_many(queries, entities, 2 * limit)  # a key may come twice, once as a note and once as a block
+    each = hits.groupBy("query_id", "entity_key").agg(F.max("score").alias("score"))
+    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "entity_key")
+    return each.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= limit), got.where("status <> 'ok'").select("query_id", F.coalesce("error", F.lit("no text")).alias("error"))
+
+
 def merge_results(results: list[DataFrame], limit: int) -> DataFrame:
     """The best of several result sets, each key once."""
     parts = [r.select("entity_key", "score").orderBy(F.desc("score"), "entity_key").limit(limit) for r in results]

@@ -213,8 +213,8 @@ def c10_outlinks(spark, d):
 
 @_q("SELECT CAST(doc_id AS VARCHAR) || '.md' AS path, CAST(doc_id % 9 + 1 AS INT) AS row_limit, source || ':' || lang AS folder FROM documents")
 def c11_embedded_queries(spark, d):
-    body = F.concat(F.lit("x\n```smart-connections\nlimit: "), (F.col("doc_id") % 9 + 1).cast("string"), F.lit("\nfolder: "), "source", F.lit(":"), "lang", F.lit("\n```\ny"))
-    got = C.embedded_queries(B.table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), body.alias("text")))
+    body = F.concat(F.lit("x\n```related\nlimit: "), (F.col("doc_id") % 9 + 1).cast("string"), F.lit("\nfolder: "), "source", F.lit(":"), "lang", F.lit("\n```\ny"))
+    got = C.embedded_queries(B.table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), body.alias("text")), "related")
     return got.select("path", "row_limit", F.try_element_at("settings", F.lit("folder")).alias("folder"))
 
 
@@ -652,6 +652,45 @@ def h6_connections_all(spark, d):
     return S.connections_all(B.vector_blocks(spark, d), 5).select("query_id", "entity_key", "source_path", "score", "rank")
 
 
+@_q("WITH " + _MEANS + """, asked AS (SELECT DISTINCT source_path AS path, n, CASE n WHEN 0 THEN (vec_id // 5) % 4 + 1 ELSE 5 END AS k, CASE n WHEN 0 THEN 'folder' || ((vec_id // 5) % 3) END AS folder, CASE n WHEN 1 THEN 0.1 END AS least FROM vecs, unnest([0, 1]) AS u(n)),
+s AS (SELECT a.*, c.entity_key, c.source_path, round(list_cosine_similarity(m.vec::DOUBLE[], c.vec::DOUBLE[]), 6) AS score FROM asked a JOIN means m ON m.source_path = a.path JOIN vecs c ON c.source_path <> a.path AND (folder IS NULL OR starts_with(c.source_path, folder || '/'))),
+top AS (SELECT * FROM s WHERE least IS NULL OR score >= least QUALIFY row_number() OVER (PARTITION BY path, n ORDER BY score DESC, entity_key) <= 3 * k),
+best AS (SELECT * FROM top QUALIFY row_number() OVER (PARTITION BY path, n, source_path ORDER BY score DESC, entity_key) = 1)
+SELECT path, n, entity_key, source_path, score, CAST(row_number() OVER (PARTITION BY path, n ORDER BY score DESC, entity_key) AS INT) AS rank FROM best QUALIFY rank <= k""")
+def c11_embedded_connections(spark, d):
+    v = B.vector_blocks(spark, d)
+    i = F.floor(F.col("vec_id") / 5)
+    text = F.concat(F.lit("see\n```related\nlimit: "), (i % 4 + 1).cast("string"), F.lit("\nfolder: folder"), (i % 3).cast("string"), F.lit("\n```\nand\n```related\nmin_score: 0.1\n```\n"))
+    return S.embedded_connections(C.embedded_queries(v.select(F.col("source_path").alias("path"), text.alias("text")).distinct(), "related"), v)
+
+
+_LETTERS = "etaoinshrdlu"
+
+
+def _letter_counts(letters: str = _LETTERS) -> J.Embedder:
+    """A text's vector: how often it has each letter."""
+
+    def build():
+        return lambda texts, role: [[float(t.count(c)) for c in letters] if any(c in t for c in letters) else None for t in texts]
+
+    return J.Embedder(build, len(letters))
+
+
+_LOOKUP = B.ENTITIES + ", v AS (SELECT entity_key, entity_type, e.doc_id, list_transform(['" + "','".join(_LETTERS) + """'], lambda c: CAST(length(text) - length(replace(text, c, '')) AS DOUBLE)) AS vec FROM entities e JOIN notes USING (doc_id)),
+s AS (SELECT CAST(q.doc_id AS VARCHAR) AS query_id, c.entity_key, round(list_cosine_similarity(q.vec, c.vec), 6) AS score FROM v q JOIN v c ON CASE (q.doc_id // 100) % 3 WHEN 0 THEN true WHEN 1 THEN c.entity_type = 'source' ELSE c.entity_type = 'block' END
+  WHERE q.doc_id % 100 = 0 AND list_sum(q.vec) > 0 AND list_sum(c.vec) > 0)"""
+
+
+@_q("WITH " + _LOOKUP + " SELECT query_id, entity_key, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_key) AS INT) AS rank FROM s QUALIFY rank <= 20")
+def h7_lookup_many(spark, d):
+    found = _letter_counts()
+    e = B.entities(spark, d).join(B.notes(spark, d).select("doc_id", "text"), "doc_id")
+    stored = J.embed(e, found).where("status = 'ok'").join(e.select("entity_key", "entity_type", "source_path"), "entity_key")
+    n = F.floor(F.col("doc_id") / 100) % 3
+    texts = e.where("doc_id % 100 = 0").select(F.col("doc_id").cast("string").alias("query_id"), "text", F.when(n == 0, "all").when(n == 1, "notes").otherwise("blocks").alias("scope"))
+    return S.lookup_many(texts, found, stored)[0].select("query_id", "entity_key", "score", "rank")
+
+
 @_q()
 def h7_lookup(spark, d):
     found = J.hashing_embedder(32)

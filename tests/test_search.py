@@ -27,10 +27,10 @@ def test_lookup(blocks):
 
 def test_tiles_cover_all_pairs(spark, blocks):
     queries = blocks.where("size(vec) > 0").selectExpr("entity_key as query_id", "vec")
-    want = sorted((r.query_id, r.entity_key, r.score) for r in S.nearest_many(queries, blocks, 3, tiles=1).collect())
+    want = sorted((r.query_id, r.entity_key, r.score) for r in S.nearest_many(queries, blocks, 3, pivots=1).collect())
     assert len(want) == 9
     for tiles in (None, 2, 5):
-        assert sorted((r.query_id, r.entity_key, r.score) for r in S.nearest_many(queries, blocks, 3, tiles=tiles).collect()) == want
+        assert sorted((r.query_id, r.entity_key, r.score) for r in S.nearest_many(queries, blocks, 3, pivots=tiles).collect()) == want
 
 
 def test_exact_tokens_fall_back(spark):
