@@ -29,7 +29,7 @@ def distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """(one occurrence of each distinct piece, the piece of every occurrence), both as indices."""
     if not len(words):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    _, first, piece = np.unique(words.hashes(double=True), return_index=True, return_inverse=True)
+    _, first, piece = np.unique(words.hashes(), return_index=True, return_inverse=True)
     like, size = first[piece], words.ends - words.starts
     if np.array_equal(size[like], size) and same_bytes(words.data, words.starts, words.starts[like], size).all():
         return first, piece
@@ -51,6 +51,11 @@ def resting():
             gc.enable()
 
 
+def cut_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    held = data.tobytes()
+    return [held[a:z] for a, z in zip(starts.tolist(), ends.tolist())]
+
+
 class Kept:
     """Answers by piece in two generations of at most ``limit`` pieces each; pieces of more than ``longest`` bytes aren't kept."""
 

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from quillmark.llm._perfect_hash import ManyHashes, PerfectHash
-from quillmark.llm._pieces import BYTE_LETTERS, Chunks, Kept, distinct, resting
+from quillmark.llm._pieces import BYTE_LETTERS, Chunks, Kept, cut_bytes, distinct, resting
 from quillmark.llm._spark import bounded_batches, written
 from quillmark.llm._vectors import FAN, tree_sum
 from quillmark.llm._words import gather, mix, release, slices, trimmed, utf8
@@ -114,7 +114,7 @@ class Slice:
         some, self.piece = distinct(c)
         self.align, self.first, self.docs, self.row = align, c.first, len(offsets) - 1, c.rows()
         at, size = c.starts[some], c.ends[some] - c.starts[some]
-        ids = align.ids([c.data[a:z].tobytes() for a, z in zip(at.tolist(), (at + size).tolist())])
+        ids = align.ids(cut_bytes(c.data, at, at + size))
         whole = np.ones(len(some), bool)
         self.n, tokens, ends = [], [], []
         for side, known in enumerate((align.a_table, align.b_table)):

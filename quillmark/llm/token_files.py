@@ -32,7 +32,7 @@ import pyspark.sql.functions as F
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.llm._pieces import BYTE_LETTERS, Kept, Marked, distinct, resting
+from quillmark.llm._pieces import BYTE_LETTERS, Kept, Marked, cut_bytes, distinct, resting
 from quillmark.llm._spark import bounded_batches, shared_dir
 from quillmark.llm._vectors import tree_sum
 from quillmark.llm._words import ragged, release, slices, trimmed, utf8
@@ -108,6 +108,9 @@ class WordIds(Kept):
     def _ask(self, words: list[bytes]) -> list[bytes]:
         out, others = [b""] * len(words), []
         for i, word in enumerate(words):
+            if word.isalpha():  # ASCII letters, and lower ones (``Marked``) unless asked for otherwise
+                out[i] = array("I", [t.id for t in self.model.tokenize(word.decode().lower())]).tobytes()
+                continue
             latin = _LATIN.fullmatch(word.decode())
             if latin is None or (latin[2] and len(latin[2]) == len(word)):
                 others.append(i)
@@ -154,7 +157,7 @@ def encode_words(docs: DataFrame, path: str, *, end_id: int | None = None, width
                 for lo, hi in slices(off):
                     w = Marked(raw, off[lo : hi + 1])
                     some, piece = distinct(w)
-                    lists = ids_of([w.data[a:z].tobytes() for a, z in zip(w.starts[some].tolist(), w.ends[some].tolist())]) + end
+                    lists = ids_of(cut_bytes(w.data, w.starts[some], w.ends[some])) + end
                     count = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
                     at, flat = np.cumsum(count) - count, np.frombuffer(b"".join(lists), "<u4")
                     seen = np.insert(piece, w.first[1:], len(some))  # the end id as a last word
