@@ -66,20 +66,41 @@ def recheck(queue: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame
 def token_batches(rows: DataFrame, budget: int, *, shard: str = "shard", order: str = "pos", tokens: str = "tokens") -> DataFrame:
     """Adds ``batch``: in order, a new batch starts when the running sum would pass the budget; every row counts 1 at least.
 
-    A shard is folded as one group; choose shards of a bounded number of rows.
+    Shards are sorted within the tasks (Spark spills what doesn't fit) and read as a stream, of which only the running sum of the open batch is kept, so
+    the rows of a shard are never held together. Where a batch ends is found by binary search in the sums of an Arrow batch. Ties of
+    ``order`` are ordered by the tokens.
     """
+    n = F.greatest(F.coalesce(F.col(tokens), F.lit(0)).cast("bigint"), F.lit(1).cast("bigint"))
     names = [c for c in rows.columns if c != shard]
-    items = rows.groupBy(shard).agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in names if c != order]))).alias("items"))
-    zero = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))
+    sorted_rows = rows.select(shard, *names, n.alias("_n")).repartition(shard).sortWithinPartitions(shard, order, "_n")
+    width = len(names) + 1
 
-    def step(a: Column, x: Column) -> Column:
-        n = F.greatest(F.coalesce(x[tokens], F.lit(0)).cast("bigint"), F.lit(1).cast("bigint"))
-        new = (a["sum"] > 0) & (a["sum"] + n > budget)
-        batch = a["batch"] + new.cast("int")
-        return F.struct(F.when(new, n).otherwise(a["sum"] + n).alias("sum"), batch.alias("batch"), F.concat(a["out"], F.array(batch)).alias("out"))
-
-    folded = items.withColumn("b", F.aggregate("items", zero, step)["out"])
-    return folded.select(shard, F.explode(F.arrays_zip("items", "b")).alias("z")).select(shard, "z.items.*", F.col("z.b").alias("batch"))
+    def run(batches: Iterator[pa.RecordBatch]):
+        last, held, batch = None, 0, 0
+        for b in batches:
+            keys = b.column(0).dictionary_encode()
+            code = keys.indices.fill_null(-1).to_numpy()
+            out = np.zeros(b.num_rows, np.int32)
+            upto = np.cumsum(b.column(width).to_numpy())
+            cuts = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), b.num_rows] if b.num_rows else [0]
+            for a, z in zip(cuts, cuts[1:]):
+                if last != (keys[a].as_py(),):
+                    last, held, batch = (keys[a].as_py(),), 0, 0
+                while a < z:
+                    done = int(upto[a - 1]) if a else 0
+                    end = min(z, int(np.searchsorted(upto, done + budget - held, "right")))
+                    if end <= a and not held:
+                        end = a + 1  # a row over the budget is a batch of its own
+                    if end > a:
+                        out[a:end] = batch
+                        held += int(upto[end - 1]) - done
+                        a = end
+                    if a < z:
+                        batch, held = batch + 1, 0
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(out)], names=[*b.schema.names[:width], "batch"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sorted_rows.schema.fields[:width])
+    return sorted_rows.mapInArrow(run, f"{schema}, batch int")
 
 
 def fixed_batches(rows: DataFrame, n: int = BATCH, *, shard: str = "shard", order: str = "pos") -> DataFrame:

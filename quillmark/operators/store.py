@@ -151,12 +151,25 @@ def changed_sources(stored: DataFrame, files: DataFrame) -> DataFrame:
     return joined.select("path", new.alias("read_hash"), (~new.eqNullSafe(F.col("old"))).alias("changed"))
 
 
-def cascade_excluded(rows: DataFrame, folders: list[str], column: str = "source_path") -> DataFrame:
-    """Rows whose source is outside all the folders."""
-    inside = F.lit(False)
-    for f in folders:
-        inside = inside | (F.col(column) == f) | F.startswith(F.col(column), F.lit(f + "/"))
-    return rows.where(~inside)
+def paths_inside(paths: DataFrame, folders: DataFrame, column: str = "path") -> DataFrame:
+    """The distinct paths that are one of ``folders`` (folder) or lie inside one: a path's own name and all folders above it are joined by equality."""
+    names = F.split(column, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(names)), lambda n: F.array_join(F.slice(names, 1, n), "/"))
+    each = paths.where(F.col(column).isNotNull()).select(column).distinct().select(column, F.explode(above).alias("folder"))
+    return each.join(folders.where("folder <> ''").select("folder").distinct(), "folder", "left_semi").select(column).distinct()
+
+
+def cascade_excluded(rows: DataFrame, folders: DataFrame, column: str = "source_path") -> DataFrame:
+    """Rows whose source is outside all of ``folders`` (folder); rows without a source stay."""
+    return rows.join(paths_inside(rows, folders, column), column, "left_anti").select(*rows.columns)
+
+
+def readmitted(files: DataFrame, removed: DataFrame, excluded: DataFrame, stored: DataFrame) -> DataFrame:
+    """(path, action) to be handled again when the folders ``removed`` (folder) are no longer excluded: files inside them, unless the exclusions that stay
+    (``excluded``) hold them or their sources are stored already. ``changes.apply_changes`` and the embedding queue take these rows like any others."""
+    back = paths_inside(files, removed)
+    kept = back.join(paths_inside(back, excluded), "path", "left_anti").join(stored.select("path"), "path", "left_anti")
+    return kept.select("path", F.lit("upsert").alias("action"))
 
 
 class VersionedTable:

@@ -479,9 +479,28 @@ def e7_changed_sources(spark, d):
     return ST.changed_sources(B.known(spark, d), B.files(spark, d))
 
 
-@_q("WITH " + B.VECTORS + " SELECT entity_key FROM vecs WHERE source_path NOT LIKE 'folder3/%' AND source_path <> 'folder1/note-1.md'")
+_FOLDERS = "folders AS (SELECT DISTINCT split_part(source_path, '/', 1) AS folder FROM vecs WHERE (vec_id // 5) % 10 IN (3, 8) UNION SELECT source_path FROM vecs WHERE (vec_id // 5) % 11 = 1)"
+
+
+def _folders(v):
+    n = F.floor(F.col("vec_id") / 5)
+    top = v.where((n % 10).isin(3, 8)).select(F.split_part("source_path", F.lit("/"), F.lit(1)).alias("folder"))
+    return top.unionByName(v.where(n % 11 == 1).select(F.col("source_path").alias("folder"))).distinct()
+
+
+@_q("WITH " + B.VECTORS + ", " + _FOLDERS + " SELECT entity_key FROM vecs v WHERE NOT EXISTS (SELECT 1 FROM folders f WHERE v.source_path = f.folder OR starts_with(v.source_path, f.folder || '/'))")
 def e11_cascade_excluded(spark, d):
-    return ST.cascade_excluded(B.vector_blocks(spark, d), ["folder3", "folder1/note-1.md"]).select("entity_key")
+    v = B.vector_blocks(spark, d)
+    return ST.cascade_excluded(v, _folders(v)).select("entity_key")
+
+
+@_q("WITH " + B.NOTES + ", " + B.FILES + ", " + B.KNOWN + """, gone AS (SELECT DISTINCT source AS folder FROM documents WHERE doc_id % 3 = 0 UNION SELECT DISTINCT source || '/' || lang FROM documents), stay AS (SELECT DISTINCT source || '/' || lang AS folder FROM documents WHERE lang = 'de')
+SELECT path, 'upsert' AS action FROM files f WHERE EXISTS (SELECT 1 FROM gone g WHERE starts_with(f.path, g.folder || '/')) AND NOT EXISTS (SELECT 1 FROM stay s WHERE starts_with(f.path, s.folder || '/')) AND path NOT IN (SELECT path FROM known)""")
+def e12_requeued(spark, d):
+    docs = B.table(spark, d, "documents")
+    sub = F.concat("source", F.lit("/"), "lang").alias("folder")
+    removed = docs.where("doc_id % 3 = 0").select(F.col("source").alias("folder")).unionByName(docs.select(sub)).distinct()
+    return ST.readmitted(B.files(spark, d), removed, docs.where("lang = 'de'").select(sub).distinct(), B.known(spark, d))
 
 
 @_q("WITH " + B.NOTES + " SELECT path FROM notes WHERE path LIKE 'src5/de/%'")
@@ -536,7 +555,11 @@ def f9_tokens_per_item(spark, d):
     return R.tokens_per_item(e).select("event_id", "tokens_per_item")
 
 
-@_q()
+@_q("""WITH RECURSIVE t AS (SELECT doc_id // 100 AS shard, doc_id AS pos, CAST(ceil(length(text) / 3.7::DOUBLE) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) AS k FROM documents),
+f AS (SELECT shard, k, pos, tokens, 0 AS batch, greatest(coalesce(tokens, 0), 1) AS held FROM t WHERE k = 1
+  UNION ALL SELECT t.shard, t.k, t.pos, t.tokens, CASE WHEN held + greatest(coalesce(t.tokens, 0), 1) > 2000 THEN batch + 1 ELSE batch END, CASE WHEN held + greatest(coalesce(t.tokens, 0), 1) > 2000 THEN greatest(coalesce(t.tokens, 0), 1) ELSE held + greatest(coalesce(t.tokens, 0), 1) END
+  FROM f JOIN t ON t.shard = f.shard AND t.k = f.k + 1)
+SELECT shard, pos, tokens, batch FROM f""")
 def g8_token_batches(spark, d):
     t = B.table(spark, d, "documents").select((F.floor(F.col("doc_id") / 100)).alias("shard"), F.col("doc_id").alias("pos"), T.estimate_tokens(F.col("text")).alias("tokens"))
     return J.token_batches(t, 2000)
@@ -868,6 +891,15 @@ def m2_debounce(spark, d):
     return out.select("user_id", F.unix_millis("session.start").alias("started"), "n")
 
 
+@_q("WITH " + B.CHANGES + """, up AS (SELECT ts, CASE WHEN lag(ts) OVER (ORDER BY ts) IS NULL OR ts >= lag(ts) OVER (ORDER BY ts) + INTERVAL 13 SECOND THEN 1 ELSE 0 END AS new FROM acts WHERE action = 'upsert'),
+s AS (SELECT min(ts) AS a, max(ts) + INTERVAL 13 SECOND AS z FROM (SELECT ts, sum(new) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM up) GROUP BY k),
+l AS (SELECT s.a, path, max((acts.ts, action)) AS m FROM s JOIN acts ON acts.ts >= s.a AND acts.ts < s.z GROUP BY s.a, path)
+SELECT epoch_us(a) // 1000 AS started, path FROM l WHERE m[2] = 'upsert'""")
+def m2_firings(spark, d):
+    rows = M.last_of_firing(M.firings(M.change_stream(B.changes(spark, d))))
+    return rows.select(F.unix_millis("session.start").alias("started"), "path")
+
+
 @_q("WITH " + B.CHANGES + " SELECT path, action FROM acts QUALIFY row_number() OVER (PARTITION BY path ORDER BY ts DESC, action DESC) = 1")
 def m3_latest_change(spark, d):
     return M.latest_change(M.change_stream(B.changes(spark, d))).select("path", "action")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from quillmark.functions.text import file_type
 
@@ -29,6 +30,32 @@ def debounce(changes: DataFrame, gap: str = GAP, watermark: str | None = None, b
     return src.groupBy(F.session_window("ts", gap).alias("session"), *by).agg(F.count("*").alias("n"), F.collect_set("path").alias("paths"))
 
 
+def firings(changes: DataFrame, gap: str = GAP, *, tick: str = "1 millisecond", watermark: str | None = None) -> DataFrame:
+    """(session, path, action, ts): which changes of (ts, action, path) each firing of one debounce over the whole feed finds.
+
+    Upserts put the firing off until a gap after the last one; what comes when it is due is for the next. The feed itself never meets in one place: its ticks with an upsert are counted by window, and only
+    those, a row for each, are merged into sessions; changes are joined with the sessions by shard of their path and by time. Times are taken to the
+    ``tick``. Batch and streaming frames alike (a stream needs a watermark); ``last_of_firing`` makes sets of paths of it.
+    """
+    src = changes.withWatermark("ts", watermark) if watermark else changes
+    shards = int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ticks = src.where("action = 'upsert'").groupBy(F.window("ts", tick).alias("tick")).agg(F.count("*").alias("n"))
+    one_key = F.col("n") < 0  # streams want a key beside the session
+    sessions = ticks.groupBy(F.session_window(F.window_time("tick"), f"{gap} -1 microseconds").alias("session"), one_key.alias("all")).agg(F.sum("n").alias("upserts"))
+    each = sessions.select("session", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    mine = src.select("ts", "action", "path", F.pmod(F.xxhash64("path"), F.lit(shards)).cast("int").alias("shard"))
+    # a tick's time is its end less a microsecond, and sessions that touch are one, hence the gap less a microsecond
+    back, one = F.expr(f"interval {tick} -1 microseconds"), F.expr("interval 1 microsecond")
+    inside = (F.col("c.shard") == F.col("s.shard")) & (F.col("c.ts") >= F.col("s.session.start") - back) & (F.col("c.ts") < F.col("s.session.end") - back + one)
+    return mine.alias("c").join(each.alias("s"), inside).select("s.session", "c.path", "c.action", "c.ts")
+
+
+def last_of_firing(rows: DataFrame) -> DataFrame:
+    """(session, path): what each firing imports again, a path once; paths whose last change was a delete are gone from it."""
+    last = rows.groupBy("session", "path").agg(F.max(F.struct("ts", "action")).alias("last"))
+    return last.where("last.action = 'upsert'").select("session", "path")
+
+
 def latest_change(changes: DataFrame, by: tuple = ()) -> DataFrame:
     """The last action of each path; of actions at one moment a delete gives way."""
     return changes.groupBy(*by, "path").agg(F.max(F.struct("ts", "action")).alias("last")).select(*by, "path", "last.action", "last.ts")
@@ -56,6 +83,37 @@ def catch_up(stored: DataFrame, files: DataFrame) -> DataFrame:
     return new.unionByName(stale_sources(stored, files)).withColumn("action", F.lit("upsert")).unionByName(gone)
 
 
+def held_until_discovered(changes: DataFrame, *, marker: str = "discovered", shards: int = 64) -> DataFrame:
+    """Changes of a stream (ts, action, path) that are later than the row whose action is ``marker``: (ts, action, path, shard).
+
+    Until discovery ends, creations and modifications are dropped, as it finds the files itself; deletes pass. The marker goes to every shard of
+    paths, whose only state is the marker's time, and comes out once for each shard, asking for the ``catch_up`` of that shard's paths.
+    """
+    shard = F.pmod(F.xxhash64("path"), F.lit(shards)).cast("int")
+    everywhere = F.when(F.col("action") == marker, F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(F.array(shard))
+    rows = changes.select("ts", "action", "path", F.explode(everywhere).alias("shard"))
+    out = "ts timestamp, action string, path string, shard int"
+
+    def step(key, parts, state):
+        rows = pd.concat(list(parts)).sort_values(["ts", "action"], kind="stable")
+        ended = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        marks = rows.loc[rows["action"] == marker, "ts"]
+        told = rows.iloc[:0]
+        if ended is None and len(marks):
+            ended = marks.min()
+            state.update((int(ended.value // 1000),))
+            told = rows[(rows["action"] == marker) & (rows["ts"] == ended)].iloc[:1]
+        pass_on = (rows["action"] == "delete") if ended is None else (rows["action"] == "delete") | (rows["ts"] > ended)
+        yield pd.concat([told, rows[pass_on & (rows["action"] != marker)]])[["ts", "action", "path", "shard"]]
+
+    return rows.groupBy("shard").applyInPandasWithState(step, out, "ended long", "append", "NoTimeout")
+
+
+def in_shard(path: Column, shards: list[int], n: int = 64) -> Column:
+    """Whether a path is of one of the shards of ``held_until_discovered``."""
+    return F.pmod(F.xxhash64(path), F.lit(n)).cast("int").isin(*shards)
+
+
 def apply_changes(notes: DataFrame, changes: DataFrame, contents: DataFrame) -> DataFrame:
     """Notes after the changes; ``contents`` has (path, text) of what is upserted."""
     last = latest_change(changes)
@@ -82,6 +140,66 @@ def incremental_refresh(stream: DataFrame, store, chunk: Callable[[DataFrame], D
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+class BlockTable:
+    """Blocks with their vectors as Parquet, partitioned by a hash of source_path into ``buckets``, so that a change rewrites its buckets only.
+
+    A bucket is replaced as a whole when a write commits (dynamic partition overwrite), and a batch that is applied twice gives the same rows. Each written
+    bucket has a row without an entity_key, so that a bucket whose last block goes is written as well; ``read`` leaves these out.
+    """
+
+    COLUMNS = "entity_key string, source_path string, text string, read_hash string, embed_hash string, embed_size bigint, vec array<float>"
+
+    def __init__(self, spark, path: str, buckets: int = 256):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+
+    def _bucket(self, source: str) -> Column:
+        return F.pmod(F.xxhash64(source), F.lit(self.buckets)).cast("int")
+
+    def _all(self) -> DataFrame:
+        return self.spark.read.schema(self.COLUMNS + ", bucket int").parquet(self.path)
+
+    def create(self) -> None:
+        self.spark.createDataFrame([], self.COLUMNS + ", bucket int").write.mode("ignore").partitionBy("bucket").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self._all().where("entity_key is not null").drop("bucket")
+
+    def apply(self, changes: DataFrame, contents: DataFrame, chunk: Callable[[DataFrame], DataFrame], embedder) -> list[int]:
+        """Chunks what (path, action) upserts from (path, text), drops what it deletes, embeds blocks whose content is new to the table, and
+        writes the touched buckets, whose numbers are returned. A block that couldn't be embedded is kept without a vector and tried with its next change."""
+        from quillmark.functions.text import content_hash
+        from quillmark.operators.jobs import embed
+
+        touched = changes.select(F.col("path").alias("source_path")).distinct()
+        buckets = sorted(r[0] for r in touched.select(self._bucket("source_path")).distinct().collect())  # at most ``buckets`` numbers
+        if not buckets:
+            return buckets
+        old = self._all().where(F.col("bucket").isin(*buckets) & F.col("entity_key").isNotNull())
+        again = contents.join(changes.where("action = 'upsert'").select("path"), "path", "left_semi")
+        new = chunk(again).select("entity_key", "source_path", "text", content_hash(F.col("text")).alias("read_hash"))
+        known = old.select("entity_key", "embed_hash", "embed_size", "vec")
+        joined = new.join(known, "entity_key", "left")
+        fresh = F.col("vec").isNotNull() & F.col("embed_hash").eqNullSafe(F.col("read_hash"))
+        stale = joined.where(~fresh).select("entity_key", "source_path", "text", "read_hash")
+        got = embed(stale, embedder).where("status = 'ok'").select("entity_key", "vec")
+        made = stale.join(got, "entity_key", "left").select("entity_key", "source_path", "text", "read_hash", F.when(F.col("vec").isNotNull(), F.col("read_hash")).alias("embed_hash"), F.when(F.col("vec").isNotNull(), F.length("text").cast("bigint")).alias("embed_size"), "vec")
+        rest = old.drop("bucket").join(touched, "source_path", "left_anti")
+        rows = rest.select(*made.columns).unionByName(joined.where(fresh).select(*made.columns)).unionByName(made).withColumn("bucket", self._bucket("source_path"))
+        marks = self.spark.createDataFrame([(b,) for b in buckets], "bucket int").select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema if f.name != "bucket"), "bucket")
+        rows.unionByName(marks).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        return buckets
+
+
+def embedding_refresh(stream: DataFrame, table: BlockTable, chunk: Callable[[DataFrame], DataFrame], embedder, checkpoint: str):
+    """A query that folds every micro-batch of (ts, op, path, old_path, text) into a ``BlockTable``, with the vectors of what changed."""
+
+    def step(batch: DataFrame, _: int) -> None:
+        last = batch.where("text is not null").groupBy("path").agg(F.max_by("text", "ts").alias("text"))
+        table.apply(latest_change(change_stream(batch)), last, chunk, embedder)
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
 def progress_stream(runs: DataFrame) -> DataFrame:
     """Per run of (run_id, ts, done, total, started): the latest counts, percent and elapsed time."""
     last = runs.groupBy("run_id").agg(F.max(F.struct("ts", "done", "total", "started")).alias("x"))
