@@ -27,6 +27,11 @@ def content_hash(text: Column) -> Column:
     return F.sha2(trim_all(F.substring(text, 1, HASHED_CHARS)), 256)
 
 
+def read_hash_or_own(read_hash: Column, embed_input: Column) -> Column:
+    """The hash of what was read; where that is missing, of the text that is embedded. Null where there is neither."""
+    return F.coalesce(F.when(read_hash != "", read_hash), F.when(embed_input != "", content_hash(embed_input)))
+
+
 def source_key(key: Column) -> Column:
     return F.substring_index(key, "#", 1)
 

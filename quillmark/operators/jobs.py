@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 
-from quillmark.functions.text import content_hash
+from quillmark.functions.text import read_hash_or_own
 
 BATCH, RETRIES = 10, 3
 
@@ -131,6 +131,33 @@ class Embedder:
     models: dict[str, int] = field(default_factory=dict)
 
 
+@dataclass
+class Model:
+    """What is known of a model before it is loaded."""
+
+    key: str
+    name: str
+    dims: int
+    max_tokens: int
+    batch_size: int = 1
+    size_mb: int | None = None
+
+
+def catalogue(spark: SparkSession, models: list[Model]) -> DataFrame:
+    """(model_key, model_name, dims, max_tokens, batch_size, size_mb, shown): a row for each model, the last of a key wins."""
+    rows = [(m.key, m.name, m.dims, m.max_tokens, m.batch_size, m.size_mb) for m in {m.key: m for m in models}.values()]
+    out = spark.createDataFrame(rows, "model_key string, model_name string, dims int, max_tokens int, batch_size int, size_mb int")
+    return out.withColumn("shown", F.concat("model_name", F.lit(" ("), F.col("dims").cast("string"), F.lit("d)")))
+
+
+def models_that_fit(needs: DataFrame, models: DataFrame) -> DataFrame:
+    """Adds to (entity_key, tokens) the smallest model of a ``catalogue`` that takes so many tokens (ties: by key), null where none does."""
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("size_mb", F.lit(2**31 - 1)).alias("size"), "model_key", "max_tokens", "dims", "batch_size")))
+    every = F.broadcast(models.agg(order.alias("_models")))  # one row, as long as the catalogue
+    fit = F.try_element_at(F.filter("_models", lambda m: m["max_tokens"] >= F.col("tokens")), F.lit(1))
+    return needs.join(every).withColumn("_m", fit).select(*needs.columns, F.col("_m.model_key"), F.col("_m.dims"), F.col("_m.batch_size"))
+
+
 _REGISTRY: dict[str, Embedder] = {}
 
 
@@ -181,18 +208,43 @@ def with_retry(call: Callable[[], list], retries: int = RETRIES, sleep: Callable
     raise AssertionError
 
 
-def embed(df: DataFrame, found: Embedder, *, role: str = "passage", batch: int = BATCH, retries: int = RETRIES) -> DataFrame:
+def by_key(keys: list[str], answer: list) -> dict[str, object]:
+    """The vector of each key from an embedder's answer to a batch of them: vectors in order, or mappings with ``vec`` and a ``key`` or an ``index``
+    (its key wins), in any order. An answer of another length, without identity, for an unknown key, for one key twice, or whose key and index
+    disagree is ``Fatal``."""
+    if len(answer) != len(keys):
+        raise Fatal(f"{len(answer)} results for {len(keys)} texts")
+    if not any(isinstance(x, Mapping) for x in answer):
+        return dict(zip(keys, answer))
+    out: dict[str, object] = {}
+    for x in answer:
+        at, key = x.get("index"), x.get("key")
+        at = at if isinstance(at, int) and not isinstance(at, bool) else None
+        named = keys[at] if at is not None and 0 <= at < len(keys) else None
+        key = key if isinstance(key, str) and key else named
+        if not key:
+            raise Fatal("a result without key or index")
+        if key not in keys:
+            raise Fatal(f"a result for the unknown key {key}")
+        if at is not None and named != key:
+            raise Fatal(f"the result of index {at} is for {key}")
+        if key in out:
+            raise Fatal(f"two results for {key}")
+        out[key] = x.get("vec")
+    return out
+
+
+def embed(df: DataFrame, found: Embedder, *, role: str = "passage", batch: int = BATCH, retries: int = RETRIES, halt: bool = True) -> DataFrame:
     """(entity_key, vec, tokens, status, error) of (entity_key, text): ok, skipped (empty text) or failed.
 
-    An answer of another length than the batch ends the run, as other fatal errors do. A batch without any usable vector is tried
-    again, and is failed in the end; in one with some, rows without are failed and stay queued.
+    Answers are checked by ``by_key``; what is wrong with them ends the run, as other fatal errors do. A batch without any usable vector is tried again, and
+    once it is out of retries it ends the run too (what was stored before stays), or is failed if not ``halt``; in a batch with some, rows without are
+    failed and stay queued. Keys are unique.
     """
 
-    def answer(call: Callable, texts: list[str]) -> list:
-        got = call(texts, role)
-        if len(got) != len(texts):
-            raise Fatal(f"{len(got)} vectors for {len(texts)} texts")
-        if not any(v is not None and len(v) for v in got):
+    def answer(call: Callable, keys: list[str], texts: list[str]) -> dict[str, object]:
+        got = by_key(keys, call(texts, role))
+        if not any(v is not None and len(v) for v in got.values()):
             raise Transient("no vector in the batch")
         return got
 
@@ -203,15 +255,17 @@ def embed(df: DataFrame, found: Embedder, *, role: str = "passage", batch: int =
             for i in range(0, len(keys), batch):
                 k, t = keys[i : i + batch], texts[i : i + batch]
                 full = [j for j, x in enumerate(t) if x.strip()]
-                error, got = None, []
+                error, got = None, {}
                 if full:
                     try:
-                        got = with_retry(lambda: answer(call, [t[j] for j in full]), retries)
+                        got = with_retry(lambda: answer(call, [str(j) if k[j] is None else k[j] for j in full], [t[j] for j in full]), retries)
                     except Transient as e:
-                        error, got = str(e) or type(e).__name__, [None] * len(full)
-                by = dict(zip(full, got))
-                vec = [None if by.get(j) is None else np.asarray(by[j], np.float32) for j in range(len(k))]
-                status = ["skipped" if j not in by else "failed" if vec[j] is None else "ok" for j in range(len(k))]
+                        error = str(e) or type(e).__name__
+                        if halt:
+                            raise Fatal(f"{error}, after {retries} retries, at {k[full[0]]}") from e
+                vec = [got.get(str(j) if k[j] is None else k[j]) if j in full else None for j in range(len(k))]
+                vec = [np.asarray(v, np.float32) if v is not None and len(v) else None for v in vec]
+                status = ["skipped" if j not in full else "failed" if vec[j] is None else "ok" for j in range(len(k))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(k, pa.string()), pa.array(vec, pa.list_(pa.float32())), pa.array([-(-len(x) * 10 // 37) for x in t], pa.int32()), pa.array(status), pa.array([error if s == "failed" else None for s in status], pa.string())],
                     names=["entity_key", "vec", "tokens", "status", "error"],
@@ -228,27 +282,37 @@ def check_results(queue: DataFrame, results: DataFrame) -> DataFrame:
     return both.agg(one(F.col("n").isNull()).alias("missing"), one(F.col("q").isNull()).alias("unknown"), one(F.col("n") > 1).alias("repeated"))
 
 
-def stamp(results: DataFrame, blocks: DataFrame, model: str, updated_at: int) -> DataFrame:
-    """Rows for the store; blocks without a read hash get that of their text."""
+def stamp(results: DataFrame, blocks: DataFrame, model: str, updated_at: int, *, adapter: str | None = None) -> DataFrame:
+    """Rows for the store: what was embedded is what was read last, so its hash, size and time are the block's (``read_hash``, ``length``, ``mtime``,
+    the last two where there are such columns). Blocks without a read hash get that of the text that was embedded, without size and time."""
     ok = results.where("status = 'ok'").drop("status", "error")
-    joined = ok.join(blocks.select("entity_key", "text", "read_hash"), "entity_key")
-    return joined.select("entity_key", F.lit(model).alias("model_key"), "vec", "tokens", F.coalesce("read_hash", content_hash(F.col("text"))).alias("embed_hash"), F.size("vec").alias("dims"), F.lit(updated_at).cast("bigint").alias("updated_at"))
+    read = F.coalesce(F.col("read_hash"), F.lit("")) != ""
+    own = {c: (F.when(read, F.col(c)) if c in blocks.columns else F.lit(None)).cast("bigint").alias(f"_{c}") for c in ("length", "mtime")}
+    joined = ok.join(blocks.select("entity_key", "text", "read_hash", *own.values()), "entity_key")
+    return joined.select(
+        "entity_key", F.lit(model).alias("model_key"), "vec", "tokens", read_hash_or_own(F.col("read_hash"), F.col("text")).alias("embed_hash"), F.size("vec").alias("dims"), F.lit(updated_at).cast("bigint").alias("updated_at"),
+        F.col("_length").alias("embed_size"), F.col("_mtime").alias("embed_mtime"), F.lit(adapter).cast("string").alias("adapter"),
+    )
 
 
-def refresh(spark: SparkSession, blocks: DataFrame, store, found: Embedder, model: str, *, updated_at: int = 0, rounds: int = 10, save_rows: int | None = None) -> int:
+def refresh(spark: SparkSession, blocks: DataFrame, store, found: Embedder, model: str, *, updated_at: int = 0, rounds: int = 10, save_rows: int | None = None, min_change: int = 0, adapter: str | None = None) -> int:
     """Queues, embeds and stores until nothing more gets done; the number of blocks left.
 
-    With ``save_rows`` the queue is cut by hash into parts of about that many rows, and each part is stored when it is done, so that a
-    run that is lost costs one part. Each save writes the table anew: choose parts that are large beside it."""
+    Blocks are stale as in ``embed_queue``: vectors of another length than the embedder's, and changes of ``min_change`` characters or more. With
+    ``save_rows`` the queue is cut by hash into parts of about that many rows, and each part is stored when it is done, so that a run that ends (a batch out of
+    retries, a wrong answer) or is lost keeps the parts before. Each save writes the table anew: choose parts that are large beside it."""
     from quillmark.operators.store import EMBEDDINGS, upsert
 
+    def queued(stored: DataFrame) -> DataFrame:
+        return embed_queue(blocks, stored, model, expected_dims=found.models.get(model, found.dims), min_change=min_change)
+
     left = -1
     for _ in range(rounds):
         try:
             stored = store.read()
         except FileNotFoundError:
             stored = spark.createDataFrame([], EMBEDDINGS)
-        queue = embed_queue(blocks, stored, model)
+        queue = queued(stored)
         now = queue.count()
         if not now or now == left:
             return now
@@ -256,9 +320,9 @@ def refresh(spark: SparkSession, blocks: DataFrame, store, found: Embedder, mode
         parts = -(-now // save_rows) if save_rows else 1
         for part in range(parts):
             mine = queue.where(F.pmod(F.xxhash64("entity_key"), F.lit(parts)) == part) if parts > 1 else queue
-            store.write(upsert(stored, stamp(embed(mine, found), blocks, model, updated_at).select(*stored.columns), ["entity_key", "model_key"]))
+            store.write(upsert(stored, stamp(embed(mine, found), blocks, model, updated_at, adapter=adapter).select(*stored.columns), ["entity_key", "model_key"]))
             stored = store.read()
-    return embed_queue(blocks, store.read(), model).count()
+    return queued(store.read()).count()
 
 
 def run_summary(results: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
 from quillmark.functions.text import percent
+from quillmark.operators.percentiles import percentiles
 
 SLOW_MS = 1000
 
@@ -51,18 +52,23 @@ def latency_summary(samples: DataFrame, by: tuple = ("state",)) -> DataFrame:
     ``settled`` is the longest time to a settled view, ``ms`` where a sample has none.
     """
     one = lambda c: F.round(c, 1)
-    return samples.groupBy(*by).agg(
+    sums = samples.groupBy(*by).agg(
         F.count("*").alias("n"),
-        one(F.percentile("ms", 0.5)).alias("median"),
-        one(F.when(F.count("ms") >= 3, F.percentile("ms", 0.95))).alias("p95"),
+        F.count("ms").alias("_ms"),
         one(F.max("ms")).alias("worst"),
-        one(F.percentile("trigger_ms", 0.5)).alias("trigger_median"),
         one(F.max("trigger_ms")).alias("trigger_worst"),
         F.max(F.coalesce("settled_ms", "ms")).alias("settled"),
         F.coalesce(F.sum("timeouts"), F.lit(0)).alias("timeouts"),
         F.coalesce(F.sum("empty_polls"), F.lit(0)).alias("empty_polls"),
         F.coalesce(F.bool_or("frozen"), F.lit(False)).alias("frozen"),
     )
+    out = sums
+    for column, shares in (("ms", {"median": 0.5, "p95": 0.95}), ("trigger_ms", {"trigger_median": 0.5})):
+        found = percentiles(samples, by, column, shares)
+        same = [out[c].eqNullSafe(found[c]) for c in by]
+        out = out.join(found, same, "left").select(out["*"], *(one(found[c]).alias(c) for c in shares))
+    p95 = F.when(F.col("_ms") >= 3, F.col("p95")).alias("p95")
+    return out.select(*by, "n", "median", p95, "worst", "trigger_median", "trigger_worst", "settled", "timeouts", "empty_polls", "frozen")
 
 
 def latency_impact(summary: DataFrame) -> DataFrame:
@@ -88,6 +94,38 @@ def batch_report(batches: DataFrame) -> DataFrame:
     return batches.groupBy("run_id").agg(F.count("*").alias("batches"), F.count_if("failed").alias("failed_batches"), F.max("mean_ms").alias("slowest_mean"))
 
 
+def last_json(text: Column) -> Column:
+    """The shortest tail of a text that begins with a brace and is JSON, null without one."""
+    cut = F.split(text, r"\{")
+    tails = F.transform(F.sequence(F.size(cut) - 1, F.lit(1), F.lit(-1)), lambda k: F.trim(F.concat(F.lit("{"), F.array_join(F.slice(cut, k + 1, F.size(cut)), "{"))))
+
+    def whole(t: Column) -> Column:  # the parser stops after a value, so something has to follow that it must reach
+        read = F.try_parse_json(F.concat(F.lit("["), t, F.lit(", 7]")))
+        return F.coalesce(F.try_variant_get(read, "$[1]", "int") == 7, F.lit(False)) & F.try_variant_get(read, "$[2]", "variant").isNull()
+
+    found = F.filter(tails, whole)
+    return F.when(F.size(cut) > 1, F.try_element_at(found, F.lit(1)))
+
+
+def batch_reports(runs: DataFrame) -> DataFrame:
+    """Per run log (run_id, out, err, code, ms, timed_out): what the JSON at the end of its output says of its batches.
+
+    (run_id, status, severity, ms, artifact, batches, failed_batches, slowest_mean, code, timed_out). A log without JSON has no batches; means that are missing
+    count as 0.
+    """
+    told = "artifactPath string, batches array<struct<status: string, timing: struct<connectionsView: struct<meanMs: double>>>>"
+    read = runs.withColumn("_told", F.from_json(last_json(F.coalesce("out", F.lit(""))), told)).withColumn("status", classify_log(F.col("out"), F.col("err"), F.col("code")))
+    batches = F.coalesce("_told.batches", F.array().cast("array<struct<status: string, timing: struct<connectionsView: struct<meanMs: double>>>>"))
+    severity = F.lit(0)
+    for name, value in SEVERITY.items():
+        severity = F.when(F.col("status") == name, value).otherwise(severity)
+    means = F.transform(batches, lambda b: F.coalesce(b["timing"]["connectionsView"]["meanMs"], F.lit(0.0)))
+    return read.select(
+        "run_id", "status", severity.alias("severity"), "ms", F.col("_told.artifactPath").alias("artifact"), F.size(batches).cast("bigint").alias("batches"),
+        F.size(F.filter(batches, lambda b: b["status"] == "failed")).cast("bigint").alias("failed_batches"), F.greatest(F.lit(0.0), F.coalesce(F.array_max(means), F.lit(0.0))).alias("slowest_mean"), "code", F.coalesce("timed_out", F.lit(False)).alias("timed_out"),
+    )
+
+
 def stage_durations(events: DataFrame) -> DataFrame:
     """A stage of (run_id, ts, seq, state) ends when another begins; beginning the active stage again changes nothing, so such rows go."""
     run = Window.partitionBy("run_id").orderBy("ts", "seq")

@@ -175,7 +175,7 @@ def lookup_many(texts: DataFrame, found: Embedder, entities: DataFrame, limit: i
     Texts are embedded over the partitions as queries; ``entities`` has (entity_key, entity_type, source_path, vec). ``hits``: (query_id, entity_key, score, rank),
     each key once for a text, though notes and blocks may share it; ``failed``: (query_id, error) of texts without a vector.
     """
-    got = embed(texts.select(F.col("query_id").alias("entity_key"), "text"), found, role="query").withColumnRenamed("entity_key", "query_id")
+    got = embed(texts.select(F.col("query_id").alias("entity_key"), "text"), found, role="query", halt=False).withColumnRenamed("entity_key", "query_id")
     kind = F.when(F.col("scope") == "notes", "source").when(F.col("scope") == "blocks", "block").alias("kind")
     queries = got.where("status = 'ok'").select("query_id", "vec").join(texts.select("query_id", kind), "query_id")
     hits = nearest_many(queries, entities, 2 * limit)  # a key may come twice, once as a note and once as a block

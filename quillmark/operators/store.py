@@ -15,7 +15,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 ENTITIES = "entity_key string, entity_type string, path string, source_path string, last_read_hash string, last_read_size bigint, last_read_mtime bigint, text_len bigint, extra string"
-EMBEDDINGS = "entity_key string, model_key string, vec array<float>, tokens int, embed_hash string, dims int, updated_at bigint"
+EMBEDDINGS = "entity_key string, model_key string, vec array<float>, tokens int, embed_hash string, dims int, updated_at bigint, embed_size bigint, embed_mtime bigint, adapter string"
 
 
 def load_entities(entities: DataFrame, embeddings: DataFrame, entity_type: str, model: str) -> DataFrame:

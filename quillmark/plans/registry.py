@@ -333,6 +333,12 @@ def d22_synthetic_hash(spark, d):
     return B.table(spark, d, "documents").select("doc_id", F.coalesce(F.when(F.col("doc_id") % 2 == 0, "h"), T.content_hash(F.col("text"))).alias("hash"))
 
 
+@_q("WITH " + B.NOTES + " SELECT path || '#a#b' AS entity_key, CASE WHEN doc_id % 2 = 0 THEN 'h' ELSE sha256(" + _TRIM.format("substr(replace(regexp_replace(path, '\\.md', ''), '/', ' > ') || ' > a' || chr(10) || text, 1, 100000)") + ") END AS embed_hash FROM notes")
+def d22_hash_of_embed_input(spark, d):
+    key = F.concat("path", F.lit("#a#b"))
+    return B.notes(spark, d).select(key.alias("entity_key"), T.read_hash_or_own(F.when(F.col("doc_id") % 2 == 0, "h"), T.block_embed_input(key, F.col("text"))).alias("embed_hash"))
+
+
 # --- store ---------------------------------------------------------------------------------------------------------------
 
 _W = "WITH " + B.STAMPS + " "
@@ -595,6 +601,22 @@ def j5_stamp(spark, d):
     return J.stamp(J.embed(blocks, J.hashing_embedder()), blocks, "m1", 1).select("entity_key", "model_key", "embed_hash")
 
 
+@_q(_W + "SELECT entity_key, 16 AS dims, CASE WHEN doc_id % 2 = 0 THEN n_chars END AS embed_size, CASE WHEN doc_id % 2 = 0 THEN mtime END AS embed_mtime, 'local' AS adapter, CASE WHEN doc_id % 2 = 0 THEN 'h' || doc_id ELSE sha256(text) END AS embed_hash FROM (SELECT doc_id, path AS entity_key, n_chars, mtime, " + _TRIM.format("substr(text, 1, 100000)") + " AS text FROM notes) WHERE text <> ''")
+def j5_full_stamp(spark, d):
+    read = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("h"), F.col("doc_id").cast("string")))
+    blocks = B.notes(spark, d).select(F.col("path").alias("entity_key"), "text", read.alias("read_hash"), F.col("n_chars").alias("length"), "mtime")
+    return J.stamp(J.embed(blocks, J.hashing_embedder()), blocks, "m1", 1, adapter="local").select("entity_key", "dims", "embed_size", "embed_mtime", "adapter", "embed_hash")
+
+
+_MODELS = [("small", 384, 512, 1, 25), ("middle", 768, 2048, 1, 140), ("long", 512, 8192, 1, 35), ("wide", 1024, 8192, 4, 500)]
+
+
+@_q("WITH m(model_key, dims, max_tokens, batch_size, size_mb) AS (VALUES " + ", ".join(f"('{k}', {a}, {b}, {c}, {z})" for k, a, b, c, z in _MODELS) + "), t AS (SELECT doc_id, CAST(ceil(length(text) / 3.7::DOUBLE) AS BIGINT) AS tokens FROM documents) SELECT doc_id, tokens, m.model_key, m.dims, m.batch_size FROM t LEFT JOIN m ON max_tokens >= tokens QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY size_mb, model_key) = 1")
+def k5_models_that_fit(spark, d):
+    models = J.catalogue(spark, [J.Model(k, k, dims, most, batch, mb) for k, dims, most, batch, mb in _MODELS])
+    return J.models_that_fit(B.table(spark, d, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens")), models)
+
+
 @_q(_W + "SELECT entity_key, 'm2' AS model_key, '' AS embed_hash FROM entities WHERE entity_key NOT IN (SELECT entity_key FROM stamps WHERE model_key = 'm2')")
 def j6_switch_model(spark, d):
     return J.switch_model(B.entities(spark, d), B.stamps(spark, d), "m2")
@@ -806,6 +828,16 @@ def f15_batch_report(spark, d):
     return R.batch_report(B.table(spark, d, "events").select(F.col("user_id").alias("run_id"), (F.col("event_type") == "error").alias("failed"), F.col("value").alias("mean_ms")))
 
 
+@_q("WITH e AS (SELECT event_id, event_id % 7 <> 0 AS told, event_type, user_id % 50 AS mean, event_id % 3 = 0 AS bad FROM events) SELECT event_id AS run_id, CASE WHEN NOT told THEN 'unknown' WHEN bad THEN 'failed' ELSE 'passed' END AS status, CASE WHEN NOT told THEN 0 WHEN bad THEN 3 ELSE 1 END AS severity, CASE WHEN told THEN 'p' || event_id END AS artifact, CAST(CASE WHEN told THEN 2 ELSE 0 END AS BIGINT) AS batches, CAST(CASE WHEN told THEN 1 + CAST(event_type = 'failed' AS INT) ELSE 0 END AS BIGINT) AS failed_batches, CASE WHEN told THEN mean ELSE 0 END::DOUBLE AS slowest_mean FROM e")
+def f15_run_logs(spark, d):
+    e = B.table(spark, d, "events")
+    head = F.concat(F.lit("RESULT: "), F.when(F.col("event_id") % 3 == 0, "FAIL").otherwise("PASS"), F.lit(" {x} \n"))
+    block = F.format_string('{"artifactPath": "p%s", "batches": [{"status": "%s", "timing": {"connectionsView": {"meanMs": %s}}}, {"status": "failed"}]}', "event_id", "event_type", F.col("user_id") % 50)
+    out = F.when(F.col("event_id") % 7 == 0, "nothing {here} to read").otherwise(F.concat(head, block))
+    runs = e.select(F.col("event_id").alias("run_id"), out.alias("out"), F.lit(None).cast("string").alias("err"), F.lit(0).alias("code"), F.col("value").alias("ms"), F.lit(False).alias("timed_out"))
+    return R.batch_reports(runs).select("run_id", "status", "severity", "artifact", "batches", "failed_batches", "slowest_mean")
+
+
 @_q("WITH " + B.SAMPLES + ", begun AS (SELECT * FROM samples QUALIFY lag(state) OVER (PARTITION BY run_id ORDER BY ts, seq) IS DISTINCT FROM state) SELECT seq, state, greatest(0, coalesce(lead(ts) OVER (PARTITION BY run_id ORDER BY ts, seq) - ts, 0)) AS duration_ms FROM begun")
 def g6_stage_durations(spark, d):
     return R.stage_durations(B.samples(spark, d)).select("seq", "state", "duration_ms")

@@ -90,3 +90,67 @@ def test_blobs(spark):
     df = spark.createDataFrame([(1, bytearray(b"\0\0\x80?")), (2, bytearray(b"abc")), (3, None), (4, bytearray())], "k int, vec binary")
     got = {r.k: r.vec for r in ST.vectors_from_blobs(df).collect()}
     assert got == {1: [1.0], 2: None, 3: None, 4: None}
+
+
+def test_answers_are_identified():
+    keys = ["a", "b"]
+    assert J.by_key(keys, [1, 2]) == {"a": 1, "b": 2}
+    assert J.by_key(keys, [{"vec": 2, "key": "b"}, {"vec": 1, "index": 0}]) == {"a": 1, "b": 2}
+    assert J.by_key(keys, [{"vec": 2, "key": "b", "index": 1}, {"vec": 1, "key": "a", "index": 0}]) == {"a": 1, "b": 2}
+    wrong = [[1], [{"vec": 1}, {"vec": 2, "key": "b"}], [{"vec": 1, "key": "c"}, {"vec": 2, "key": "b"}], [{"vec": 1, "key": "a", "index": 1}, {"vec": 2, "key": "b"}], [{"vec": 1, "key": "a"}, {"vec": 2, "key": "a"}], [{"vec": 1, "index": 5}, {"vec": 2, "key": "b"}]]
+    for answer in wrong:
+        with pytest.raises(J.Fatal):
+            J.by_key(keys, answer)
+
+
+def test_batch_out_of_retries_ends_the_run(spark, tmp_path):
+    def build():
+        return lambda texts, role: [None if any("bad" in t for t in texts) else [1.0, 2.0] for _ in texts]
+
+    rows = [(f"k{i}", "bad" if i == 5 else "good", f"h{i}", 4, True) for i in range(6)]
+    blocks = spark.createDataFrame(rows, "entity_key string, text string, read_hash string, length bigint, should_embed boolean")
+    parts = lambda key: blocks.where(f"entity_key = '{key}'").selectExpr("pmod(xxhash64(entity_key), 6) as p").first().p
+    table = ST.VersionedTable(spark, str(tmp_path / "emb"))
+    kept = {k for k in (f"k{i}" for i in range(5)) if parts(k) < parts("k5")}
+    found = J.Embedder(build, 2)
+    waits = J.with_retry.__defaults__
+    J.with_retry.__defaults__ = (waits[0], lambda s: None)
+    try:
+        with pytest.raises(Exception, match="after 3 retries"):
+            J.refresh(spark, blocks, table, found, "m", save_rows=1)
+    finally:
+        J.with_retry.__defaults__ = waits
+    assert {r.entity_key for r in (table.read().collect() if kept else [])} >= kept
+    got = {r.entity_key: r.status for r in J.embed(blocks.coalesce(1), found, batch=1, retries=0, halt=False).collect()}
+    assert got == {**{f"k{i}": "ok" for i in range(5)}, "k5": "failed"}
+
+
+def test_full_stamps_and_minor_changes(spark, tmp_path):
+    schema = "entity_key string, text string, read_hash string, length bigint, mtime bigint, should_embed boolean"
+    table = ST.VersionedTable(spark, str(tmp_path / "emb"))
+    first = spark.createDataFrame([("a", "one two", "h1", 7, 5, True), ("b", "three", None, 5, 6, True)], schema)
+    assert J.refresh(spark, first.where("entity_key = 'a'"), table, J.hashing_embedder(), "m", adapter="local") == 0
+    row = table.read().first()
+    assert (row.embed_size, row.embed_mtime, row.adapter, row.dims) == (7, 5, "local", 16)
+    assert J.stamp(J.embed(first, J.hashing_embedder()), first, "m", 1).where("entity_key = 'b'").first().embed_size is None
+    moved = spark.createDataFrame([("a", "one too", "h2", 9, 7, True)], schema)
+    assert J.refresh(spark, moved, table, J.hashing_embedder(), "m", min_change=5) == 0 and table.read().first().embed_hash == "h1"
+    assert J.refresh(spark, moved, table, J.hashing_embedder(), "m") == 0 and table.read().first().embed_hash == "h2"
+    assert J.refresh(spark, moved, table, J.hashing_embedder(8), "m") == 0 and table.read().first().dims == 8
+
+
+def test_token_batches_of_a_long_shard(spark):
+    import random
+
+    rnd = random.Random(3)
+    sizes = [(s, i, rnd.choice([None, 0, 1, 3, 30, 200])) for s in (None, "x", "y") for i in range(3000)]
+    got = {(r.shard, r.pos): r.batch for r in J.token_batches(spark.createDataFrame(sizes, "shard string, pos int, tokens bigint"), 100).collect()}
+    for s in (None, "x", "y"):
+        held, batch = 0, 0
+        for shard, pos, n in sizes:
+            if shard == s:
+                n = max(n or 0, 1)
+                if held and held + n > 100:
+                    held, batch = 0, batch + 1
+                held += n
+                assert got[(s, pos)] == batch

@@ -50,7 +50,36 @@ def test_states_and_causes(spark):
 
 def test_embed_answers(spark):
     df = spark.createDataFrame([("a", "x"), ("b", "y")], "entity_key string, text string").coalesce(1)
-    with pytest.raises(Exception, match="1 vectors for 2 texts"):
+    with pytest.raises(Exception, match="1 results for 2 texts"):
         J.embed(df, J.Embedder(lambda: lambda texts, role: [[1.0]], 1)).collect()
-    empty = J.embed(df, J.Embedder(lambda: lambda texts, role: [[] for _ in texts], 1), retries=0).collect()
+    empty = J.embed(df, J.Embedder(lambda: lambda texts, role: [[] for _ in texts], 1), retries=0, halt=False).collect()
     assert {(r.status, r.error) for r in empty} == {("failed", "no vector in the batch")}
+
+
+def test_last_json(spark):
+    import pyspark.sql.functions as F
+
+    rows = [('a {x} \n{"a": "p", "b": [{"s": 1}, {"s": 2}]}', '{"a": "p", "b": [{"s": 1}, {"s": 2}]}'), ("x {", None), (None, None), ('{"k": 1} tail', None), ('{"k": 1}, {"l": 2}', '{"l": 2}'), ("", None), ('{"k": [1', None), (" {} ", "{}")]
+    got = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "i int, out string").select("i", R.last_json(F.col("out")).alias("j")).collect()
+    assert {r.i: r.j for r in got} == {i: r[1] for i, r in enumerate(rows)}
+
+
+def test_percentiles_without_groups_in_one_place(spark):
+    import random
+
+    import numpy as np
+
+    from quillmark.operators.percentiles import percentiles
+
+    rnd, rows = random.Random(4), []
+    for g, draw in {"a": lambda: rnd.gauss(0, 1e6), "b": lambda: float(rnd.randrange(3)), "c": lambda: 10.0 ** rnd.uniform(-200, 200), None: lambda: 5.0}.items():
+        rows += [(g, draw()) for _ in range(700)]
+    rows += [("d", None), ("e", 1.0), ("e", float("nan")), ("e", 2.0)]
+    got = percentiles(spark.createDataFrame(rows, "g string, x double"), ("g",), "x", {"m": 0.5, "p": 0.95, "z": 1.0}, bins=16)
+    want = {}
+    for g in {r[0] for r in rows}:
+        xs = [x for h, x in rows if h == g and x is not None and x == x]
+        want[g] = tuple(np.percentile(xs, [50, 95, 100])) if xs else (None, None, None)
+    for r in got.collect():
+        assert tuple(r)[1:] == want[r.g] or np.allclose(tuple(r)[1:], want[r.g], rtol=1e-12), r
+    assert got.count() == len(want)
