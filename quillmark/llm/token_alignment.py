@@ -14,7 +14,7 @@ and a B token are linked if their bytes overlap.
 A lookup needs slots and counts of all pairs in every task. They are broadcast in blocks of whole shards with at most ``block_pairs`` pairs,
 one pass over the documents for each block, whatever the number of blocks; a shard has a 256th of the at most
 1.6 billion pairs of ids, so 6.3 million at the very most. Both tokenizers end a token before a single space between words and between a letter
-and a mark after it, so the pieces between such places are aligned once for each slice of 1 MB, and their ids are kept for later slices.
+and a mark after it, so the pieces between such places are aligned once for each slice of 4 MB, and their ids are kept for later slices.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 
 from quillmark.llm._perfect_hash import ManyHashes, PerfectHash
 from quillmark.llm._pieces import BYTE_LETTERS, Chunks, Kept, cut_bytes, distinct, resting
-from quillmark.llm._spark import bounded_batches, written
+from quillmark.llm._spark import BATCH_BYTES, bounded_batches, written
 from quillmark.llm._vectors import FAN, tree_sum
 from quillmark.llm._words import gather, mix, release, slices, trimmed, utf8
 from quillmark.llm.bpe import Decoder
@@ -200,7 +200,7 @@ def _aligned_slices(batches, column: int, a_path: str, b_path: str):
         align = _aligner(a_path, b_path)
         for b in trimmed(batches):
             raw, off = utf8(b.column(column))
-            for lo, hi in slices(off):
+            for lo, hi in slices(off, BATCH_BYTES):
                 yield b, lo, hi, Slice(align, raw, off[lo : hi + 1])
 
 

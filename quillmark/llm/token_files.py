@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmark.llm._pieces import BYTE_LETTERS, Kept, Marked, cut_bytes, distinct, resting
-from quillmark.llm._spark import bounded_batches, shared_dir
+from quillmark.llm._spark import BATCH_BYTES, bounded_batches, shared_dir
 from quillmark.llm._vectors import tree_sum
 from quillmark.llm._words import ragged, release, slices, trimmed, utf8
 
@@ -154,7 +154,7 @@ def encode_words(docs: DataFrame, path: str, *, end_id: int | None = None, width
         with resting():
             for b in trimmed(batches):
                 raw, off = utf8(b.column(1))
-                for lo, hi in slices(off):
+                for lo, hi in slices(off, BATCH_BYTES):
                     w = Marked(raw, off[lo : hi + 1])
                     some, piece = distinct(w)
                     lists = ids_of(cut_bytes(w.data, w.starts[some], w.ends[some])) + end
