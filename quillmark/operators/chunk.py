@@ -45,7 +45,12 @@ def extract_headings(notes: DataFrame) -> DataFrame:
 
 
 def section_ranges(notes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(path, headings, start, end, lines) of every heading up to ``max_depth``: to before the next one of its level or above."""
+    """(path, headings, start, end) of every heading up to ``max_depth``: to before the next one of its level or above."""
+    return _sections(notes, max_depth).drop("text")
+
+
+def _sections(notes: DataFrame, max_depth: int) -> DataFrame:
+    """``section_ranges`` with the text of each: sections are finished in the note's row, so no lines are copied."""
     heads = with_headings(notes).where(F.size("headings") > 0)
     empty = F.array().cast("array<string>")
 
@@ -60,8 +65,9 @@ def section_ranges(notes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
         )
         return F.struct(h["level"].alias("level"), F.concat(above["path"], F.array(h["heading"])).alias("headings"), h["line"].alias("start"), end.alias("end"))
 
-    found = heads.select("path", "lines", F.explode(F.transform("headings", section)).alias("s")).where(F.col("s.level") <= max_depth)
-    return found.select("path", "s.headings", "s.start", "s.end", "lines")
+    kept = F.filter(F.transform("headings", section), lambda s: s["level"] <= max_depth)
+    whole = F.transform(kept, lambda s: F.struct(s["headings"].alias("headings"), s["start"].alias("start"), s["end"].alias("end"), _joined(F.col("lines"), s["start"], s["end"]).alias("text")))
+    return heads.select("path", F.inline(whole))
 
 
 def _block(key: Column, source: Column, text: Column, start: Column, end: Column, headings: Column) -> list[Column]:
@@ -69,7 +75,7 @@ def _block(key: Column, source: Column, text: Column, start: Column, end: Column
 
 
 def section_blocks(notes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    found = section_ranges(notes, max_depth).withColumn("text", _joined(F.col("lines"), F.col("start"), F.col("end"))).where(~_blank(F.col("text")))
+    found = _sections(notes, max_depth).where(~_blank(F.col("text")))
     key = F.concat(F.col("path"), F.array_join(F.transform("headings", lambda h: F.concat(F.lit("#"), h)), ""))
     return found.select(*_block(key, F.col("path"), F.col("text"), F.col("start"), F.col("end"), F.col("headings")))
 
@@ -77,11 +83,10 @@ def section_blocks(notes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
 def paragraph_blocks(notes: DataFrame, min_chars: int = PARAGRAPH_CHARS) -> DataFrame:
     """Paragraphs of notes, numbered among all, kept from ``min_chars`` characters."""
     lines = notes.select("path", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines")).withColumn("stop", F.transform("lines", _blank))
-    runs = lines.select("path", "lines", F.posexplode(_stretches(F.col("stop"))).alias("n", "p"))
-    text = _joined(F.col("lines"), F.col("p.start"), F.col("p.end"))
-    name = F.concat(F.lit("paragraph-"), (F.col("n") + 1).cast("string"))
-    found = runs.select("path", "p", name.alias("name"), text.alias("text")).where(F.length("text") >= min_chars)
-    return found.select(*_block(F.concat(F.col("path"), F.lit("#"), F.col("name")), F.col("path"), F.col("text"), F.col("p.start"), F.col("p.end"), F.array("name")))
+    runs = F.transform(_stretches(F.col("stop")), lambda p, i: F.struct((i + 1).alias("n"), p["start"].alias("s"), p["end"].alias("e"), _joined(F.col("lines"), p["start"], p["end"]).alias("text")))
+    found = lines.select("path", F.inline(F.filter(runs, lambda p: F.length(p["text"]) >= min_chars)))
+    name = F.concat(F.lit("paragraph-"), F.col("n").cast("string"))
+    return found.select(*_block(F.concat(F.col("path"), F.lit("#"), name), F.col("path"), F.col("text"), F.col("s"), F.col("e"), F.array(name)))
 
 
 def section_paragraphs(sections: DataFrame, split_chars: int = SECTION_SPLIT_CHARS, min_chars: int = SECTION_PARAGRAPH_CHARS) -> DataFrame:

@@ -25,7 +25,7 @@ from quillmark.functions.vectors import SMALL
 DIGITS = 6
 PIVOTS = 1024
 #: Candidates for each pivot, while there are pivots.
-CLUSTER_ROWS = 128
+CLUSTER_ROWS = 512
 TILE_ROWS = 8192
 TILE_BYTES = 1 << 26
 #: Scores are rounded, and angles of nearly equal vectors aren't exact.

@@ -133,10 +133,10 @@ def b5_source_type_filter(spark, d):
     return N.source_type_filter(B.changes(spark, d).select("path").distinct())
 
 
-@_q("WITH " + _SECTIONS + " SELECT entity_key FROM tblocks WHERE NOT list_contains(headings, 'user-0') AND source_path LIKE 'talk/1%'")
+@_q("WITH " + _SECTIONS + " SELECT entity_key FROM tblocks WHERE NOT list_contains(headings, 'user-0')")
 def b13_exclude_headings(spark, d):
     t = B.talks(spark, d)
-    return N.exclude_headings(C.chunk_notes(t), ["user-0"], t.where("path like 'talk/1%'")).select("entity_key")
+    return N.exclude_headings(C.chunk_notes(t), ["user-0"], t).select("entity_key")
 
 
 @_q("WITH " + _SECTIONS + " SELECT entity_key FROM tblocks WHERE source_path = 'talk/1.md'")
@@ -375,9 +375,9 @@ def a6_load_block_meta(spark, d):
     return ST.load_block_meta(B.entities(spark, d), B.stamps(spark, d), "m1").withColumn("headings", F.array_join("headings", "|"))
 
 
-@_q(_W + "SELECT min(dims) AS dims FROM stamps WHERE model_key = 'm1' AND dims = 4")
+@_q("SELECT CAST(max(len(embedding)) AS INT) AS dims FROM embeddings")
 def a7_detect_dims(spark, d):
-    return ST.detect_dims(B.stamps(spark, d).where("dims = 4"), "m1")
+    return ST.detect_dims(B.table(spark, d, "embeddings").select(F.lit("m1").alias("model_key"), F.size("embedding").alias("dims")), "m1")
 
 
 @_q("WITH " + B.ENTITIES + " SELECT entity_key, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE last_read_hash END AS last_read_hash FROM entities UNION ALL SELECT entity_key || '!', 'new' FROM entities WHERE doc_id % 6 = 0")
@@ -462,11 +462,11 @@ def b19_embedding_model_filter(spark, d):
     return B.table(spark, d, "documents").select(name.alias("name")).distinct().select("name", T.is_embedding_model(F.col("name")).alias("ok"), T.has_embedding_keyword(F.col("name")).alias("keyword"))
 
 
-@_q("WITH " + _SECTIONS + " SELECT entity_key FROM tblocks WHERE source_path LIKE 'talk/2%' AND len(headings) > 2")
+@_q("WITH " + _SECTIONS + " SELECT entity_key FROM tblocks WHERE len(headings) > 2")
 def e4_removed_blocks(spark, d):
     t = B.talks(spark, d)
     stored = C.chunk_notes(t)
-    return ST.removed_blocks(stored, stored.where("size(headings) <= 2"), t.where("path like 'talk/2%'").select(F.col("path").alias("source_path"))).select("entity_key")
+    return ST.removed_blocks(stored, stored.where("size(headings) <= 2"), t.select(F.col("path").alias("source_path"))).select("entity_key")
 
 
 @_q("WITH " + B.NOTES + ", l AS (SELECT count(*) AS n FROM notes WHERE doc_id % 3 = 0) SELECT CAST(least(n, 50) AS BIGINT) AS imported, CAST(greatest(n - 50, 0) AS BIGINT) AS remaining, n AS total FROM l")
@@ -759,9 +759,9 @@ def h8_pinned_first(spark, d):
     return S.pinned_first(top, pin).select("entity_key", F.row_number().over(order).alias("pos"))
 
 
-@_q("WITH " + _SCORED + " SELECT entity_key, score, CAST(row_number() OVER (ORDER BY round(score, 1) DESC, entity_key) AS INT) AS pos FROM scored WHERE source_path LIKE 'folder1/%' ORDER BY pos LIMIT 10")
+@_q("WITH " + _SCORED + " SELECT entity_key, score, CAST(row_number() OVER (ORDER BY round(score, 1) DESC, entity_key) AS INT) AS pos FROM scored ORDER BY pos LIMIT 10")
 def h9_h10_top_k(spark, d):
-    v = S.scored(B.vector_blocks(spark, d).where("source_path like 'folder1/%'"), _vector(spark, d))
+    v = S.scored(B.vector_blocks(spark, d), _vector(spark, d))
     top = v.orderBy(F.desc(F.round("score", 1)), "entity_key").limit(10)
     return top.select("entity_key", "score", F.row_number().over(Window.orderBy(F.desc(F.round("score", 1)), "entity_key")).alias("pos"))
 
