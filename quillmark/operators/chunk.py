@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
-from quillmark.functions.text import content_hash, trim_all
+from quillmark.functions.text import WHITE, content_hash
 
 # Sizes from which paragraphs are kept and sections are split.
 PARAGRAPH_CHARS, SECTION_SPLIT_CHARS, SECTION_PARAGRAPH_CHARS = 100, 1000, 200
@@ -13,7 +13,7 @@ MAX_DEPTH = 3
 
 
 def _blank(line: Column) -> Column:
-    return F.length(trim_all(line)) == 0
+    return ~line.rlike(f"[^{WHITE}]")
 
 
 def _joined(lines: Column, first: Column, last: Column) -> Column:
@@ -92,7 +92,7 @@ def paragraph_blocks(notes: DataFrame, min_chars: int = PARAGRAPH_CHARS) -> Data
 def section_paragraphs(sections: DataFrame, split_chars: int = SECTION_SPLIT_CHARS, min_chars: int = SECTION_PARAGRAPH_CHARS) -> DataFrame:
     """Paragraphs of long sections, numbered among the kept ones; blank lines and lines that start with '#' divide."""
     big = sections.where(F.col("length") > split_chars).withColumn("_lines", F.slice(F.split("text", "\n", -1), 2, 2**31 - 1))
-    big = big.where(F.size("_lines") > 0).withColumn("_stop", F.transform("_lines", lambda x: _blank(x) | F.startswith(trim_all(x), F.lit("#"))))
+    big = big.where(F.size("_lines") > 0).withColumn("_stop", F.transform("_lines", lambda x: _blank(x) | x.rlike(f"^[{WHITE}]*#")))
     runs = F.transform(_stretches(F.col("_stop")), lambda p: F.struct(_joined(F.col("_lines"), p["start"], p["end"]).alias("text"), p["start"].alias("start"), p["end"].alias("end")))
     kept = F.filter(runs, lambda p: F.length(p["text"]) > min_chars)
     found = big.select("source_path", "headings", "start_line", F.posexplode(kept).alias("n", "p"))
