@@ -325,6 +325,46 @@ def refresh(spark: SparkSession, blocks: DataFrame, store, found: Embedder, mode
     return queued(store.read()).count()
 
 
+def bucket_of(key: Column, buckets: int) -> Column:
+    """A key's bucket, from its md5, so that other engines find the same."""
+    return F.pmod(F.conv(F.substring(F.md5(key.cast("binary")), 1, 7), 16, 10).cast("bigint"), F.lit(buckets)).cast("int")
+
+
+def refresh_buckets(
+    spark: SparkSession, blocks: DataFrame, path: str, found: Embedder, model: str, *, updated_at: int = 0, buckets: int = 64, at_once: int = 8, saves: int | None = None, min_change: int = 0, adapter: str | None = None
+) -> DataFrame:
+    """Queues, embeds and stores what is stale of one model, ``at_once`` buckets of keys after the other; the vectors stored afterwards.
+
+    The table at ``path`` is Parquet partitioned by ``bucket``. Every save replaces the buckets that it embedded for (dynamic partition overwrite) and
+    leaves the others' files alone, so a refresh writes each touched bucket once, however many saves it makes, and a bucket without stale blocks never. A run that
+    ends, is stopped after a number of ``saves`` or is lost keeps what it saved; the next one goes on from there, and a save made twice gives the same
+    rows. Blocks whose keys are null are never stale. A bucket holds about the rows of the table / ``buckets``: choose so many that ``at_once`` of them are a job
+    worth losing. Keep ``buckets`` for the life of a table.
+    """
+    from quillmark.operators.store import EMBEDDINGS, upsert
+
+    schema = EMBEDDINGS + ", bucket int"
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy("bucket").parquet(path)
+    at = bucket_of(F.col("entity_key"), buckets)
+    mine = blocks.where(F.col("entity_key").isNotNull()).withColumn("bucket", at)
+
+    def stored() -> DataFrame:
+        return spark.read.schema(schema).parquet(path)
+
+    def queued(where: Column) -> DataFrame:
+        return embed_queue(mine.where(where).drop("bucket"), stored().where(where).drop("bucket"), model, expected_dims=found.models.get(model, found.dims), min_change=min_change)
+
+    stale = sorted(r[0] for r in queued(F.lit(True)).select(at.alias("b")).distinct().collect())  # at most ``buckets`` numbers
+    groups = [stale[i : i + at_once] for i in range(0, len(stale), at_once)]
+    for group in groups[:saves]:
+        inside = F.col("bucket").isin(*group)
+        old = stored().where(inside).drop("bucket")
+        made = stamp(embed(queued(inside), found), mine.where(inside), model, updated_at, adapter=adapter).select(*old.columns)
+        rows = upsert(old, made, ["entity_key", "model_key"]).withColumn("bucket", at)
+        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return stored().drop("bucket")
+
+
 def run_summary(results: DataFrame) -> DataFrame:
     """Per run_id: total, success, failed, skipped, duration and outcome of (run_id, status, started, finished, fatal, halted)."""
     n = lambda s: F.count_if(F.col("status") == s).alias({"ok": "success"}.get(s, s))

@@ -2,23 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
+from quillmark.operators.store import shared_path
+
 BINS = 1024
 
 
 def _written(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the folder that the cluster shares, reread: later passes don't compute them again."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    path = f"{base.rstrip('/')}/ranks-{uuid.uuid4().hex}"
+    path = shared_path(spark, "ranks")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,6 +7,7 @@ version or the one before.
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 
 import numpy as np
@@ -18,6 +19,12 @@ ENTITIES = "entity_key string, entity_type string, path string, source_path stri
 EMBEDDINGS = "entity_key string, model_key string, vec array<float>, tokens int, embed_hash string, dims int, updated_at bigint, embed_size bigint, embed_mtime bigint, adapter string"
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that the cluster shares (``spark.checkpoint.dir``); a local one only where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def load_entities(entities: DataFrame, embeddings: DataFrame, entity_type: str, model: str) -> DataFrame:
     """All entities of a type with the stamp of one model; the vectors aren't read."""
     stamp = embeddings.where(F.col("model_key") == model).select("entity_key", "tokens", "embed_hash", "dims", "updated_at")

@@ -285,12 +285,24 @@ def d9_d10_token_budget(spark, d):
     return B.table(spark, d, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"), T.request_budget(F.when(F.col("doc_id") % 3 == 0, F.lit(0)).otherwise(F.greatest(most, F.lit(1))), F.lit(0.75)).alias("budget"))
 
 
-@_q()
+def _cut_sql(tokens: str, keep: str) -> str:
+    """One round of a fold that cuts t at the last space of its first ``keep`` characters, where it is over 300 tokens."""
+    head = f"substr(t, 1, CAST(floor({keep}) AS INT))"
+    back = f"regexp_replace({head}, ' [^ ]*$', '')"
+    return f"CASE WHEN {tokens} <= 300 THEN t WHEN {back} = '' THEN {head} ELSE {back} END"
+
+
+_TOKENS = "CAST(ceil(length(t) / 3.7::DOUBLE) AS BIGINT)"
+_TRIMMED = _cut_sql(_TOKENS, f"length(t) * (1 - least(0.5::DOUBLE, ({_TOKENS} - 300) / {_TOKENS} + 0.1::DOUBLE))")
+_SHRUNK = _cut_sql(_TOKENS, f"length(t) * (300 / {_TOKENS} * 0.9::DOUBLE)")
+
+
+@_q("WITH t0 AS (SELECT doc_id, text AS t FROM documents)" + "".join(f", t{i + 1} AS (SELECT doc_id, {_TRIMMED} AS t FROM t{i})" for i in range(5)) + f" SELECT doc_id, CASE WHEN length(t) > 0 AND {_TOKENS} <= 300 THEN length(t) END AS n FROM t5")
 def d11_trim_to_tokens(spark, d):
     return B.table(spark, d, "documents").select("doc_id", F.length(T.trim_to_tokens(F.col("text"), 300)).alias("n"))
 
 
-@_q()
+@_q(f"WITH RECURSIVE s AS (SELECT doc_id, text AS t, 0 AS i FROM documents UNION ALL SELECT doc_id, {_SHRUNK}, i + 1 FROM s WHERE {_TOKENS} > 300 AND i < 40) SELECT doc_id, {_TOKENS} AS tokens FROM (SELECT doc_id, arg_max(t, i) AS t FROM s GROUP BY doc_id)")
 def d12_shrink_to_tokens(spark, d):
     return B.table(spark, d, "documents").select("doc_id", T.estimate_tokens(T.shrink_to_tokens(F.col("text"), 300)).alias("tokens"))
 
@@ -589,7 +601,10 @@ def j1_embed_queue(spark, d):
     return J.embed_queue(e, _sized(spark, d, "text_len"), "m1", expected_dims=4, min_change=200).select("entity_key")
 
 
-@_q()
+_TEXT = _TRIM.format("coalesce(text, '')")
+
+
+@_q("WITH " + B.NOTES + f" SELECT path AS entity_key, CASE WHEN {_TEXT} = '' THEN 'skipped' ELSE 'ok' END AS status, CAST((length(coalesce(text, '')) * 10 + 36) // 37 AS INT) AS tokens, CASE WHEN {_TEXT} <> '' THEN 16 END AS dims FROM notes")
 def j2_embed(spark, d):
     out = J.embed(B.notes(spark, d).select(F.col("path").alias("entity_key"), "text"), J.hashing_embedder())
     return out.select("entity_key", "status", "tokens", F.size("vec").alias("dims"))
@@ -608,6 +623,71 @@ def j5_full_stamp(spark, d):
     return J.stamp(J.embed(blocks, J.hashing_embedder()), blocks, "m1", 1, adapter="local").select("entity_key", "dims", "embed_size", "embed_mtime", "adapter", "embed_hash")
 
 
+def _flaky() -> J.Embedder:
+    """Its vector of a text is the number of calls that it took: by the text's length modulo 6 one to four, none at all (busy), or no vector."""
+
+    def build():
+        calls: dict[str, int] = {}
+
+        def embed(texts, role):
+            (t,) = texts
+            calls[t] = n = calls.get(t, 0) + 1
+            need = len(t) % 6 + 1
+            if n < need and need < 6:
+                if n > J.RETRIES:
+                    del calls[t]
+                raise J.Transient("busy", retry_after=0)
+            del calls[t]
+            if need == 6:
+                raise J.Transient("no vector", retry_after=0)
+            return [[float(n)]]
+
+        return embed
+
+    return J.Embedder(build, 1)
+
+
+@_q("WITH " + B.NOTES + f""", n AS (SELECT path, {_TEXT} = '' AS blank, length(coalesce(text, '')) % 6 AS r FROM notes)
+SELECT path AS entity_key, CASE WHEN blank THEN 'skipped' WHEN r > 3 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN NOT blank AND r <= 3 THEN r + 1 END::INT AS calls, CASE WHEN blank THEN NULL WHEN r = 4 THEN 'busy' WHEN r = 5 THEN 'no vector' END AS error FROM n""")
+def j3_j4_retries(spark, d):
+    out = J.embed(B.notes(spark, d).select(F.col("path").alias("entity_key"), "text"), _flaky(), batch=1, halt=False)
+    return out.select("entity_key", "status", F.get("vec", F.lit(0)).cast("int").alias("calls"), "error")
+
+
+@_q("WITH " + B.NOTES + f""", b AS (SELECT *, ('0x' || substr(md5(path), 1, 7))::BIGINT % 64 AS bucket FROM notes WHERE {_TEXT} <> ''), r AS (SELECT *, dense_rank() OVER (ORDER BY bucket) AS k FROM b)
+SELECT path AS entity_key, CASE WHEN k <= 32 AND doc_id % 3 <> 0 THEN 1 ELSE 2 END::BIGINT AS updated_at, sha256(text) || CASE WHEN doc_id % 3 = 0 THEN '+' ELSE '' END AS embed_hash, 16 AS dims FROM r""")
+def j7_j8_refresh_in_buckets(spark, d):
+    """A run that is stopped after two saves, and one that goes on from there when a third of the notes has changed."""
+    n = B.notes(spark, d)
+    full = F.length(T.trim_all(F.col("text"))) > 0
+    first = n.select(F.col("path").alias("entity_key"), "text", F.sha2("text", 256).alias("read_hash"), F.length("text").cast("bigint").alias("length"), F.coalesce(full, F.lit(False)).alias("should_embed"), "doc_id")
+    then = first.withColumn("read_hash", F.when(F.col("doc_id") % 3 == 0, F.concat("read_hash", F.lit("+"))).otherwise(F.col("read_hash")))
+    path, found = ST.shared_path(spark, "stamps"), J.hashing_embedder()
+    J.refresh_buckets(spark, first, path, found, "m1", updated_at=1, at_once=16, saves=2)
+    return J.refresh_buckets(spark, then, path, found, "m1", updated_at=2, at_once=16).select("entity_key", "updated_at", "embed_hash", "dims")
+
+
+def _roles(dims: int) -> J.Embedder:
+    """One space for both roles: passages as they are, queries in lower case."""
+
+    def build():
+        return lambda texts, role: [[float((t.lower() if role == "query" else t).count(c)) for c in _LETTERS[:dims]] for t in texts]
+
+    return J.Embedder(build, dims, {"short": 2, "long": 5})
+
+
+@_q("WITH " + B.NOTES + f""", n AS (SELECT path, text FROM notes WHERE {_TEXT} <> '')
+SELECT path AS entity_key, 5 AS model_dims, 7 AS setting_dims, 3 AS own_dims, length(text) - length(replace(text, 'e', '')) AS in_passage, length(text) - length(replace(lower(text), 'e', '')) AS in_query FROM n""")
+def k1_k2_embedders(spark, d):
+    J.register("letters", J.hashing_embedder())
+    J.register("letters", _roles(3))  # the last of a name wins
+    dims = {"model_dims": J.embedder("letters", "long", 7)[1], "setting_dims": J.embedder("letters", setting_dims=7)[1], "own_dims": J.embedder("letters")[1]}
+    found = J.embedder("letters")[0]
+    n = B.notes(spark, d).select(F.col("path").alias("entity_key"), "text")
+    both = [J.embed(n, found, role=role, halt=False).where("status = 'ok'").select("entity_key", F.get("vec", F.lit(0)).cast("bigint").alias(name)) for role, name in (("passage", "in_passage"), ("query", "in_query"))]
+    return both[0].join(both[1], "entity_key").select("entity_key", *(F.lit(v).alias(k) for k, v in dims.items()), "in_passage", "in_query")
+
+
 _MODELS = [("small", 384, 512, 1, 25), ("middle", 768, 2048, 1, 140), ("long", 512, 8192, 1, 35), ("wide", 1024, 8192, 4, 500)]
 
 

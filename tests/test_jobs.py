@@ -154,3 +154,54 @@ def test_token_batches_of_a_long_shard(spark):
                     held, batch = 0, batch + 1
                 held += n
                 assert got[(s, pos)] == batch
+
+
+def _bucket_blocks(spark, hashes: dict[str, str]):
+    rows = [(k, f"text of {k}", h, 9, True) for k, h in hashes.items()] + [(None, "no key", "h", 6, True), ("empty", " ", "h", 1, True), ("small", "left out", "h", 8, False)]
+    return spark.createDataFrame(rows, "entity_key string, text string, read_hash string, length bigint, should_embed boolean")
+
+
+def _files(path):
+    return {str(p): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_refresh_buckets_writes_what_is_touched(spark, tmp_path):
+    path = tmp_path / "stamps"
+    keys = [f"k{i}" for i in range(12)]
+    found = J.hashing_embedder()
+    first = J.refresh_buckets(spark, _bucket_blocks(spark, dict.fromkeys(keys, "a")), str(path), found, "m", updated_at=1, buckets=8, at_once=3)
+    assert {(r.entity_key, r.embed_hash, r.updated_at) for r in first.collect()} == {(k, "a", 1) for k in keys}
+    before = _files(path)
+    blocks = _bucket_blocks(spark, dict.fromkeys(keys, "a") | {"k3": "b"})
+    of = {r.entity_key: r.b for r in blocks.select("entity_key", J.bucket_of(blocks.entity_key, 8).alias("b")).collect()}
+    second = J.refresh_buckets(spark, blocks, str(path), found, "m", updated_at=2, buckets=8, at_once=3)
+    assert {(r.entity_key, r.embed_hash, r.updated_at) for r in second.collect()} == {(k, "ab"[k == "k3"], 1 + (k == "k3")) for k in keys}
+    touched = {f"bucket={of['k3']}/", f"bucket={of['empty']}/"}  # what has no text stays queued
+    assert {p for p, at in before.items() if _files(path).get(p) != at} == {p for p in before if any(t in p for t in touched)}
+    other = J.refresh_buckets(spark, blocks, str(path), found, "m2", updated_at=3, buckets=8)  # another model stands beside the first
+    assert sorted(other.groupBy("model_key").count().collect()) == [("m", 12), ("m2", 12)]
+
+
+def test_refresh_buckets_keeps_what_was_saved(spark, tmp_path):
+    path = str(tmp_path / "stamps")
+    keys = [f"k{i}" for i in range(12)]
+    blocks = _bucket_blocks(spark, dict.fromkeys(keys, "a"))
+    of = {r.entity_key: r.b for r in blocks.select("entity_key", J.bucket_of(blocks.entity_key, 8).alias("b")).collect()}
+    last = max(of[k] for k in keys)
+    bad = {f"text of {k}" for k in keys if of[k] == last}
+
+    def build():
+        def embed(texts, role):
+            if bad & set(texts):
+                raise J.Fatal("wrong key")
+            return [[1.0, 2.0] for _ in texts]
+
+        return embed
+
+    with pytest.raises(Exception, match="wrong key"):
+        J.refresh_buckets(spark, blocks, path, J.Embedder(build, 2), "m", updated_at=1, buckets=8, at_once=1)
+    stored = {r.entity_key for r in spark.read.parquet(path).collect()}
+    assert stored == {k for k in keys if of[k] != last}
+    done = J.refresh_buckets(spark, blocks, path, J.Embedder(lambda: lambda texts, role: [[1.0, 2.0] for _ in texts], 2), "m", updated_at=2, buckets=8)
+    assert {(r.entity_key, r.updated_at) for r in done.collect()} == {(k, 1 if k in stored else 2) for k in keys}
+    assert J.refresh_buckets(spark, blocks.limit(0), str(tmp_path / "none"), J.hashing_embedder(), "m").count() == 0
