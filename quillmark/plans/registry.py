@@ -1008,7 +1008,7 @@ s AS (SELECT min(ts) AS a, max(ts) + INTERVAL 13 SECOND AS z FROM (SELECT ts, su
 l AS (SELECT s.a, path, max((acts.ts, action)) AS m FROM s JOIN acts ON acts.ts >= s.a AND acts.ts < s.z GROUP BY s.a, path)
 SELECT epoch_us(a) // 1000 AS started, path FROM l WHERE m[2] = 'upsert'""")
 def m2_firings(spark, d):
-    rows = M.last_of_firing(M.firings(M.change_stream(B.changes(spark, d))))
+    rows = M.last_of_firing(M.firings(M.change_stream(B.changes(spark, d)), tick="1 microsecond"))
     return rows.select(F.unix_millis("session.start").alias("started"), "path")
 
 

@@ -30,23 +30,46 @@ def debounce(changes: DataFrame, gap: str = GAP, watermark: str | None = None, b
     return src.groupBy(F.session_window("ts", gap).alias("session"), *by).agg(F.count("*").alias("n"), F.collect_set("path").alias("paths"))
 
 
-def firings(changes: DataFrame, gap: str = GAP, *, tick: str = "1 millisecond", watermark: str | None = None) -> DataFrame:
+def _sessions(ticks: DataFrame, gap: str, chunk: int = 512) -> DataFrame:
+    """Sessions of a batch's ticks: those of each chunk of ``chunk`` gaps, then those that can touch a neighbour's, two a chunk at most, together."""
+    micros = F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {gap}"))
+    at = F.unix_micros("at")
+    rows = ticks.select(F.window_time("tick").alias("at"), "n")
+    each = rows.groupBy(F.session_window("at", f"{gap} -1 microseconds").alias("session"), (at - F.pmod(at, micros * chunk)).alias("chunk")).agg(F.sum("n").alias("upserts"), F.min(at).alias("first"), F.max(at).alias("last"))
+    # by sums, not by the session: a filter on the session would be pushed below its merging
+    edge = (F.col("first") <= F.col("chunk") + micros) | (F.col("last") + micros >= F.col("chunk") + micros * chunk)
+    long = F.make_interval(secs=((F.col("last") - F.col("first") + micros - 1) / 1_000_000).cast("decimal(18,6)"))
+    merged = each.where(edge).groupBy(F.session_window("session.start", long).alias("session")).agg(F.sum("upserts").alias("upserts"))
+    return each.where(~edge).select("session", "upserts").unionByName(merged.select("session", "upserts"))
+
+
+def firings(changes: DataFrame, gap: str = GAP, *, tick: str = "1 millisecond", watermark: str | None = None, salts: int = 8) -> DataFrame:
     """(session, path, action, ts): which changes of (ts, action, path) each firing of one debounce over the whole feed finds.
 
     Upserts put the firing off until a gap after the last one; what comes when it is due is for the next. The feed itself never meets in one place: its ticks with an upsert are counted by window, and only
-    those, a row for each, are merged into sessions; changes are joined with the sessions by shard of their path and by time. Times are taken to the
-    ``tick``. Batch and streaming frames alike (a stream needs a watermark); ``last_of_firing`` makes sets of paths of it.
+    those, a row for each, are merged into sessions (in a batch by chunks of time first, after which only the sessions at a chunk's ends meet; in a stream all
+    ticks that are still open do). Changes are joined with the sessions by slot of time (eight gaps; as sessions last a gap at least,
+    a slot meets nine of them at most) and by one of ``salts`` parts of the paths, so that a burst in one slot is shared by that many tasks. Times are taken to
+    the ``tick``. Batch and streaming frames alike (a stream needs a watermark); ``last_of_firing`` makes sets of paths of it.
     """
     src = changes.withWatermark("ts", watermark) if watermark else changes
-    shards = int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ticks = src.where("action = 'upsert'").groupBy(F.window("ts", tick).alias("tick")).agg(F.count("*").alias("n"))
-    one_key = F.col("n") < 0  # streams want a key beside the session
-    sessions = ticks.groupBy(F.session_window(F.window_time("tick"), f"{gap} -1 microseconds").alias("session"), one_key.alias("all")).agg(F.sum("n").alias("upserts"))
-    each = sessions.select("session", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    mine = src.select("ts", "action", "path", F.pmod(F.xxhash64("path"), F.lit(shards)).cast("int").alias("shard"))
+    if changes.isStreaming:  # streams want a key beside the session
+        sessions = ticks.groupBy(F.session_window(F.window_time("tick"), f"{gap} -1 microseconds").alias("session"), (F.col("n") < 0).alias("all")).agg(F.sum("n").alias("upserts"))
+    else:
+        sessions = _sessions(ticks, gap)
     # a tick's time is its end less a microsecond, and sessions that touch are one, hence the gap less a microsecond
     back, one = F.expr(f"interval {tick} -1 microseconds"), F.expr("interval 1 microsecond")
-    inside = (F.col("c.shard") == F.col("s.shard")) & (F.col("c.ts") >= F.col("s.session.start") - back) & (F.col("c.ts") < F.col("s.session.end") - back + one)
+    width = F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {gap}")) * 8
+
+    def slot(ts: Column) -> Column:
+        at = F.unix_micros(ts)
+        return ((at - F.pmod(at, width)) / width).cast("bigint")
+
+    slots = F.sequence(slot(F.col("session.start") - back), slot(F.col("session.end")))
+    each = sessions.select("session", F.explode(slots).alias("slot")).select("session", "slot", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    mine = src.select("ts", "action", "path", slot(F.col("ts")).alias("slot"), F.pmod(F.xxhash64("path"), F.lit(salts)).cast("int").alias("salt"))
+    inside = (F.col("c.slot") == F.col("s.slot")) & (F.col("c.salt") == F.col("s.salt")) & (F.col("c.ts") >= F.col("s.session.start") - back) & (F.col("c.ts") < F.col("s.session.end") - back + one)
     return mine.alias("c").join(each.alias("s"), inside).select("s.session", "c.path", "c.action", "c.ts")
 
 
