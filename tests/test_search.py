@@ -103,3 +103,33 @@ def test_lookup_many_by_scope(spark):
         want = _brute(rows, [1.0, len(text)], 4, kind={"notes": "source", "blocks": "block"}.get(which))
         assert [k for _, k in sorted(got[q])] == [k for k, _ in want]
     assert sorted(r.query_id for r in failed.collect()) == ["d", "e"]
+
+
+def test_neighbours_by_blocks_and_slices(spark, monkeypatch):
+    from quillmark.operators import neighbours as N
+
+    monkeypatch.setattr(N, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(N, "SAMPLE", 32)
+    blocks, rows = _points(spark, 400, 4, 5)
+    more = [(f"same/{i:03}#b", f"same/{i % 2}", "block", [1.0, 2.0, 3.0, 4.0]) for i in range(150)] + [("inf#0", "inf", "block", [float("inf"), 0.0, 0.0, 1.0])]
+    blocks = blocks.unionByName(spark.createDataFrame(more, blocks.schema))
+    assert N.shape(151, 500, 4, 5, 4)[0] > 2  # several blocks
+    asked = [r for r in rows[:400:3]] + more[:17]
+    queries = spark.createDataFrame([(r[0], r[1], r[3]) for r in asked], "query_id string, own string, vec array<float>")
+    found = {}
+    for r in N.nearest_many(queries, blocks, 5, own="own").collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.entity_key, round(r.score, 6)))
+    for key, own, _, vec in asked:  # of 150 equal ones the first keys, of other notes; a vector without a direction is never found
+        assert [x[1:] for x in sorted(found[key])] == _brute(rows + more[:-1], vec, 5, own), key
+
+
+def test_copies_stay_in_proportion():
+    from quillmark.operators import neighbours as N
+
+    for queries, width, k in ((1.0, 64, 10), (0.2, 64, 15), (0.01, 12, 40)):
+        copied = []
+        for n in (100_000, 600_000):
+            blocks, slices = N.shape(int(n * queries), n, width, k, 12)
+            assert n * queries / blocks <= N.BLOCK_ROWS and blocks * slices >= 24
+            copied.append(n * (4 * width + 80) * blocks + int(n * queries) * (4 * width + 100 + 60 * k) * slices)
+        assert copied[1] <= 6.1 * copied[0]
