@@ -7,7 +7,7 @@ from typing import Iterator
 
 import pandas as pd
 import pyspark.sql.functions as F
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 
 # The white space that trimming removes, thresholds, and folder names that are always left out.
 WHITE = r"\t\n\x0B\f\r    -     　﻿"
@@ -15,6 +15,7 @@ HASHED_CHARS = 100_000
 SOURCE_INPUT_CHARS = 1850
 PREVIEW_CHARS = 400
 DEFAULT_MAX_TOKENS = 8191
+BATCH_BYTES = 4_000_000
 ALWAYS_EXCLUDED = ("node_modules", ".trash", ".git")
 
 
@@ -68,8 +69,15 @@ def count_tokens(text: Column, kind: Column, exact: Callable[[Column], Column] |
     return estimate if exact is None else F.when(kind == "tiktoken", F.coalesce(exact(text).cast("bigint"), estimate)).otherwise(estimate)
 
 
+def bounded_batches(spark: SparkSession | None) -> None:
+    """Arrow batches of this session end at ``BATCH_BYTES``: 10,000 long texts would fill the memory of a task."""
+    if spark is not None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def exact_counter(build: Callable[[], Callable[[str], int]]) -> Callable[[Column], Column]:
     """A counter for ``count_tokens`` from a tokenizer built once a task; null where building or counting fails, and for null texts."""
+    bounded_batches(SparkSession.getActiveSession())
 
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

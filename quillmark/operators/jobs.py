@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 
-from quillmark.functions.text import read_hash_or_own
+from quillmark.functions.text import bounded_batches, read_hash_or_own
 
 BATCH, RETRIES = 10, 3
 
@@ -251,9 +251,9 @@ def embed(df: DataFrame, found: Embedder, *, role: str = "passage", batch: int =
     def run(batches: Iterator[pa.RecordBatch]):
         call = found.build()
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for i in range(0, len(keys), batch):
-                k, t = keys[i : i + batch], texts[i : i + batch]
+            for i in range(0, b.num_rows, batch):  # only a batch's texts are Python objects at once
+                part = b.slice(i, batch)
+                k, t = part.column(0).to_pylist(), [x or "" for x in part.column(1).to_pylist()]
                 full = [j for j, x in enumerate(t) if x.strip()]
                 error, got = None, {}
                 if full:
@@ -271,6 +271,7 @@ def embed(df: DataFrame, found: Embedder, *, role: str = "passage", batch: int =
                     names=["entity_key", "vec", "tokens", "status", "error"],
                 )
 
+    bounded_batches(df.sparkSession)
     return df.select("entity_key", "text").mapInArrow(run, "entity_key string, vec array<float>, tokens int, status string, error string")
 
 

@@ -205,3 +205,16 @@ def test_refresh_buckets_keeps_what_was_saved(spark, tmp_path):
     done = J.refresh_buckets(spark, blocks, path, J.Embedder(lambda: lambda texts, role: [[1.0, 2.0] for _ in texts], 2), "m", updated_at=2, buckets=8)
     assert {(r.entity_key, r.updated_at) for r in done.collect()} == {(k, 1 if k in stored else 2) for k in keys}
     assert J.refresh_buckets(spark, blocks.limit(0), str(tmp_path / "none"), J.hashing_embedder(), "m").count() == 0
+
+
+def test_texts_come_in_bounded_batches(spark):
+    from quillmark.functions import text as T
+    from quillmark.operators import jobs as J
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    df = spark.range(400).selectExpr("cast(id as string) entity_key", "repeat(concat('word', id, ' '), 10000) text").coalesce(1)
+    for use in (lambda: J.embed(df, J.hashing_embedder()), lambda: T.exact_counter(lambda: len)):
+        spark.conf.unset(setting)
+        use()
+        sizes = df.mapInArrow(lambda batches: (type(b).from_pydict({"n": [b.nbytes]}) for b in batches), "n bigint").collect()
+        assert len(sizes) > 3 and max(r.n for r in sizes) < 2 * T.BATCH_BYTES
