@@ -109,10 +109,15 @@ def dedupe_keys(blocks: DataFrame) -> DataFrame:
 
 
 def chunk_notes(notes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Sections and their paragraphs for notes with headings, paragraphs for the others; one row per key, with its hash."""
-    flagged = with_headings(notes).withColumn("_has", F.size("headings") > 0).select("path", "text", "_has")
+    """Sections and their paragraphs for notes with headings, paragraphs for the others; one row per key, with its hash.
+
+    Lines are looked at for headings and fences only in notes where one search over the text finds what may be a heading."""
+    rows = notes.select("path", "text").withColumn("_maybe", F.coalesce(F.contains("text", F.lit("#")) & F.col("text").rlike(r"(^|\n)#{1,6}\s+\S"), F.lit(False)))
+    flagged = with_headings(rows.where("_maybe").select("path", "text")).withColumn("_has", F.size("headings") > 0).select("path", "text", "_has")
     sections = section_blocks(flagged.where("_has"), max_depth)
-    blocks = sections.unionByName(section_paragraphs(sections)).unionByName(paragraph_blocks(flagged.where("not _has")))
+    blocks = sections.unionByName(section_paragraphs(sections))
+    for plain in (flagged.where("not _has"), rows.where("not _maybe")):
+        blocks = blocks.unionByName(paragraph_blocks(plain))
     return dedupe_keys(blocks).withColumn("read_hash", content_hash(F.col("text")))
 
 

@@ -96,3 +96,12 @@ def test_scan_and_read(spark, tmp_path):
     assert N.read_note(notes, "x.md").first().found is False
     got = N.multi_get(notes, ["x.md", "", "a.md"]).collect()
     assert [(r.path, r.status) for r in got] == [("x.md", "note_not_found"), ("a.md", "ok")]
+
+
+def test_chunks_where_only_some_notes_may_have_headings(spark):
+    from quillmark.operators import chunk as C
+
+    word = "words " * 30
+    rows = [("plain.md", word), ("tag.md", f"#tag {word}"), ("fence.md", f"```\n# no heading\n```\n\n{word}"), ("late.md", f"{word}\n## A\n{word}"), ("null.md", None), ("deep.md", f"####### seven\n\n{word}")]
+    got = sorted(r.entity_key for r in C.chunk_notes(spark.createDataFrame(rows, "path string, text string")).collect())
+    assert got == ["deep.md#paragraph-2", "fence.md#paragraph-2", "late.md#A", "plain.md#paragraph-1", "tag.md#paragraph-1"]
