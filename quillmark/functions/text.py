@@ -23,6 +23,11 @@ def trim_all(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{WHITE}]+|[{WHITE}]+$", "")
 
 
+def not_blank(c: Column) -> Column:
+    """Whether ``trim_all`` leaves anything; found at the first character that it leaves."""
+    return c.rlike(f"[^{WHITE}]")
+
+
 def content_hash(text: Column) -> Column:
     """sha256 hex of the trimmed first 100,000 characters."""
     return F.sha2(trim_all(F.substring(text, 1, HASHED_CHARS)), 256)

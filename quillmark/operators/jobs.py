@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 
@@ -234,8 +235,8 @@ def by_key(keys: list[str], answer: list) -> dict[str, object]:
     return out
 
 
-def embed(df: DataFrame, found: Embedder, *, role: str = "passage", batch: int = BATCH, retries: int = RETRIES, halt: bool = True) -> DataFrame:
-    """(entity_key, vec, tokens, status, error) of (entity_key, text): ok, skipped (empty text) or failed.
+def embed(df: DataFrame, found: Embedder, *, role: str = "passage", batch: int = BATCH, retries: int = RETRIES, halt: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(entity_key, vec, tokens, status, error) of (entity_key, text): ok, skipped (empty text) or failed. The columns ``keep`` go along unchanged.
 
     Answers are checked by ``by_key``; what is wrong with them ends the run, as other fatal errors do. A batch without any usable vector is tried again, and
     once it is out of retries it ends the run too (what was stored before stays), or is failed if not ``halt``; in a batch with some, rows without are
@@ -267,12 +268,13 @@ def embed(df: DataFrame, found: Embedder, *, role: str = "passage", batch: int =
                 vec = [np.asarray(v, np.float32) if v is not None and len(v) else None for v in vec]
                 status = ["skipped" if j not in full else "failed" if vec[j] is None else "ok" for j in range(len(k))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k, pa.string()), pa.array(vec, pa.list_(pa.float32())), pa.array([-(-len(x) * 10 // 37) for x in t], pa.int32()), pa.array(status), pa.array([error if s == "failed" else None for s in status], pa.string())],
-                    names=["entity_key", "vec", "tokens", "status", "error"],
+                    [pa.array(k, pa.string()), pa.array(vec, pa.list_(pa.float32())), pa.array([-(-len(x) * 10 // 37) for x in t], pa.int32()), pa.array(status), pa.array([error if s == "failed" else None for s in status], pa.string()), *part.columns[2:]],
+                    names=["entity_key", "vec", "tokens", "status", "error", *keep],
                 )
 
     bounded_batches(df.sparkSession)
-    return df.select("entity_key", "text").mapInArrow(run, "entity_key string, vec array<float>, tokens int, status string, error string")
+    kept = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return df.select("entity_key", "text", *keep).mapInArrow(run, f"entity_key string, vec array<float>, tokens int, status string, error string{kept}")
 
 
 def check_results(queue: DataFrame, results: DataFrame) -> DataFrame:
@@ -283,17 +285,25 @@ def check_results(queue: DataFrame, results: DataFrame) -> DataFrame:
     return both.agg(one(F.col("n").isNull()).alias("missing"), one(F.col("q").isNull()).alias("unknown"), one(F.col("n") > 1).alias("repeated"))
 
 
-def stamp(results: DataFrame, blocks: DataFrame, model: str, updated_at: int, *, adapter: str | None = None) -> DataFrame:
-    """Rows for the store: what was embedded is what was read last, so its hash, size and time are the block's (``read_hash``, ``length``, ``mtime``,
-    the last two where there are such columns). Blocks without a read hash get that of the text that was embedded, without size and time."""
-    ok = results.where("status = 'ok'").drop("status", "error")
+READ_STAMP = ("embed_hash", "embed_size", "embed_mtime")
+
+
+def read_stamp(blocks: DataFrame) -> list[Column]:
+    """``READ_STAMP``: what is embedded is what was read last, so its hash, size and time are the block's (``read_hash``, ``length``, ``mtime``,
+    the last two where there are such columns). Blocks without a read hash get that of the text that is embedded, without size and time."""
     read = F.coalesce(F.col("read_hash"), F.lit("")) != ""
-    own = {c: (F.when(read, F.col(c)) if c in blocks.columns else F.lit(None)).cast("bigint").alias(f"_{c}") for c in ("length", "mtime")}
-    joined = ok.join(blocks.select("entity_key", "text", "read_hash", *own.values()), "entity_key")
-    return joined.select(
-        "entity_key", F.lit(model).alias("model_key"), "vec", "tokens", read_hash_or_own(F.col("read_hash"), F.col("text")).alias("embed_hash"), F.size("vec").alias("dims"), F.lit(updated_at).cast("bigint").alias("updated_at"),
-        F.col("_length").alias("embed_size"), F.col("_mtime").alias("embed_mtime"), F.lit(adapter).cast("string").alias("adapter"),
-    )
+    own = ((F.when(read, F.col(c)) if c in blocks.columns else F.lit(None)).cast("bigint") for c in ("length", "mtime"))
+    return [c.alias(name) for name, c in zip(READ_STAMP, (read_hash_or_own(F.col("read_hash"), F.col("text")), *own))]
+
+
+def stamp(results: DataFrame, blocks: DataFrame | None, model: str, updated_at: int, *, adapter: str | None = None) -> DataFrame:
+    """Rows for the store, stamped by ``read_stamp`` of their blocks. Without ``blocks`` the results have these columns already."""
+    ok = results.where("status = 'ok'")
+    if blocks is not None:
+        ok = ok.select("entity_key", "vec", "tokens").join(blocks.select("entity_key", "text", "read_hash", *(c for c in ("length", "mtime") if c in blocks.columns)), "entity_key")
+        ok = ok.select("entity_key", "vec", "tokens", *read_stamp(blocks))
+    size, at = READ_STAMP[1:]
+    return ok.select("entity_key", F.lit(model).alias("model_key"), "vec", "tokens", "embed_hash", F.size("vec").alias("dims"), F.lit(updated_at).cast("bigint").alias("updated_at"), size, at, F.lit(adapter).cast("string").alias("adapter"))
 
 
 def refresh(spark: SparkSession, blocks: DataFrame, store, found: Embedder, model: str, *, updated_at: int = 0, rounds: int = 10, save_rows: int | None = None, min_change: int = 0, adapter: str | None = None) -> int:
@@ -341,8 +351,11 @@ def refresh_buckets(
     ends, is stopped after a number of ``saves`` or is lost keeps what it saved; the next one goes on from there, and a save made twice gives the same
     rows. Blocks whose keys are null are never stale. A bucket holds about the rows of the table / ``buckets``: choose so many that ``at_once`` of them are a job
     worth losing. Keep ``buckets`` for the life of a table.
+
+    ``blocks`` is read twice, however many saves there are: for the numbers of the stale buckets, and for the queue, which is written beside the table by save
+    with all that a save needs. A save reads its own part of it only, embeds it once and joins nothing; the queue goes when the run ends.
     """
-    from quillmark.operators.store import EMBEDDINGS, upsert
+    from quillmark.operators.store import EMBEDDINGS, drop_path
 
     schema = EMBEDDINGS + ", bucket int"
     spark.createDataFrame([], schema).write.mode("ignore").partitionBy("bucket").parquet(path)
@@ -353,16 +366,26 @@ def refresh_buckets(
         return spark.read.schema(schema).parquet(path)
 
     def queued(where: Column) -> DataFrame:
-        return embed_queue(mine.where(where).drop("bucket"), stored().where(where).drop("bucket"), model, expected_dims=found.models.get(model, found.dims), min_change=min_change)
-
-    stale = sorted(r[0] for r in queued(F.lit(True)).select(at.alias("b")).distinct().collect())  # at most ``buckets`` numbers
-    groups = [stale[i : i + at_once] for i in range(0, len(stale), at_once)]
-    for group in groups[:saves]:
-        inside = F.col("bucket").isin(*group)
-        old = stored().where(inside).drop("bucket")
-        made = stamp(embed(queued(inside), found), mine.where(inside), model, updated_at, adapter=adapter).select(*old.columns)
-        rows = upsert(old, made, ["entity_key", "model_key"]).withColumn("bucket", at)
-        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        return embed_queue(mine.where(where), stored().where(where).drop("bucket"), model, expected_dims=found.models.get(model, found.dims), min_change=min_change)
+
+    stale = sorted(r[0] for r in queued(F.lit(True)).select("bucket").distinct().collect())  # at most ``buckets`` numbers
+    groups = [stale[i : i + at_once] for i in range(0, len(stale), at_once)][:saves]
+    if not groups:
+        return stored().drop("bucket")
+    queue = f"{path.rstrip('/')}-queue-{uuid.uuid4().hex}"
+    save = F.create_map(*(F.lit(x) for i, group in enumerate(groups) for b in group for x in (b, i)))[F.col("bucket")]
+    waiting = queued(F.col("bucket").isin(*(b for group in groups for b in group))).select("entity_key", "text", *read_stamp(blocks), save.alias("save"))
+    try:
+        waiting.write.partitionBy("save").parquet(queue)
+        waiting = spark.read.schema(waiting.schema).parquet(queue)
+        for i, group in enumerate(groups):
+            old = stored().where(F.col("bucket").isin(*group))
+            made = stamp(embed(waiting.where(F.col("save") == i), found, keep=READ_STAMP), None, model, updated_at, adapter=adapter).withColumn("bucket", at)
+            both = old.withColumn("_new", F.lit(0)).unionByName(made.withColumn("_new", F.lit(1))).repartition("bucket")
+            last = both.groupBy("bucket", "entity_key", "model_key").agg(F.max_by(F.struct(*(c for c in old.columns if c != "bucket")), "_new").alias("_row"))
+            last.select("_row.*", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    finally:
+        drop_path(spark, queue)
     return stored().drop("bucket")
 
 

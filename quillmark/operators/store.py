@@ -25,6 +25,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a table that only its writer knows, wherever it is stored; nothing happens where there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def load_entities(entities: DataFrame, embeddings: DataFrame, entity_type: str, model: str) -> DataFrame:
     """All entities of a type with the stamp of one model; the vectors aren't read."""
     stamp = embeddings.where(F.col("model_key") == model).select("entity_key", "tokens", "embed_hash", "dims", "updated_at")

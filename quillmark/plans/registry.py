@@ -659,7 +659,7 @@ SELECT path AS entity_key, CASE WHEN k <= 32 AND doc_id % 3 <> 0 THEN 1 ELSE 2 E
 def j7_j8_refresh_in_buckets(spark, d):
     """A run that is stopped after two saves, and one that goes on from there when a third of the notes has changed."""
     n = B.notes(spark, d)
-    full = F.length(T.trim_all(F.col("text"))) > 0
+    full = T.not_blank(F.col("text"))
     first = n.select(F.col("path").alias("entity_key"), "text", F.sha2("text", 256).alias("read_hash"), F.length("text").cast("bigint").alias("length"), F.coalesce(full, F.lit(False)).alias("should_embed"), "doc_id")
     then = first.withColumn("read_hash", F.when(F.col("doc_id") % 3 == 0, F.concat("read_hash", F.lit("+"))).otherwise(F.col("read_hash")))
     path, found = ST.shared_path(spark, "stamps"), J.hashing_embedder()
